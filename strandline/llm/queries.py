@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .near_dedup import op8_minhash_near_dedup
 
 QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
 ORACLE_SQL = {
