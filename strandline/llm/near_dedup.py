@@ -30,7 +30,7 @@ from pyspark.sql.types import IntegerType
 
 from . import textkit as tk
 from .components import components
-from .staging import stage, table
+from .staging import small, stage, table
 
 N_WORDS, THRESHOLD = 5, 0.8
 BANDS, WIDTH = 24, 4
@@ -41,8 +41,6 @@ SMALL_BUCKET = 32
 SPLITS = ((1, 7, 13), (3, 11), (5, 17))
 #: Standard deviations below the expected agreement at which a candidate is dropped.
 PREFILTER = 4.9
-#: Candidates are broadcast up to so many ids (16 MB of longs); above, a shuffle join finds their texts.
-BROADCAST_IDS = 2_000_000
 
 _SIGNATURE = "doc_id bigint, fp1 bigint, fp2 bigint, n bigint, bands array<bigint>, sig binary"
 
@@ -151,8 +149,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     likely = stage(scored.where(F.col("agree") >= least), "candidates")
 
     wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    wanted = small(stage(wanted, "wanted"))  # above its bound a shuffle join finds the texts
     tokens = stage(source.join(wanted, "doc_id", "left_semi").mapInArrow(_tokens, "node bigint, tokens array<bigint>"), "tokens").dropDuplicates(["node"])
 
     sides = likely.select(F.col("a").alias("node"), F.col("b").alias("other"), "agree").union(likely.select(F.col("b"), F.col("a"), "agree"))
@@ -178,6 +175,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     A class without any id keeps the rows it has.
     """
     gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(id_col)).distinct()
+    gone = small(stage(gone, "gone"))
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 

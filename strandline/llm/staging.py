@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: dict[str, list[str]] = {}
 
@@ -41,6 +42,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids up to which a side is broadcast: 16 MB of longs.
+BROADCAST_IDS = 2_000_000
+
+
+def small(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """A broadcast hint if the rows have been counted and are few; else the frame as it is, for a shuffle join."""
+    return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
+
+
 def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
