@@ -18,13 +18,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import table
+from .staging import small, stage, table
 from .textkit import sub_batches
 
 _FOLDED = pa.schema([("text", pa.large_string()), ("keep_id", pa.int64()), ("n", pa.int64())])
 _GROUPS = "text_sha256 string, keep_id bigint, group_size bigint"
 #: Bytes of texts that a task remembers having met twice.
 REMEMBERED_BYTES = 32 << 20
+#: Digests up to which the groups with copies are broadcast: about 30 MB.
+MULTIPLE = 250_000
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,12 +128,19 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of ``docs`` whose text has no better copy, with all their columns; of repeated rows one stays."""
-    groups = duplicate_groups(docs, id_col=id_col, text_col=text_col, keep=keep).where("group_size > 1").select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"))
+    """The rows of ``docs`` whose text has no better copy, with all their columns; of repeated rows one stays.
+
+    Only texts with copies are looked up, so while these are few (MULTIPLE
+    digests, counted first) no text is shuffled again.  A group without any id
+    keeps one row.
+    """
+    names = docs.columns
+    groups = duplicate_groups(docs, id_col=id_col, text_col=text_col, keep=keep).where("group_size > 1").select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.lit(True).alias("__many"))
+    groups = small(stage(groups, "copies"), MULTIPLE)
     marked = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)).join(groups, "__sha", "left")
-    single = marked.where(F.col("__keep").isNull() & F.col("__sha").isNotNull())
-    best = marked.where(F.col(f"`{id_col}`") == F.col("__keep"))
-    return single.select(*docs.columns).unionByName(best.dropDuplicates(["__sha"]).select(*docs.columns))
+    single = marked.where(F.col("__many").isNull())
+    best = marked.where(F.col("__many") & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__keep")))
+    return single.select(*names).unionByName(best.dropDuplicates(["__sha"]).select(*names))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
