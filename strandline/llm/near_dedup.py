@@ -38,7 +38,7 @@ BANDS, WIDTH = 24, 4
 COORDINATES = BANDS * WIDTH
 SMALL_BUCKET = 32
 #: Offsets of the bands that split a large bucket, by level.
-SPLITS = ((1, 7, 13), (3, 11), (5, 17))
+SPLITS = ((1, 7), (11,))
 #: Standard deviations below the expected agreement at which a candidate is dropped.
 PREFILTER = 4.9
 
@@ -46,7 +46,7 @@ _SIGNATURE = "doc_id bigint, fp1 bigint, fp2 bigint, n bigint, bands array<bigin
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in tk.sub_batches(batches, "text"):
+    for batch in tk.sub_batches(batches, "text", 2 << 20):
         texts = tk.clean(batch.column(1))
         w = tk.words(texts)
         row, element = tk.shingles(w, N_WORDS)
@@ -92,20 +92,25 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     found: list[DataFrame] = []
     for depth, offsets in enumerate((*SPLITS, ())):
         size = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        met = stage(level.join(size, "bucket"), f"buckets{depth}")
+        met = level.join(size, "bucket")
+        if not depth:
+            met = stage(met, "buckets")
         found.append(_all_pairs(met.where(F.col("m") <= SMALL_BUCKET)))
         large = met.where(F.col("m") > SMALL_BUCKET)
-        if large.limit(1).count() == 0:
-            break
-        central = large.groupBy("node").agg(F.sum("m").alias("central"))
-        hub = large.join(central, "node").groupBy("bucket").agg(F.max(F.struct("central", "node")).alias("h")).select("bucket", F.col("h.node").alias("hub"))
+        if not depth:
+            if large.limit(1).count() == 0:
+                break
+            central = large.groupBy("node").agg(F.sum("m").alias("central")).join(nodes, "node")
+            large = large.join(central, "node")
+        hub = large.groupBy("bucket").agg(F.max(F.struct("central", "node")).alias("h")).select("bucket", F.col("h.node").alias("hub"))
         star = large.join(hub, "bucket").where("node <> hub")
         found.append(star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")))
         if not offsets:
             break
-        split = large.join(nodes.select("node", "bands"), "node").select("node", "band", "bucket", "bands", F.explode(F.array(*map(F.lit, offsets))).alias("off"))
+        split = large.select("node", "central", "bands", "band", "bucket", F.explode(F.array(*map(F.lit, offsets))).alias("off"))
         other = F.expr(f"element_at(bands, cast((band + off) % {BANDS} + 1 as int))")
-        level = split.select("node", F.expr(f"cast((band + off) % {BANDS} as int)").alias("band"), F.xxhash64("bucket", "off", other).alias("bucket"))
+        level = split.select("node", "central", "bands", F.expr(f"cast((band + off) % {BANDS} as int)").alias("band"), F.xxhash64("bucket", "off", other).alias("bucket"))
+        level = stage(level, f"level{depth}")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)

@@ -6,14 +6,18 @@ from .decontam import op1_benchmark_decontamination
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .near_dedup import op8_minhash_near_dedup
 from .pieces import op4_sentencepiece
+from .secrets import op10_secret_scans
+from .shards import op2_sharding
 from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_sharding": op2_sharding,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLE_SQL = {
