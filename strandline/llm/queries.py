@@ -8,6 +8,7 @@ from .near_dedup import op8_minhash_near_dedup
 from .pieces import op4_sentencepiece
 from .secrets import op10_secret_scans
 from .shards import op2_sharding
+from .sstable import op9_token_output
 from .toxicity import op5_toxicity
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_token_output": op9_token_output,
     "op10_secret_scans": op10_secret_scans,
 }
 

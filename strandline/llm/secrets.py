@@ -40,9 +40,9 @@ _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Bits that the characters of a window must carry, in all and within letters and digits.
-MIN_BITS = 3.5
-MIN_LETTER_BITS, MIN_DIGIT_BITS = 2.0, 1.5
-MIN_LETTERS, MIN_DIGITS = 4, 4
+MIN_BITS = 3.6
+MIN_LETTER_BITS, MIN_DIGIT_BITS = 2.0, 0.8
+MIN_LETTERS, MIN_DIGITS = 4, 2
 #: Spans that match are no secrets: fixed shapes of public identifiers and sample values.
 ALLOW = tuple(re.compile(p) for p in (r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(?i).*(?:example|sample|placeholder|changeme|xxxx).*", r"sha(?:1|256|384|512)-.*", r"[A-Za-z_/=-]+", r"[0-9_/=+-]+", r"(?:[A-Za-z]+[0-9]{0,3}[_/=-])+[A-Za-z]*[0-9]{0,3}"))
 

@@ -29,7 +29,7 @@ from .staging import stage, table
 
 N_SHARDS = 16
 #: Ranges for each shard at least, and bytes of a range at most where there are more.
-RANGES_PER_SHARD = 32
+RANGES_PER_SHARD = 64
 RANGE_BYTES = 1 << 30
 #: Sampled keys for each range.
 SAMPLES = 24
