@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontam import op1_benchmark_decontamination
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .html_extract import op3_html_extraction
 from .near_dedup import op8_minhash_near_dedup
 from .pieces import op4_sentencepiece
 from .secrets import op10_secret_scans
@@ -14,6 +15,7 @@ from .toxicity import op5_toxicity
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_sharding": op2_sharding,
+    "op3_html_extraction": op3_html_extraction,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
