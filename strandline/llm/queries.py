@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontam import op1_benchmark_decontamination
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .html_extract import op3_html_extraction
+from .licenses import OP7_SQL, op7_license_scans
 from .near_dedup import op8_minhash_near_dedup
 from .pieces import op4_sentencepiece
 from .secrets import op10_secret_scans
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_license_scans": op7_license_scans,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_token_output": op9_token_output,
     "op10_secret_scans": op10_secret_scans,
@@ -26,4 +28,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op6_exact_dedup": OP6_SQL,
+    "op7_license_scans": OP7_SQL,
 }
