@@ -167,13 +167,21 @@ class Reader:
 class WordTable:
     """Token ids of texts by a table of distinct words.
 
-    The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its words; the library encodes each distinct word once.
+    The tokenizer lowers its input, cuts it into runs of letters, single digits,
+    runs of other characters and a few contractions, drops white space and never
+    joins across a cut; so the ids of a text are those of its words, and the
+    library encodes each distinct word once.  Texts of PLAIN characters are cut
+    as the tokenizer cuts them.  Any other text is cut at blanks alone, where the
+    tokenizer's normaliser cannot join either, and the library does the rest.
     """
 
-    #: Words that a task remembers; the table starts anew beyond.
-    LIMIT = 300_000
-    _WORD = re.compile(r"[^ \n\r\t]+")
+    #: Words of a generation.  A full young table becomes the old one, and words that are met again return from it.
+    LIMIT = 250_000
+    _BLANK = re.compile(r"[^ \n\r\t]+")
+    # letters of Latin blocks that are their own composed form; no other white space than blanks
+    PLAIN = re.compile(r"[\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*")
+    # fixed value: the tokenizer's own cuts, for those characters in lower case
+    _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^ \n\r\ta-z0-9\u00df-\u00f6\u00f8-\u024f]+")
 
     def __init__(self, file: str, end: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -182,23 +190,40 @@ class WordTable:
         self.tokenizer = Tokenizer.from_file(file)
         self.width = 2 if self.tokenizer.get_vocab_size() < 1 << 16 and end < 1 << 16 else 4
         self.end = end.to_bytes(self.width, "little")
-        self.table: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def words(self, text: str) -> list[str]:
+        if self.PLAIN.fullmatch(text) and "<|" not in text:
+            return self._WORD.findall(text.lower())
+        return self._BLANK.findall(text)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes, the end id last."""
-        cut = [self._WORD.findall(t) for t in texts]
-        if len(self.table) >= self.LIMIT:
-            self.table.clear()
-        if len(self.table) >= self.LIMIT:
-            self.table.clear()
-        known = self.table
-        new = list(set().union(*cut).difference(known))
-        if new:
-            coded = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            known.update((w, np.array(e.ids, f"<u{self.width}").tobytes()) for w, e in zip(new, coded, strict=True))
+        cut = [self.words(t) for t in texts]
+        if len(self.young) >= self.LIMIT:
+            self.old, self.young = self.young, {}
+        known = self.young
+        new = set().union(*cut).difference(known)
+        back = {w: self.old[w] for w in new.intersection(self.old)}
+        known.update(back)
+        fresh = list(new.difference(back))
+        if fresh:
+            coded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
+            known.update((w, np.array(e.ids, f"<u{self.width}").tobytes()) for w, e in zip(fresh, coded, strict=True))
         return [b"".join(map(known.__getitem__, words)) + self.end for words in cut]
 
 
+_tables: dict[tuple[str, int], WordTable] = {}
+
+
+def word_table(file: str, end: int) -> WordTable:
+    """One table for each tokenizer and process."""
+    if (file, end) not in _tables:
+        _tables[file, end] = WordTable(file, end)
+    return _tables[file, end]
+
+
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
@@ -212,7 +237,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, end: int) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTable(tokenizer_file, end)
+        words = word_table(tokenizer_file, end)
         context = TaskContext.get()
         fs, root = _filesystem(folder)
         fs.create_dir(root, recursive=True)
