@@ -8,9 +8,17 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, once for each application."""
+    """Sends the package to the executors, once for each application.
+
+    Also lowers the rows of an Arrow batch, where the session has Spark's own
+    default: ten thousand long texts are more than a task should hold twice.
+    """
+    if spark.conf.get(BATCH_ROWS, "10000") == "10000":
+        spark.conf.set(BATCH_ROWS, "2000")
     context = spark.sparkContext
     if getattr(context, "_strandline_shipped", False):
         return
