@@ -14,6 +14,8 @@ from pyspark.sql import SparkSession
 
 from .operators.edit import episode_selection
 from .plans import datasets as D
+from .plans.doctor import doctor
+from .plans.sizing import environment_report
 from .sources import default_registry
 from .sources.layouts import open_dataset
 
@@ -50,6 +52,9 @@ def _parser() -> argparse.ArgumentParser:
     i = sub.add_parser("inspect", help="the first episodes of a dataset")
     i.add_argument("source")
     i.add_argument("--limit", type=int, default=10)
+    h = sub.add_parser("doctor", help="a report on quality")
+    h.add_argument("source")
+    sub.add_parser("environment", help="versions and optional packages")
     sub.add_parser("sources", help="the known source formats")
     return parser
 
@@ -78,6 +83,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[dict[str, Any],
     if args.command == "inspect":
         rows = open_dataset(spark, args.source).episodes.select("episode_index", "length", "tasks").orderBy("episode_index").limit(args.limit).collect()
         return {"episodes": [r.asDict() for r in rows]}, True
+    if args.command == "doctor":
+        report = doctor(spark, args.source)
+        return report, report["ok"]
+    if args.command == "environment":
+        return environment_report(spark), True
     return {"sources": [{"name": p.name, "aliases": list(p.aliases), "origin": p.origin} for p in registry.infos()]}, True
 
 
