@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions.scalars import natural_key, nested_close, numeric_stem
 from .functions.statmaps import constant_stats, flatten_stats, shift_stats
-from .operators import align, compare, edit, index, merge, pack, quality, stats
+from .operators import align, compare, edit, index, media_plan, merge, pack, quality, stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -458,3 +458,40 @@ def validation(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_EP} select conv_id, length from ep order by conv_id limit 10")
 def episode_preview(spark: SparkSession, d: str) -> DataFrame:
     return _episodes(spark, d).orderBy("conv_id").limit(10)
+
+
+@query("""with s as (select doc_id, doc_id // 50 as file, (doc_id % 50) * 2.0 + case when doc_id % 17 = 3 then 0.013 else 0 end as start, (doc_id % 50) * 2.0 + case when doc_id % 13 = 4 then 2.5 else 2.0 end as stop from documents)
+select doc_id, fault from (select *, case when abs(start * 30 - round(start * 30)) > 0.01 then 'off_frame' when start < 0 or stop > 99.5 + 1e-7 then 'outside' when start < lag(stop) over (partition by file order by start, stop) - 1e-7 then 'overlap' end as fault from s) where fault is not null""")
+def slice_faults(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    slices = _t(spark, d, "documents").select("doc_id", F.floor(k / 50).alias("file"), ((k % 50) * 2.0 + F.when(k % 17 == 3, 0.013).otherwise(0.0)).alias("start"), ((k % 50) * 2.0 + F.when(k % 13 == 4, 2.5).otherwise(2.0)).alias("stop"), F.lit(99.5).alias("duration"))
+    return media_plan.slice_faults(slices, file="file", start="start", stop="stop", fps=30, duration="duration").select("doc_id", "fault")
+
+
+@query("""with s as (select doc_id // 20 as file, n_chars, case when (doc_id // 20) % 4 = 0 then false when (doc_id // 20) % 4 = 1 then doc_id % 3 <> 0 else true end as kept, (doc_id // 20) % 3 <> 2 as safe, (doc_id // 20) % 11 = 7 as pixels from documents),
+g as (select file, sum(n_chars) as frames, sum(case when kept then n_chars else 0 end) as kept_frames, bool_and(safe) as safe, bool_or(pixels) as pixels from s group by file)
+select file, cast(frames as bigint) as frames, cast(kept_frames as bigint) as kept_frames, case when kept_frames = 0 then 'drop' when pixels then 'transcode' when kept_frames = frames then 'reuse' when safe then 'remux' else 'transcode' end as mode from g""")
+def media_modes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    slices = _t(spark, d, "documents").select("doc_id", "n_chars", F.floor(k / 20).alias("file"))
+    group = F.col("file") % 4
+    kept = slices.where(F.when(group == 0, False).when(group == 1, k % 3 != 0).otherwise(True))
+    return media_plan.media_modes(slices, kept, file="file", key="doc_id", frames="n_chars", changes_pixels=F.col("file") % 11 == 7, keyframe_safe=F.col("file") % 3 != 2)
+
+
+@query("select source as source, max(n_chars) as bytes, count(*) as uses from documents group by source")
+def resource_profile(spark: SparkSession, d: str) -> DataFrame:
+    return media_plan.resource_profile(_t(spark, d, "documents"), resource="source", size="n_chars")
+
+
+@query("select source, max(n_chars) as needed from documents group by source")
+def longest_needed(spark: SparkSession, d: str) -> DataFrame:
+    return media_plan.longest_needed(_t(spark, d, "documents"), file="source", stop="n_chars")
+
+
+@query("""with p as (select label, cast(abs(vec_id * 7 % 256) as bigint) as x from embeddings)
+select label, min(x) / 255.0 as min, max(x) / 255.0 as max, round(avg(x) / 255.0, 6) as mean, round(stddev_pop(x) / 255.0, 6) as std, count(*) as count from p group by label""")
+def pixel_stats(spark: SparkSession, d: str) -> DataFrame:
+    x = _t(spark, d, "embeddings").select("label", F.abs(F.col("vec_id") * 7 % 256).alias("x"))
+    moments = x.groupBy("label").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    return _rounded(media_plan.pixel_stats(moments, ["label"]), "mean", "std")
