@@ -6,39 +6,46 @@
 2. Texts with the same words fold into one node, so copies never meet in a
    bucket.
 3. Nodes that share a band are candidates.  A bucket of up to SMALL_BUCKET
-   nodes gives all its pairs; a larger one gives the pairs with its most
-   central node and is split by further bands, level by level.  The rows made
-   are linear in the number of nodes.
-4. Candidates whose signatures agree too little to reach the threshold are
-   dropped (PREFILTER, under one in a million of the true pairs at the
-   threshold).  Every node's best candidate is verified on the full shingle
-   multisets, then every candidate that still joins two classes.
+   nodes gives all its pairs.  A larger one has a hub, its most central node,
+   and gives the pairs with the hub; so rows are linear in the number of nodes.
+4. Pairs within small buckets whose signatures agree too little to reach the
+   threshold are dropped (PREFILTER, under one in a million of the true pairs
+   at the threshold).  Every node's best candidate and all pairs with hubs are
+   verified on the full shingle multisets, then every candidate that still
+   joins two classes.
+   A node of a large bucket that is not in its hub's class may still be alike
+   to another member.  What two members share is bounded by what both share
+   with the hub: they miss at least the bits in the union of what each misses,
+   and of what the hub lacks they share at most the bits that both have and
+   the smaller number of their own shingles that fall on a taken bit.  Only pairs that this exact bound leaves, as few as
+   there are members with the same edits, are made and verified.
 5. Classes are the connected components of the verified links.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from . import textkit as tk
 from .components import components
-from .staging import small, stage, table
+from .staging import quoted, small, stage, table, unused
 
 N_WORDS, THRESHOLD = 5, 0.8
 BANDS, WIDTH = 24, 4
 #: A pair at 0.8 shares no band with probability (1 - 0.8**4)**24 = 3e-6.
 COORDINATES = BANDS * WIDTH
-SMALL_BUCKET = 32
-#: Offsets of the bands that split a large bucket, by level.
-SPLITS = ((1, 7), (11,))
+SMALL_BUCKET = 16
+#: Words of 64 bits in the sets of what a member misses and of what it adds.
+SET_WORDS = 8
 #: Standard deviations below the expected agreement at which a candidate is dropped.
 PREFILTER = 4.9
 
@@ -86,35 +93,52 @@ def _all_pairs(buckets: DataFrame) -> DataFrame:
     return first.select("a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b"))
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of nodes that share a bucket; linear in the number of nodes."""
-    level = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    found: list[DataFrame] = []
-    for depth, offsets in enumerate((*SPLITS, ())):
-        size = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        met = level.join(size, "bucket")
-        if not depth:
-            met = stage(met, "buckets")
-        found.append(_all_pairs(met.where(F.col("m") <= SMALL_BUCKET)))
-        large = met.where(F.col("m") > SMALL_BUCKET)
-        if not depth:
-            if large.limit(1).count() == 0:
-                break
-            central = large.groupBy("node").agg(F.sum("m").alias("central")).join(nodes, "node")
-            large = large.join(central, "node")
-        hub = large.groupBy("bucket").agg(F.max(F.struct("central", "node")).alias("h")).select("bucket", F.col("h.node").alias("hub"))
-        star = large.join(hub, "bucket").where("node <> hub")
-        found.append(star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")))
-        if not offsets:
-            break
-        split = large.select("node", "central", "bands", "band", "bucket", F.explode(F.array(*map(F.lit, offsets))).alias("off"))
-        other = F.expr(f"element_at(bands, cast((band + off) % {BANDS} + 1 as int))")
-        level = split.select("node", "central", "bands", F.expr(f"cast((band + off) % {BANDS} as int)").alias("band"), F.xxhash64("bucket", "off", other).alias("bucket"))
-        level = stage(level, f"level{depth}")
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.distinct()
+def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b), a < b, of small buckets, and distinct (node, hub) of large ones."""
+    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    size = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    met = stage(banded.join(size, "bucket"), "buckets")
+    large = met.where(F.col("m") > SMALL_BUCKET)
+    central = large.groupBy("node").agg(F.sum("m").alias("central"))
+    hub = large.join(central, "node").groupBy("bucket").agg(F.max(F.struct("central", "node")).alias("h")).select("bucket", F.col("h.node").alias("hub"))
+    star = large.join(hub, "bucket").where("node <> hub").select("node", "hub").distinct()
+    return _all_pairs(met.where(F.col("m") <= SMALL_BUCKET)).distinct(), stage(star, "stars")
+
+
+def _measured_stars(star: DataFrame, tokens: DataFrame) -> DataFrame:
+    """For each member: its size, what it shares with its hub, and bit sets of what it misses and adds."""
+    own = tokens.select("node", F.col("tokens").alias("ta"))
+    center = tokens.select(F.col("node").alias("hub"), F.col("tokens").alias("tb"))
+    both = star.join(own, "node").join(center, "hub").select("node", "hub", "ta", "tb", F.array_except("tb", "ta").alias("missed"), F.array_except("ta", "tb").alias("added"))
+    n, h, more = F.size("ta"), F.size("tb"), F.size("added")
+    bits = [_bits(side, k).alias(f"{side[0]}{k}") for side in ("missed", "added") for k in range(SET_WORDS)]
+    sets = both.select("node", "hub", n.alias("n"), h.alias("h"), more.alias("more"), ((n - more) / (h + more)).alias("similarity"), *bits)
+    return sets.withColumn("excess", F.col("more") - _count(F.col(f"a{k}") for k in range(SET_WORDS)))
+
+
+def _bits(side: str, word: int) -> Column:
+    """One word of the bit set of an array of hashes."""
+    mine = F.filter(side, lambda t: F.pmod(F.shiftright(t, 6), F.lit(SET_WORDS)) == word)
+    return F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(t, F.lit(64)).cast("int"))))
+
+
+def _count(words: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a + b, (F.bit_count(w) for w in words))
+
+
+def _leftovers(measured: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs of members of one hub that may be alike although one is not in the hub's class."""
+    placed = measured.join(label.select("node", F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    placed = placed.join(label.select(F.col("node").alias("hub"), F.col("component").alias("hc")), "hub", "left").withColumn("hc", F.coalesce("hc", "hub"))
+    placed = stage(placed, "placed")
+    x, y = placed.where("c <> hc").alias("x"), placed.alias("y")
+    missed = _count(F.col(f"x.m{k}").bitwiseOR(F.col(f"y.m{k}")) for k in range(SET_WORDS))
+    added = _count(F.col(f"x.a{k}").bitwiseAND(F.col(f"y.a{k}")) for k in range(SET_WORDS)) + F.least("x.excess", "y.excess")
+    shared = F.col("x.h") - missed + F.least(added, F.col("x.more"), F.col("y.more"))
+    # alike means shared / (n + n' - shared) >= threshold
+    enough = shared * (1 + THRESHOLD) + 1e-6 >= THRESHOLD * (F.col("x.n") + F.col("y.n"))
+    pairs = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.node") != F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & enough)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -147,23 +171,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         "nodes",
     )
     busy = nodes.where("n > 0")
-    pairs = _candidates(busy.select("node", "bands"))
+    pairs, star = _candidates(busy.select("node", "bands"))
     sig = busy.select("node", "sig").dropDuplicates(["node"])
     least = int(np.floor(COORDINATES * THRESHOLD - PREFILTER * np.sqrt(COORDINATES * THRESHOLD * (1 - THRESHOLD))))
     scored = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", _agreement("sa", "sb").alias("agree"))
     likely = stage(scored.where(F.col("agree") >= least), "candidates")
 
-    wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
+    wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).union(star.select("node")).union(star.select("hub")).distinct()
     wanted = small(stage(wanted, "wanted"))  # above its bound a shuffle join finds the texts
     tokens = stage(source.join(wanted, "doc_id", "left_semi").mapInArrow(_tokens, "node bigint, tokens array<bigint>"), "tokens").dropDuplicates(["node"])
 
     sides = likely.select(F.col("a").alias("node"), F.col("b").alias("other"), "agree").union(likely.select(F.col("b"), F.col("a"), "agree"))
     best = sides.groupBy("node").agg(F.max(F.struct("agree", "other")).alias("best")).select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct()
-    first = components(_verified(best, tokens))
-    label = first.select("node", "component")
-    rest = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
+    measured = stage(_measured_stars(star, tokens), "members")
+    starred = measured.where(F.col("similarity") >= THRESHOLD).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    label = components(_verified(best, tokens).select("a", "b").union(starred))
+    rest = likely.select("a", "b").join(best, ["a", "b"], "left_anti").union(_leftovers(measured, label)).distinct()
     rest = rest.join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    rest = rest.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+    rest = stage(rest.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb"), "rest")
     more = _verified(rest, tokens).join(rest, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     second = components(more)
 
@@ -179,9 +204,10 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     A class without any id keeps the rows it has.
     """
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(id_col)).distinct()
+    names, key = docs.columns, unused("gone", docs)
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(key)).distinct()
     gone = small(stage(gone, "gone"))
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(key), "left_anti").select(*map(quoted, names))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
