@@ -406,11 +406,11 @@ def test_pipeline_against_plain_python(spark, tmp_path, docs):
 
     rng = random.Random(12)
     item = prose(rng, 30)
-    clean = [prose(rng, 60) for _ in range(40)]
+    clean = [prose(rng, 60) for _ in range(150)]
     near = clean[0].split()
     near[30] = "changed"
     rows = [*clean, clean[1], " ".join(near), prose(rng, 20) + " " + item, ""]
-    rows += [prose(rng, 30) + " moron idiot" for _ in range(30)]
+    rows += [prose(rng, 30) + " moron idiot" for _ in range(60)]
     ids = list(range(len(rows)))
     table = pa.table({"doc_id": ids, "text": rows, "lang": ["en"] * len(rows), "source": ["s"] * len(rows), "n_chars": [len(r) for r in rows]})
     pq.write_table(table, tmp_path / "documents.parquet")
@@ -421,7 +421,10 @@ def test_pipeline_against_plain_python(spark, tmp_path, docs):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, frame, str(tmp_path)).columns == frame.columns, name
     got = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    want = [d for d, t in zip(ids, rows, strict=True) if not toxic[d] and item not in t and d not in (1, 41)]
+    machine = toxicity.train(frame, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    rejected = {r["doc_id"] for r in toxicity.score(frame, machine).where("predicted = 1").collect()}
+    assert all(toxic[d] for d in rejected) and len(rejected) > 0.8 * sum(toxic)
+    want = [d for d, t in zip(ids, rows, strict=True) if d not in rejected and item not in t and d not in (1, len(clean) + 1)]
     assert sorted(got) == want
 
 
