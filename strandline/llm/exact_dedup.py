@@ -1,7 +1,8 @@
 """Exact duplicates by content sort.
 
 Sampled splitters cut the order of the texts' bytes into ranges
-(``repartitionByRange``), an external sort puts equal texts next to each other
+(``repartitionByRange``; by the first characters, then by a hash where texts
+share these, so that a sample stays small), an external sort puts equal texts next to each other
 in a range, and full comparisons of neighbours find the groups.  Before the
 shuffle every task folds the equal texts that it meets into one row, so a group
 of copies reaches its range as a row from each task, however large it is.
@@ -18,13 +19,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import small, stage, table
+from .staging import quoted, small, stage, table, unused
 from .textkit import sub_batches
 
 _FOLDED = pa.schema([("text", pa.large_string()), ("keep_id", pa.int64()), ("n", pa.int64())])
 _GROUPS = "text_sha256 string, keep_id bigint, group_size bigint"
 #: Bytes of texts that a task remembers having met twice.
 REMEMBERED_BYTES = 32 << 20
+#: Leading characters of a text that order the ranges; texts that share them are told apart by a hash.
+KEY_CHARS = 32
 #: Digests up to which the groups with copies are broadcast: about 30 MB.
 MULTIPLE = 250_000
 
@@ -106,7 +109,9 @@ def duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sign = 1 if keep == "largest" else -1
     rows = docs.select((key * sign).alias("doc_id"), (normalise(text) if normalise else text).alias("text"))
     folded = rows.mapInArrow(_fold, "text string, keep_id bigint, n bigint")
-    ranges = folded.repartitionByRange(F.col("text")).sortWithinPartitions("text")
+    # splitters are sampled from a bounded key that equal texts share; the sort compares whole texts
+    bounded = (F.substring("text", 1, KEY_CHARS), F.xxhash64("text"))
+    ranges = folded.repartitionByRange(*bounded).sortWithinPartitions(*bounded, "text")
     groups = ranges.mapInArrow(_neighbours, _GROUPS)
     return groups.withColumn("keep_id", F.col("keep_id") * sign)
 
@@ -135,12 +140,13 @@ def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     keeps one row.
     """
     names = docs.columns
-    groups = duplicate_groups(docs, id_col=id_col, text_col=text_col, keep=keep).where("group_size > 1").select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.lit(True).alias("__many"))
+    sha, best_id, many = (unused(n, docs) for n in ("sha", "best", "many"))
+    groups = duplicate_groups(docs, id_col=id_col, text_col=text_col, keep=keep).where("group_size > 1").select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(best_id), F.lit(True).alias(many))
     groups = small(stage(groups, "copies"), MULTIPLE)
-    marked = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)).join(groups, "__sha", "left")
-    single = marked.where(F.col("__many").isNull())
-    best = marked.where(F.col("__many") & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__keep")))
-    return single.select(*names).unionByName(best.dropDuplicates(["__sha"]).select(*names))
+    marked = docs.withColumn(sha, F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)).join(groups, sha, "left")
+    single = marked.where(F.col(many).isNull())
+    best = marked.where(F.col(many) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(best_id)))
+    return single.select(*map(quoted, names)).unionByName(best.dropDuplicates([sha]).select(*map(quoted, names)))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
