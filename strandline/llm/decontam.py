@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .staging import small, stage, table
+from .staging import quoted, small, stage, table, unused
 
 SEED_WORDS = 3
 RARE = 50
@@ -211,9 +211,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "d
 
     Rows without an id cannot be told apart: one that aligns takes all with it.
     """
+    names, key = docs.columns, unused("gone", docs)
     hits = stage(contamination(docs, benchmark, id_col=id_col, text_col=text_col).select("doc_id").distinct(), "contaminated")
-    gone = small(hits.select(F.col("doc_id").alias("__gone")))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti").select(*docs.columns)
+    gone = small(hits.select(F.col("doc_id").alias(key)))
+    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(key)), "left_anti").select(*map(quoted, names))
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from .staging import table
 
 MARK = "▁"
 #: Chunks that a task remembers; the table starts anew beyond.
-TABLE_CHUNKS = 300_000
+TABLE_CHUNKS = 100_000
 #: Longer chunks are not remembered.
 TABLE_CHARS = 200
 # a space or a marker opens a chunk; the rest runs up to the next one

@@ -8,6 +8,7 @@ no Python object is made for a word.
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,9 +18,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a kernel handles at once.
-SUB_BATCH_BYTES = 4 << 20
+SUB_BATCH_BYTES = 2 << 20
 _SLICE = 1 << 20
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018  not every C library has it
+except (OSError, AttributeError):
+    _LIBC = None
+
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[128:] = True
 for _a, _b in ((48, 58), (65, 91), (97, 123)):
@@ -195,6 +202,13 @@ def occurrences(row: np.ndarray, element: np.ndarray) -> np.ndarray:
     return mix64(element * _GOLD + nth.astype(np.uint64) * _MIX2)
 
 
+def release() -> None:
+    """Gives freed memory back to the system, so that an idle worker is small."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def sub_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = SUB_BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes in ``column``, a row at least."""
     for batch in batches:
@@ -209,6 +223,7 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = SUB
             stop = min(stop, at + (1 << 17), batch.num_rows)
             yield batch.slice(at, stop - at)
             at = stop
+    release()
 
 
 def dart_signatures(row: np.ndarray, token: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:

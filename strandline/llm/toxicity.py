@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from . import textkit as tk
 from .staging import stage, table
@@ -50,16 +51,15 @@ def term_rows(w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), (np.concatenate(terms) >> np.uint64(64 - 21)).astype(np.int64)
 
 
-def again(bucket: np.ndarray) -> np.ndarray:
-    """The bucket of "this term, more than once"."""
-    return (tk.mix64(bucket.astype(np.uint64) + np.uint64(0xA24BAED4963EE407)) >> np.uint64(64 - 21)).astype(np.int64)
+#: Flips a bucket to that of "this term, more than once", and back.
+AGAIN = 0x15A5A5
 
 
 def with_repeats(pair: np.ndarray) -> np.ndarray:
     """Distinct row * BUCKETS + bucket, with the buckets of repeated terms added; ascending."""
     once, n = np.unique(pair, return_counts=True)
     twice = once[n > 1]
-    return np.unique(np.concatenate([once, twice // BUCKETS * BUCKETS + again(twice % BUCKETS)]))
+    return np.unique(np.concatenate([once, twice // BUCKETS * BUCKETS + (twice % BUCKETS ^ AGAIN)]))
 
 
 @dataclass
@@ -78,7 +78,8 @@ class Machine:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         slot = np.full(BUCKETS, -1, np.int32)
         slot[self.buckets] = np.arange(n)
-        watched = (slot >= 0) | (slot[again(np.arange(BUCKETS))] >= 0)
+        watched = np.zeros(BUCKETS, bool)
+        watched[self.buckets] = watched[self.buckets ^ AGAIN] = True
         row, bucket = term_rows(tk.words(column))
         seen = watched[bucket]
         pair = with_repeats(row[seen] * BUCKETS + bucket[seen])
@@ -133,7 +134,7 @@ def fit(row: np.ndarray, feature: np.ndarray, label: np.ndarray, vote: np.ndarra
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in tk.sub_batches(batches, "text"):
+    for batch in tk.sub_batches(batches, "text", 1 << 20):
         w = tk.words(batch.column(1))
         row, bucket = term_rows(w)
         pair = with_repeats(row * BUCKETS + bucket)
@@ -222,7 +223,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.sub_batches(batches, "text"):
+        for batch in tk.sub_batches(batches, "text", 1 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(machine.score(batch.column(1)))], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, score double")
@@ -231,15 +232,13 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, machine: Machine) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with all their columns; no text is shuffled."""
-    names = docs.columns
-    at = names.index("text")
-    schema = docs.schema
+    @F.arrow_udf(DoubleType())
+    def toxic(texts: pa.Array) -> pa.Array:
+        rows = pa.RecordBatch.from_arrays([texts], names=["text"])
+        parts = [machine.score(part.column(0)) for part in tk.sub_batches(iter([rows]), "text", 1 << 20)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tk.sub_batches(batches, "text"):
-            yield batch.filter(pa.array(machine.score(batch.column(at)) < THRESHOLD))
-
-    return docs.mapInArrow(run, schema)
+    return docs.where(toxic(F.coalesce("text", F.lit(""))) < THRESHOLD)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
