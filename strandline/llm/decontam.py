@@ -1,15 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Three steps over all texts, none of which shuffles a text:
+One step over all texts, which are not shuffled: every task joins the n-grams of
+its texts to those of the items, cuts the window around each diagonal band of
+hits, and aligns item and window word by word.
 
-1. Every task finds the n-grams that texts share with the items and counts the
-   documents of each; a small aggregate gives document frequencies over the
-   whole corpus.
-2. Each item keeps as seeds all n-grams with at most RARE documents, and for
-   every stretch of BLOCK words its rarest n-gram whatever its frequency, so an
-   item that a third of the corpus repeats still has seeds along all its length.
-3. Every task joins the seeds of its texts to the items, cuts the window around
-   each diagonal band of hits, and aligns item and window word by word.
+All n-grams of an item are seeds, however many documents hold them.  Thinning by
+document frequency would lose edited copies of an item that the corpus repeats:
+its rarest n-grams are those that the edits broke.  A window is so wide that an
+alignment through its seeds that reaches MIN_SCORE lies in it.  What shares no
+n-gram of SEED_WORDS words with an item is not aligned to it.
 
 The items are the side that is small: they are collected only after their size
 has been checked against MAX_ITEM_BYTES; a larger benchmark is cut into parts
@@ -31,8 +30,6 @@ from . import textkit as tk
 from .staging import quoted, small, stage, table, unused
 
 SEED_WORDS = 3
-RARE = 50
-BLOCK = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's best possible score that an alignment must reach.
 MIN_SCORE = 0.5
@@ -56,22 +53,6 @@ class Items:
                 for g, p in zip(grams.tolist(), at.tolist(), strict=True):
                     self.places[g].append((i, p))
 
-    def seeds(self, frequency: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """n-gram -> (item, position), for the n-grams that seed an alignment."""
-        of: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for g, places in self.places.items():
-            for i, p in places:
-                of[i].append((p, g))
-        chosen: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, grams in of.items():
-            for block in range(0, max(p for p, _ in grams) + 1, BLOCK):
-                inside = [(frequency.get(g, 0), p, g) for p, g in grams if block <= p < block + BLOCK]
-                rarest = min(inside)[0]
-                for df, p, g in inside:
-                    if df <= max(RARE, rarest):
-                        chosen[g].append((i, p))
-        return chosen
-
 
 def _lookup(sizes: set[int], known: np.ndarray, w: tk.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each n-gram length, the known n-grams of a column and the words where they begin."""
@@ -87,25 +68,6 @@ def _lookup(sizes: set[int], known: np.ndarray, w: tk.Words) -> Iterator[tuple[n
         yield g[ok], at[near[ok]]
 
 
-def _frequencies(docs: DataFrame, items: Items) -> dict[int, int]:
-    """Documents of each item n-gram; one bounded row for each n-gram comes back."""
-    known, sizes = np.sort(np.array(list(items.places), np.uint64)), set(items.n)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(known), np.int64)
-        for batch in tk.sub_batches(batches, "text"):
-            w = tk.words(batch.column(1))
-            for g, at in _lookup(sizes, known, w):
-                row = np.searchsorted(w.first, at, side="right") - 1
-                pair = np.unique(row * len(known) + np.searchsorted(known, g))
-                total += np.bincount(pair % len(known), minlength=len(known))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(total[some])], names=["gram", "n"])
-
-    rows = docs.mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    return {r["gram"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in rows}
-
-
 def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int, int]:
     """Best local alignment of two word sequences: score, matched words, begin and end in the window."""
     n, m = len(item), len(window)
@@ -131,9 +93,30 @@ def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int,
     return best, matched, int(j), end
 
 
-def _align(docs: DataFrame, items: Items, seeds: dict[int, list[tuple[int, int]]]) -> DataFrame:
-    known, sizes = np.sort(np.array(list(seeds), np.uint64)), {items.n[i] for v in seeds.values() for i, _ in v}
-    places, ids, texts = dict(seeds), items.ids, items.words
+def _windows(begins: list[int], n: int, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Stretches of a text in which an item of ``n`` words may lie that begins near ``begins``.
+
+    An alignment that reaches MIN_SCORE (n points) has n gaps at most, so it
+    strays from a seed's diagonal by n words at most and is 2 n words long at
+    most: pieces of 4 n words that step by 2 n hold it whole.
+    """
+    begins.sort()
+    spans = [[begins[0], begins[0]]]
+    for b in begins[1:]:
+        if b - spans[-1][1] > n:
+            spans.append([b, b])
+        spans[-1][1] = b
+    for a, b in spans:
+        lo, hi = max(low, a - n), min(high, b + 2 * n)
+        while hi - lo > 4 * n:
+            yield lo, lo + 4 * n
+            lo += 2 * n
+        yield lo, hi
+
+
+def _align(docs: DataFrame, items: Items) -> DataFrame:
+    known, sizes = np.sort(np.array(list(items.places), np.uint64)), {n for n, x in zip(items.n, items.words, strict=True) if len(x)}
+    places, ids, texts = dict(items.places), items.ids, items.words
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.sub_batches(batches, "text"):
@@ -148,18 +131,8 @@ def _align(docs: DataFrame, items: Items, seeds: dict[int, list[tuple[int, int]]
             for (row, i), begins in near.items():
                 item = texts[i]
                 low, high = int(w.first[row]), int(w.first[row + 1])
-                slack = len(item) // 2 + 2
-                begins.sort()
-                group = [begins[0], begins[0]]
-                spans = [group]
-                for b in begins[1:]:
-                    if b - group[1] > slack:
-                        group = [b, b]
-                        spans.append(group)
-                    group[1] = b
                 best = (0, 0, 0, 0)
-                for a, b in spans:
-                    lo, hi = max(low, a - slack), min(high, b + len(item) + slack)
+                for lo, hi in _windows(begins, len(item), low, high):
                     if np.isin(item, w.hash[lo:hi]).sum() < MIN_SCORE * len(item):
                         continue  # even with all shared words aligned the score stays below
                     score, matched, s, e = smith_waterman(item, w.hash[lo:hi])
@@ -199,8 +172,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         items = Items(rows)
         if not items.places:
             continue
-        seeds = items.seeds(_frequencies(texts, items))
-        found.append(_align(texts, items, seeds))
+        found.append(_align(texts, items))
     if not found:
         return docs.sparkSession.createDataFrame([], _HITS)
     return reduce(DataFrame.union, found)

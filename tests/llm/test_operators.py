@@ -169,6 +169,36 @@ def test_contamination(spark, docs, empty):
     assert decontam.drop_contaminated(docs, bench).columns == docs.columns
 
 
+def test_edited_copies_of_an_item_that_the_corpus_repeats(spark):
+    rng = random.Random(21)
+    item = prose(rng, 36)
+    rows = [(k, item) for k in range(100)]
+    for k in range(100, 106):
+        words = item.split()
+        for j in range(5, 36, 6):  # every stretch of four 3-grams has a broken one
+            words[j] = f"edit{k}x{j}"
+        rows.append((k, prose(rng, 30) + " " + " ".join(words) + " " + prose(rng, 30)))
+    words = item.split()
+    rows.append((106, " ".join([*words[:18], *prose(rng, 30).split(), *words[18:]])))  # parted by nearly its own length
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in decontam.contamination(frame, spark.createDataFrame([(0, item)], "item_id bigint, text string")).collect()}
+    assert set(got) == set(range(107))
+    assert all(got[k]["matched"] == 30 and got[k]["start"] == 30 for k in range(100, 106))
+    assert got[106]["start"] == 0 and got[106]["stop"] == 66
+
+
+def test_windows_hold_every_alignment():
+    rng = random.Random(22)
+    for _ in range(300):
+        n, low, high = rng.randint(1, 9), 10, 10 + rng.randint(1, 120)
+        begins = [rng.randint(low - n, high - 1) for _ in range(rng.randint(1, 12))]
+        found = list(decontam._windows(begins[:], n, low, high))
+        assert all(low <= a and b <= high and b - a <= 4 * n for a, b in found)
+        for x in begins:
+            for at in range(max(low, x - n), min(high, x + 2 * n)):
+                assert any(a <= at and min(at + 2 * n, x + 2 * n, high) <= b for a, b in found)
+
+
 def test_smith_waterman_against_plain_loops():
     rng = np.random.default_rng(0)
     for _ in range(60):
