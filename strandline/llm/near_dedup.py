@@ -78,6 +78,17 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(token))], names=["node", "tokens"])
 
 
+def _unnamed_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of texts without an id under the name of their node; of copies in a slice one stays."""
+    for batch in tk.sub_batches(batches, "text"):
+        w = tk.words(batch.column(1))
+        node, first = np.unique(tk.sequence_hash(w.hash, w.first, 1).view(np.int64), return_index=True)
+        busy = w.counts()[first] > 0
+        named = pa.RecordBatch.from_arrays([pa.array(node[busy]), batch.column(1).take(pa.array(first[busy]))], names=["node", "text"])
+        if named.num_rows:
+            yield from _tokens(iter([named]))
+
+
 @F.pandas_udf(IntegerType())
 def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     if not len(a):
@@ -159,15 +170,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     alike texts connect.  class_id is the smallest doc_id of the class and the
     one that is kept.  A text of one to four words has one shingle.  Texts
     without words, null and empty ones among them (null counts as empty), are
-    alike only if equal.  A text without any id has a class_id made from its
-    fingerprint.  An id is taken to name one text: rows that share an id share
-    a class.  Extra columns are ignored; an empty table gives an empty table.
+    alike only if equal.  Rows without an id link texts like any other; a class
+    without any id has a class_id made from a fingerprint.  An id is taken to
+    name one text: rows that share an id share a class.  Extra columns are ignored; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     signed = stage(source.mapInArrow(_sign, _SIGNATURE), "signatures")
     nodes = stage(
-        signed.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).select("fp1", "fp2", F.coalesce("least_id", "fp1").alias("node"), "copies", "n", "bands", "sig"),
+        signed.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).select("fp1", "fp2", F.coalesce("least_id", "fp1").alias("node"), "least_id", "copies", "n", "bands", "sig"),
         "nodes",
     )
     busy = nodes.where("n > 0")
@@ -179,7 +190,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).union(star.select("node")).union(star.select("hub")).distinct()
     wanted = small(stage(wanted, "wanted"))  # above its bound a shuffle join finds the texts
-    tokens = stage(source.join(wanted, "doc_id", "left_semi").mapInArrow(_tokens, "node bigint, tokens array<bigint>"), "tokens").dropDuplicates(["node"])
+    form = "node bigint, tokens array<bigint>"
+    # no task of the union runs two Python workers at once
+    named = source.join(wanted, "doc_id", "left_semi").mapInArrow(_tokens, form)
+    unnamed = source.where("doc_id is null").mapInArrow(_unnamed_tokens, form).join(wanted.withColumnRenamed("doc_id", "node"), "node", "left_semi")
+    tokens = stage(named.union(unnamed), "tokens").dropDuplicates(["node"])
 
     sides = likely.select(F.col("a").alias("node"), F.col("b").alias("other"), "agree").union(likely.select(F.col("b"), F.col("a"), "agree"))
     best = sides.groupBy("node").agg(F.max(F.struct("agree", "other")).alias("best")).select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct()
@@ -192,10 +207,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     more = _verified(rest, tokens).join(rest, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     second = components(more)
 
-    top = nodes.select("fp1", "fp2", "node", "copies").join(label, "node", "left").withColumn("c1", F.coalesce("component", "node")).drop("component")
-    top = top.join(second.withColumnRenamed("node", "c1"), "c1", "left").select("fp1", "fp2", F.coalesce("component", "c1").alias("class_id"), "copies")
-    sizes = top.groupBy("class_id").agg(F.sum("copies").alias("group_size"))
-    answer = stage(top.join(sizes, "class_id").select("fp1", "fp2", "class_id", "group_size"), "classes")
+    top = nodes.select("fp1", "fp2", "node", "least_id", "copies").join(label, "node", "left").withColumn("c1", F.coalesce("component", "node")).drop("component")
+    top = top.join(second.withColumnRenamed("node", "c1"), "c1", "left").select("fp1", "fp2", F.coalesce("component", "c1").alias("class"), "least_id", "copies")
+    # a fingerprint may be less than any id: the class is named by its ids as long as it has one
+    sizes = top.groupBy("class").agg(F.sum("copies").alias("group_size"), F.coalesce(F.min("least_id"), "class").alias("class_id"))
+    answer = stage(top.join(sizes, "class").select("fp1", "fp2", "class_id", "group_size"), "classes")
     return signed.select("doc_id", "fp1", "fp2").join(answer, ["fp1", "fp2"]).select("doc_id", "class_id", "group_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 

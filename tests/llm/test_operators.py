@@ -144,6 +144,29 @@ def test_large_bucket_of_near_copies(spark):
     assert got == brute_classes(frame)
 
 
+@pytest.mark.parametrize("copies", [5, 60])
+def test_near_copies_of_a_text_without_id(spark, copies):
+    rows = []
+    for seed in range(6):  # originals with fingerprints of both signs
+        rng = random.Random(seed)
+        base = prose(rng, 150).split()
+        rows += [(None, " ".join(base))] * 2
+        for i in range(copies):
+            words = base[:]
+            for j in (10 + 2 * i, 140 - 2 * i) if copies == 5 else rng.sample(range(5, 145), 2):
+                words[j] = f"w{i}x{j}"
+            rows.append((1000 * seed + i, " ".join(words)))
+    rows += [(None, "only without an id")] * 2
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = near_dedup.near_duplicates(frame).collect()
+    assert len(got) == len(rows)
+    named = [r for r in got if r["doc_id"] is not None]
+    assert all(r["class_id"] == r["doc_id"] // 1000 * 1000 and r["group_size"] == copies + 2 for r in named)
+    assert sorted(r["group_size"] for r in got if r["doc_id"] is None) == [2, 2] + [copies + 2] * 12
+    assert sorted(r["class_id"] for r in got if r["doc_id"] is None and r["group_size"] > 2) == [k // 2 * 1000 for k in range(12)]
+    assert sorted(r["doc_id"] for r in named if r["kept"]) == [1000 * k for k in range(6)]
+
+
 # --- decontamination
 
 
