@@ -5,8 +5,11 @@ searched with a sliding window of WINDOW characters.  Characters fall into four
 classes (lower case, upper case, digits, other); the counts of each character
 and each class move with the window, and so does the sum of c log c, from which
 the Shannon entropy follows without recounting.  Windows that carry enough
-entropy in each class that they use join to spans; an allow-list suppresses the
-spans that are known to be harmless.
+entropy in each class that they use join to spans.  Keys over a small alphabet
+(hex, base32) and keys of letters alone cannot reach that bar and have rules of
+their own (alphabet_windows).  Shapes of public identifiers are cut out of a run
+before it is searched; an allow-list suppresses the spans found that are known
+to be harmless.
 """
 
 from __future__ import annotations
@@ -37,14 +40,21 @@ HEX_MIN = 24
 _ANY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+#: What may follow a key in base64; elsewhere "=" parts a name from its value.
+PADDING = re.compile(r"={1,2}(?![A-Za-z0-9+/_=-])")
 WINDOW = 20
 #: Bits that the characters of a window must carry, in all and within letters and digits.
-MIN_BITS = 3.6
+MIN_BITS = 3.4
+#: Bits for each alphabet: hex digits of one case, base32, and letters alone.
+HEX_BITS, BASE32_BITS, LETTER_KEY_BITS = 2.9, 3.2, 3.4
 MIN_LETTER_BITS, MIN_DIGIT_BITS = 2.0, 0.8
 MIN_LETTERS, MIN_DIGITS = 4, 2
-#: Spans that match are no secrets: fixed shapes of public identifiers and sample values.
-ALLOW = tuple(re.compile(p) for p in (r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(?i).*(?:example|sample|placeholder|changeme|xxxx).*", r"sha(?:1|256|384|512)-.*", r"[A-Za-z_/=-]+", r"[0-9_/=+-]+", r"(?:[A-Za-z]+[0-9]{0,3}[_/=-])+[A-Za-z]*[0-9]{0,3}"))
+_SAMPLE = r"(?i:example|sample|placeholder|changeme|xxxx)"
+#: Public identifiers and names of sample folders, which part what stands before and after them.
+PUBLIC = re.compile(rf"(?<![0-9A-Za-z])[0-9a-fA-F]{{8}}(?:-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}(?![0-9A-Za-z])|(?<![0-9A-Za-z])sha(?:1-[A-Za-z0-9+/]{{27}}|256-[A-Za-z0-9+/]{{43}}|384-[A-Za-z0-9+/]{{64}}|512-[A-Za-z0-9+/]{{86}})(?![A-Za-z0-9+/_-])|(?<![^/])[A-Za-z_-]*{_SAMPLE}[A-Za-z_-]*[0-9]{{0,3}}(?![^/])")
+#: Spans that match are no secrets: sample values, numbers, and words with numbers.
+ALLOW = tuple(re.compile(p) for p in (rf".*{_SAMPLE}.*", r"[0-9_/=+-]+", r"(?:(?:[A-Za-z]+[0-9]{0,3}|[0-9]{1,4})[_/=-]+)+[A-Za-z]*[0-9]{0,4}"))
 
 _LOG = np.concatenate([[0.0], np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1))])
 _CLASS = {c: k for k, chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_=-")) for c in chars}
@@ -82,6 +92,88 @@ def entropy_windows(text: str) -> list[tuple[int, int]]:
     return spans
 
 
+def _members(chars: str) -> np.ndarray:
+    table = np.zeros(128, bool)
+    table[[ord(c) for c in chars]] = True
+    return table
+
+
+_LOWER, _UPPER, _DIGIT = _members("abcdefghijklmnopqrstuvwxyz"), _members("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _members("0123456789")
+_HEX_LOWER, _HEX_UPPER, _BASE32 = _members("0123456789abcdef"), _members("0123456789ABCDEF"), _members("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+_WORDY = re.compile(r"[A-Z][a-z]{2,}|[a-z]{3,}")
+_VOWEL = _members("aeiouAEIOU")
+
+
+def _runs(flag: np.ndarray, length: int) -> np.ndarray:
+    """Where a run of ``length`` flags ends."""
+    total = np.concatenate([[0], np.cumsum(flag)])
+    out = np.zeros(len(flag), bool)
+    out[length - 1 :] = total[length:] - total[:-length] == length
+    return out
+
+
+def alphabet_windows(text: str) -> list[int]:
+    """Where windows begin that look random within a small alphabet or in letters alone.
+
+    Letters of one case must lack the vowels of words and hold a long run of
+    consonants; letters of both cases must not be words with capitals.
+    """
+    code = np.frombuffer(text.encode("ascii"), np.uint8)
+    if len(code) < WINDOW:
+        return []
+
+    def within(flag: np.ndarray, skip: int = 0) -> np.ndarray:
+        """How many of a window's characters, but the first ``skip``, have a flag."""
+        total = np.concatenate([[0], np.cumsum(flag)])
+        return total[WINDOW:] - total[skip : len(total) - WINDOW + skip]
+
+    lower, upper, digit, vowel = _LOWER[code], _UPPER[code], _DIGIT[code], _VOWEL[code]
+    low, up, digits = within(lower), within(upper), within(digit)
+    letters, mixed = low + up, digits >= MIN_DIGITS
+    wordy = np.zeros(len(code), bool)
+    for m in _WORDY.finditer(text):
+        wordy[m.start() : m.end()] = True
+    few = within(vowel) <= 7
+    harsh = few & (within(_runs((lower | upper) & ~vowel, 5), 4) > 0)
+    hexed = ((within(_HEX_LOWER[code]) == WINDOW) | (within(_HEX_UPPER[code]) == WINDOW)) & mixed & (letters >= 3)
+    based = (within(_BASE32[code]) == WINDOW) & mixed & (letters >= MIN_LETTERS)
+    one_case = (letters >= WINDOW - 3) & (letters + digits == WINDOW) & ((low == 0) | (up == 0)) & harsh
+    two_cases = (letters >= WINDOW - 4) & (low >= 3) & (up >= 3) & few & (within(wordy) <= 15)
+    bar = np.full(len(low), np.inf)
+    bar[one_case | two_cases] = LETTER_KEY_BITS
+    bar[based] = BASE32_BITS
+    bar[hexed] = HEX_BITS
+    some = np.flatnonzero(np.isfinite(bar))
+    windows = np.lib.stride_tricks.sliding_window_view(code, WINDOW)
+    good = []
+    for at in range(0, len(some), 4096):
+        part = some[at : at + 4096]
+        w = windows[part]
+        same = (w[:, :, None] == w[:, None, :]).sum(axis=2)
+        bits = math.log2(WINDOW) - np.log2(same).sum(axis=1) / WINDOW
+        good += part[bits >= bar[part]].tolist()
+    return good
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _pieces(run: str) -> Iterator[tuple[int, str]]:
+    """What PUBLIC leaves of a run, with the place where it begins."""
+    at = 0
+    for m in PUBLIC.finditer(run):
+        yield at, run[at : m.start()]
+        at = m.end()
+    yield at, run[at:]
+
+
 def find_secrets(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every span of a text in code points, by start and then by kind."""
     base = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m.group(2)) >= ASSIGN_MIN]
@@ -90,12 +182,15 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
     covered = sorted((a, b) for a, b, _ in base)
     extra = []
     for m in CANDIDATE.finditer(text):
-        if any(p.fullmatch(m.group()) for p in ALLOW):
-            continue
-        for a, b in entropy_windows(m.group()):
-            start, end = m.start() + a, m.start() + b
-            if not any(x < end and start < y for x, y in covered):
-                extra.append((start, end, "entropy"))
+        for at, piece in _pieces(m.group()):
+            for a, b in _joined(entropy_windows(piece) + [(i, i + WINDOW) for i in alphabet_windows(piece)]):
+                if any(p.fullmatch(piece, a, b) for p in ALLOW):
+                    continue
+                start, end = m.start() + at + a, m.start() + at + b
+                if end == m.end() and (pad := PADDING.match(text, end)):
+                    end = pad.end()
+                if not any(x < end and start < y for x, y in covered):
+                    extra.append((start, end, "entropy"))
     return sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -449,6 +449,26 @@ def test_secrets(docs, empty):
         assert {j for a, b in secrets.entropy_windows(s) for j in range(a, b)} == covered
 
 
+def test_secrets_recall_on_random_keys_of_each_shape():
+    rng = random.Random(8)
+    small, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    shapes = {"hex": "0123456789ABCDEF", "base32": small.upper() + "234567", "mixed": small + small.upper() + digits, "base64": small + small.upper() + digits + "+/", "letters": small + small.upper(), "small letters": small}
+    for shape, chars in shapes.items():
+        for n, least in ((20, 0.8), (24, 0.9), (40, 0.97)):
+            keys = ["".join(rng.choice(chars) for _ in range(n)) for _ in range(200)]
+            found = sum(any(k == "entropy" for *_, k in secrets.find_secrets(f"see {x} there")) for x in keys)
+            assert found >= least * len(keys), (shape, n, found)
+
+
+def test_secrets_allow_list_hides_only_what_it_names():
+    key = "q7Rk2LwZ9xTb4NfV8mHd3PsJ"
+    for text in (f"example={key}", f"/examples/config/{key}", f"4f3c2d1e-1111-2222-3333-444455556666/{key}", f"{key}/samples/x", f"sample={key}=="):
+        assert [text[a:b].rstrip("=").endswith(key) or text[a:b].startswith(key) for a, b, _ in secrets.find_secrets(text)] == [True], text
+    assert secrets.find_secrets(f"{key}==")[0][1] == len(key) + 2
+    for text in ("q7Rk2LwZ9xTbEXAMPLEKEY", "4f3c2d1e-1111-2222-3333-444455556666", "sha256-" + "aB3" * 14 + "x=", "getElementsByClassNameAndTagName", "internationalization/and/localization", "2024-01-15-2024-01-16-2024", "version-12/release-34/build-56"):
+        assert secrets.find_secrets(text) == [], text
+
+
 # --- pipeline
 
 
