@@ -29,12 +29,16 @@ from .staging import table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "template", "noscript", "iframe", "textarea", "title", "xmp", "noembed", "noframes")
 UNSEEN = frozenset("script style template noscript iframe title head object svg math canvas audio video noembed noframes xmp".split())
+#: What may stand in a head; any other tag closes it, as </head> may be left out.
+IN_HEAD = frozenset("head base basefont bgsound link meta title noscript noframes style script template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img ruby rt rp nobr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPES = frozenset("table ul ol dl select article section div body html".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# a quote opens a quoted value only where a value begins; within names and unquoted values it is a character
+_VALUE = r"\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*|(?=>))"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:{_VALUE})?|=)*+)>", re.S)
 _ATTR = re.compile(r"(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _NAME = re.compile(r"[a-z]+")
@@ -72,6 +76,8 @@ def parse(page: str) -> Tree:
 
     def text_at(raw: str) -> None:
         nonlocal owner
+        if stack[-1][0] == "head" and raw.strip():
+            close(len(stack) - 1)
         if raw and not unseen:
             node = stack[-1][1]
             if node != owner:
@@ -110,6 +116,11 @@ def parse(page: str) -> Tree:
                     close(k)
                     break
             continue
+        if name not in IN_HEAD:
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] == "head":
+                    close(k)
+                    break
         if name in CLOSES_P:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":

@@ -273,6 +273,21 @@ def test_html():
     assert got[0] == want and got[1] == "" and got[8] == ""
 
 
+def test_html_head_left_open_and_stray_quotes():
+    model = html_extract.default_model()
+    article = "<article><h1>A title of it</h1><p>First paragraph of the article, with some words.</p><p>Second paragraph of the article, with more words.</p></article>"
+    want = "A title of it First paragraph of the article, with some words. Second paragraph of the article, with more words."
+    heads = ["<html><head><title>T</title><body>", "<html><head><title>T</title><style>x{}</style>", "<head><meta charset=utf-8><link rel=x href=y><script>1</script></head><body>"]
+    assert model.extract([h + article for h in heads]) == [want] * 3
+    assert html_extract.parse("<head><title>T</title>Text of a body").blocks[-1][1] == "Text of a body"
+    stray = ["<a title=Bob's href=x>", '<a title=5"x href=x>', "<a href=x?q='>", "<a title='x>y' href=\"a>b\">", "<a title = 'x>y'href=z>", '<a "x>', "<a href=x=\"y>"]
+    for tag in stray:
+        tree = html_extract.parse(f"<p>one {tag}two</a> three</p><p class=x>it's \"four\"</p>")
+        assert [t for _, t in tree.blocks] == ["one two three", "it's \"four\""], tag
+    deep = "<head><title>T</title>" + "<a title=" + "'x " * 20_000
+    assert html_extract.parse(deep).blocks
+
+
 def test_html_messages_are_exact():
     trees = [html_extract.parse("<div><p>a b c</p><ul><li>d</ul></div><p>e")]
     model = html_extract.default_model()
