@@ -26,6 +26,7 @@ import random
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,39 @@ TEMPLATES: dict[str, str] = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
+#: Further usual wordings, which OP7_SQL does not know.
+NOTICES: dict[str, str] = {
+    "agpl-3.0-notice": "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "apache-2.0-short": "Licensed under the Apache License 2.0",
+    "bsd-short": "licensed under the BSD License",
+    "bsd-2-clause-short": "licensed under the BSD 2-Clause License",
+    "bsd-3-clause-short": "licensed under the BSD 3-Clause License",
+    "cc-by-sa-4.0": "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-sa-4.0-short": "licensed under CC BY-SA 4.0",
+    "cc-by-4.0-short": "licensed under CC BY 4.0",
+    "cc0-1.0-notice": "waived all copyright and related or neighboring rights",
+    "gpl-2.0-short": "GNU General Public License, version 2",
+    "isc-short": "licensed under the ISC License",
+    "lgpl-notice": "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "lgpl-short": "licensed under the GNU Lesser General Public License",
+    "agpl-3.0-short": "licensed under the GNU Affero General Public License",
+    "mit-short": "Licensed under the MIT License",
+    "mit-available": "available under the MIT License",
+    "mit-terms": "under the terms of the MIT License",
+    "mpl-2.0-short": "licensed under the Mozilla Public License 2.0",
+    "unlicense-notice": "This is free and unencumbered software released into the public domain",
+}
+
+
+def all_templates() -> dict[str, str]:
+    """TEMPLATES, NOTICES, and the full texts of license_texts as "name-text"."""
+    full = {f"{f.stem}-text": f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+    return TEMPLATES | NOTICES | full
+
+
+#: A tag of four words has no shingle; it names its license itself.
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9][A-Za-z0-9.+-]*)"
+
 
 @dataclass(frozen=True)
 class Template:
@@ -141,13 +175,16 @@ def _signed(spark: SparkSession, templates: list[Template]) -> list[tuple[str, l
 def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     """doc_id, n_licenses, licenses (names by order, joined by commas) for every row of ``docs``.
 
+    Without ``texts`` all_templates are looked for, and SPDX tags are reported
+    as "spdx-" and the identifier in small letters (the first of an expression).
     Null text counts as empty and matches nothing, and so does a text of fewer
     than five words.  Repeated rows repeat, a missing id stays missing, extra
     columns are ignored, an empty table gives an empty table.
     """
-    templates = templates_of(TEMPLATES if texts is None else texts)
+    templates = templates_of(all_templates() if texts is None else texts)
     signed = _signed(docs.sparkSession, templates)
-    longs = lambda values: F.array(*(F.lit(v) for v in values)).cast("array<bigint>")
+    # one literal, however long: the cast is folded by the optimizer
+    longs = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
     known = [sorted({b for _, s, bands in signed for b in bands if (len(s) > SHORT) == bool(k)}) for k in range(2)]
 
     def found(own: Column) -> Column:
@@ -165,6 +202,9 @@ def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None) -> DataF
     for a in anchors_for(templates):
         possible = possible | lowered.contains(a)
     names = F.when(possible, _let(_shingles(_words(text)), lambda own: F.when(F.size(own) > 0, found(own)).otherwise(nothing))).otherwise(nothing)
+    if texts is None:
+        tags = F.transform(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1)), lambda t: F.concat(F.lit("spdx-"), F.lower(t)))
+        names = F.when(lowered.contains("spdx-license-identifier"), F.array_sort(F.array_union(names, tags))).otherwise(names)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), names.alias("found"))
     return rows.select("doc_id", F.size("found").cast("long").alias("n_licenses"), F.array_join("found", ",").alias("licenses"))
 

@@ -403,6 +403,24 @@ def test_licenses_against_brute_force(spark, docs, empty):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_licenses_in_usual_wordings_and_full(spark):
+    rng = random.Random(12)
+    every = licenses.all_templates()
+    full = [n for n in every if n.endswith("-text")]
+    said = ["Licensed under the MIT License", "Licensed under the Apache License 2.0", "// SPDX-License-Identifier: MIT", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1"]
+    want = ["mit-short", "apache-2.0-short", "spdx-mit", "lgpl-notice"]
+    rows = [(i, prose(rng, 30) + "\n" + t + "\n" + prose(rng, 30)) for i, t in enumerate([*said, *(every[n] for n in full)])]
+    rows.append((900, prose(rng, 300)))
+    got = {r["doc_id"]: r["licenses"].split(",") for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(n in got[i] for i, n in enumerate([*want, *full])) and got[900] == [""]
+    for d, t in rows:
+        w = re.findall("[a-z0-9]+", t.lower())
+        have = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        names = [x.name for x in licenses.templates_of(every) if len(have & set(x.shingles)) >= 0.8 * len(x.shingles)]
+        assert [n for n in got[d] if n and not n.startswith("spdx-")] == names, d
+    assert {"agpl-3.0-short", "isc-text", "cc0-1.0-text", "cc-by-sa-4.0-text", "unlicense-text", "lgpl-3.0-text"} <= set(every)
+
+
 # --- shard files
 
 
