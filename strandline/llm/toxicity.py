@@ -10,7 +10,8 @@ so a pair of terms (an insult and whom it names) can weigh more or less than
 the two alone.  Terms are chosen by a weighted chi-square test on the training
 rows, and the machine is fitted by mini-batch Adagrad on a bounded sample of
 labelled rows (TRAIN_ROWS).  Copies in the sample share one vote: rows with the
-same label and the same least shingle weigh 1 / their number.
+same label and the same SKETCH least shingles, each by an order of its own,
+weigh 1 / their number; a passage that texts share is not enough for that.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ FACTORS = 8
 EPOCHS = 40
 BATCH = 256
 RATE, DECAY = 0.2, 3e-5
+#: Coordinates that copies have in common.
+SKETCH = 8
 THRESHOLD = 0.7
 SEED = 7
 
@@ -142,11 +145,13 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = (pair % BUCKETS).astype(np.int32)
         srow, element = tk.shingles(w)
         first = np.searchsorted(srow, np.arange(batch.num_rows))
-        mixed = tk.mix64(element) >> np.uint64(1)
-        sketch = np.zeros(batch.num_rows, np.int64)
+        sketch = np.zeros(batch.num_rows, np.uint64)
         some = np.flatnonzero(np.bincount(srow, minlength=batch.num_rows))
         if len(some):
-            sketch[some] = np.minimum.reduceat(mixed, first[some]).astype(np.int64)
+            for k in range(SKETCH):
+                order = tk.mix64(element + np.uint64(k << 44))
+                sketch[some] = tk.mix64(sketch[some] + np.minimum.reduceat(order, first[some]))
+        sketch = sketch.view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(sketch), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(flat))], names=["toxic", "sketch", "terms"])
 
 

@@ -383,6 +383,19 @@ def test_toxicity_learns_an_interaction(spark, empty):
     assert np.allclose(again.weight, machine.weight)
 
 
+def test_toxicity_a_shared_passage_makes_no_copies():
+    import pyarrow as pa
+
+    rng = random.Random(16)
+    passage = prose(rng, 120)
+    texts = [passage + " " + prose(rng, 60) for _ in range(300)]
+    texts += [texts[0], texts[0].upper(), "", ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "toxic": pa.array([0] * len(texts), pa.int32())})
+    sketch = [x for part in toxicity._terms(iter([batch])) for x in part.column(1).to_pylist()]
+    assert len(set(sketch[:300])) > 270
+    assert sketch[300] == sketch[301] == sketch[0] and sketch[302] == sketch[303]
+
+
 # --- licenses
 
 
