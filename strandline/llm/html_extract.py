@@ -28,10 +28,12 @@ from .staging import table
 # fixed values of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "template", "noscript", "iframe", "textarea", "title", "xmp", "noembed", "noframes")
-UNSEEN = frozenset("script style template noscript iframe title head object svg math canvas audio video noembed noframes xmp".split())
+UNSEEN = frozenset("script style template noscript iframe title head canvas audio video noembed noframes xmp".split())
 #: What may stand in a head; any other tag closes it, as </head> may be left out.
 IN_HEAD = frozenset("head base basefont bgsound link meta title noscript noframes style script template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img ruby rt rp nobr".split())
+#: Formulas are text of the block they stand in.
+INLINE |= frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPES = frozenset("table ul ol dl select article section div body html".split())
@@ -141,7 +143,7 @@ def parse(page: str) -> Tree:
         if name == "hr":
             flush()
             continue
-        if name in VOID:
+        if name in VOID or (m.group(3).endswith("/") and any(t in ("svg", "math") for t, _ in stack)):
             continue
         parent = stack[-1][1]
         if name in INLINE:

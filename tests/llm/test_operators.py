@@ -288,6 +288,17 @@ def test_html_head_left_open_and_stray_quotes():
     assert html_extract.parse(deep).blocks
 
 
+def test_html_formulas_and_labels():
+    model = html_extract.default_model()
+    article = "<article><h1>A title of it</h1><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup><mspace/></math> at rest.</p><p>More words of the article.</p>{}</article>"
+    figure = "<svg><path d='x'/><text>Label of it</text></svg><object data=x>Other words</object>"
+    want = "A title of it Energy is E=mc2 at rest. More words of the article."
+    assert model.extract([article.format("")]) == [want]
+    tree = html_extract.parse(article.format(figure))
+    assert [t for _, t in tree.blocks][-2:] == ["Label of it", "Other words"]
+    assert model.extract([article.format(figure)]) == [want + " Label of it Other words"]
+
+
 def test_html_messages_are_exact():
     trees = [html_extract.parse("<div><p>a b c</p><ul><li>d</ul></div><p>e")]
     model = html_extract.default_model()
