@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,3 +44,13 @@ def natural_key(text: Column, width: int = 20) -> Column:
     """A sort key with digit runs as numbers and text in lower case."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
     return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]+$"), F.lpad(F.regexp_replace(r, r"^0+(?=[0-9])", ""), width, "0")).otherwise(r)), "\u0001")
+
+
+def formatted(pattern: str, *, video_key: str | None = None, **numbers: Column) -> Column:
+    """A path pattern with ``{name:03d}`` fields as an expression of columns; percent signs stand for themselves."""
+    text, values = pattern.replace("%", "%%"), []
+    if video_key is not None:
+        text = text.replace("{video_key}", video_key.replace("%", "%%"))
+    for m in re.finditer(r"\{(\w+)(?::(\w+))?\}", text):
+        values.append(numbers[m.group(1)].cast("bigint"))
+    return F.format_string(re.sub(r"\{\w+(?::(\w+))?\}", lambda m: "%" + (m.group(1) or "d"), text), *values)

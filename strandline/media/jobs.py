@@ -1,106 +1,240 @@
-"""Media work as rows of jobs: each job is one output file, made by one task from packets."""
+"""Media work as rows of jobs: each job is one output file, made by one task from packets.
+
+A slice is a stretch of a file that shows one episode by one camera.  Slices
+name their files by whole paths (model.Dataset), so a subset, an edit or a
+merge takes the packets of the episodes that it keeps, whatever their numbers.
+"""
 
 from __future__ import annotations
 
-import io
+import hashlib
 import json
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..model import Dataset
+from ..functions.scalars import formatted
+from ..model import V21_VIDEO, V30_VIDEO, VIDEO_SLICES, Dataset, video_slice
+from ..operators.index import location
+from ..operators.pack import greedy_pack_within
+from ..sources import stores
 from . import mp4
 
+#: MiB of a packed video file.
+VIDEO_MB = 200
+
 
-def _open(path: str):
-    import pyarrow.fs as pafs
+class _Files:
+    """The file read last, open, with its sample table: slices of one file come one after the other."""
 
-    remote = "://" in path or path.startswith("file:")
-    fs, inner = pafs.FileSystem.from_uri(path) if remote else (pafs.LocalFileSystem(), path)
-    return fs, inner
+    def __init__(self) -> None:
+        self.path: str | None = None
+        self.file: BinaryIO | None = None
+        self.track: mp4.Track | None = None
 
+    def get(self, path: str) -> tuple[BinaryIO, mp4.Track]:
+        if path != self.path:
+            if self.file is not None:
+                self.file.close()
+            self.file = stores.reader(path)
+            self.path, self.track = path, mp4.read_track(self.file)
+        return self.file, self.track
 
-def _read(path: str) -> io.BytesIO:
-    fs, inner = _open(path)
-    with fs.open_input_file(inner) as f:
-        return io.BytesIO(f.read())
+
+def _tasks(df: DataFrame) -> int:
+    # rows are tiny beside the files they name, so their size must not decide how many tasks share them
+    return 4 * df.sparkSession.sparkContext.defaultParallelism
 
 
 def slice_paths(data: Dataset) -> DataFrame:
-    """(episode_index, camera, path, start, stop) of every episode's slice of every camera."""
-    schema = "array<struct<camera:string,chunk:bigint,file:bigint,from_timestamp:double,to_timestamp:double>>"
-    rows = data.episodes.select("episode_index", F.explode(F.from_json("videos_json", schema)).alias("v"))
-    if data.info.version == "v2.1":
-        name = F.format_string("videos/chunk-%03d/%s/episode_%06d.mp4", F.col("v.chunk"), F.col("v.camera"), F.col("episode_index"))
-    else:
-        name = F.format_string("videos/%s/chunk-%03d/file-%03d.mp4", F.col("v.camera"), F.col("v.chunk"), F.col("v.file"))
-    return rows.select("episode_index", F.col("v.camera").alias("camera"), name.alias("path"), F.col("v.from_timestamp").alias("start"), F.col("v.to_timestamp").alias("stop"))
+    """(episode_index, length, camera, path, start, stop) of every episode's slice of every camera."""
+    rows = data.episodes.select("episode_index", "length", F.explode(F.from_json("videos_json", VIDEO_SLICES)).alias("v"))
+    flat = rows.select("episode_index", "length", F.col("v.camera").alias("camera"), F.col("v.path").alias("path"), F.col("v.from_timestamp").alias("start"), F.col("v.to_timestamp").alias("stop"))
+    return flat.where(F.col("camera").isin(data.info.cameras))
 
 
-def copy_media(data: Dataset, root: str, version: str) -> Dataset:
-    """Copies each episode's packets to a file of its own in the target layout.
+def measured_slices(slices: DataFrame) -> DataFrame:
+    """Adds packets, bytes and seconds of each slice, packets of its file, whether it begins with a key frame, and the stream that it can be joined with.
 
-    A source file is read once, by the task that its slices share; a slice that
-    is the whole file is copied as it is.
+    Sample tables are read, packets are not.
     """
-    if data.root is None:
-        return data
-    jobs = slice_paths(data)
-    size, source = data.info.chunks_size, data.root
-    chunk = F.floor(F.col("episode_index") / size).cast("bigint")
+    columns = slices.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files = _Files()
+        for batch in batches:
+            found = []
+            for job in batch.itertuples():
+                _, track = files.get(job.path)
+                chosen = mp4.within(track, job.start, job.stop)
+                stream = hashlib.sha256(track.description + str(track.timescale).encode()).hexdigest()
+                found.append((len(chosen), sum(s.size for s in chosen), sum(s.duration for s in chosen) / track.timescale, len(track.samples), bool(chosen) and chosen[0].key, stream))
+            yield pd.concat([batch, pd.DataFrame(found, columns=["packets", "bytes", "seconds", "file_packets", "safe", "stream"], index=batch.index)], axis=1)[[*columns, "packets", "bytes", "seconds", "file_packets", "safe", "stream"]]
+
+    placed = slices.repartition(_tasks(slices), "path").sortWithinPartitions("path", "start")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slices.schema.fields)
+    return placed.mapInPandas(run, schema + ", packets bigint, bytes bigint, seconds double, file_packets bigint, safe boolean, stream string")
+
+
+def planned(data: Dataset, version: str, *, video_mb: float = VIDEO_MB) -> DataFrame:
+    """Slices with their place in the target layout: target, file, mode, from_timestamp, to_timestamp.
+
+    v2.1 has a file for each episode and camera.  v3.0 packs a camera's episodes
+    in order up to ``video_mb`` MiB and opens a new file where streams cannot be
+    joined; a source that is packed already keeps its files, so one that keeps
+    all its slices is copied as it is.  ``mode`` is reuse, remux or transcode.
+    """
+    slices = measured_slices(slice_paths(data))
+    size = data.info.chunks_size
     if version == "v2.1":
-        target = F.format_string("videos/chunk-%03d/%s/episode_%06d.mp4", chunk, F.col("camera"), F.col("episode_index"))
+        own = slices.withColumn("file", F.col("episode_index"))
+        target = lambda k, chunk, file: formatted(V21_VIDEO, video_key=k, episode_chunk=chunk, episode_index=F.col("file"))
     else:
-        target = F.format_string("videos/%s/chunk-%03d/file-%03d.mp4", F.col("camera"), chunk, F.pmod("episode_index", F.lit(size)))
+        if data.info.version == "v3.0":
+            order = Window.partitionBy("camera").orderBy("first", "path")
+            files = slices.groupBy("camera", "path", "stream").agg(F.min("episode_index").alias("first")).withColumn("file", (F.row_number().over(order) - 1).cast("bigint"))
+            own = slices.join(files.select("camera", "path", "file"), ["camera", "path"])
+        else:
+            own = greedy_pack_within(slices, by="camera", key="episode_index", size="bytes", limit=int(video_mb * (1 << 20)), breaks="stream")
+        target = lambda k, chunk, file: formatted(V30_VIDEO, video_key=k, chunk_index=chunk, file_index=file)
+    chunk, file = location(F.col("file"), size)
+    name = F.lit(None).cast("string")
+    for k in data.info.cameras:
+        name = F.when(F.col("camera") == k, target(k, chunk, file)).otherwise(name)
+    named = own.withColumn("target", name)
+    upto = Window.partitionBy("target").orderBy("episode_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stop = F.sum("seconds").over(upto)
+    timed = named.withColumn("to_timestamp", stop).withColumn("from_timestamp", stop - F.col("seconds"))
+    whole = timed.groupBy("target").agg(F.count_distinct("path").alias("paths"), F.sum("packets").alias("kept"), F.max("file_packets").alias("there"), F.min(F.col("safe").cast("int")).alias("safe"))
+    # one source and all of its packets: the file is reused as it is; else its slices are cut out, where that needs no codec
+    mode = F.when((F.col("paths") == 1) & (F.col("kept") == F.col("there")), "reuse").when(F.col("safe") == 1, "remux").otherwise("transcode")
+    return timed.drop("safe").join(whole.select("target", mode.alias("mode")), "target")
+
+
+def copy_media(data: Dataset, root: str, version: str, *, video_mb: float = VIDEO_MB) -> Dataset:
+    """Writes every slice to its place in the target layout and points the episodes there.
+
+    Jobs with the most bytes come first.  A task streams packets from its sources
+    to its file, checks their number, and names the file when it is whole.
+    """
+    if not data.info.cameras:
+        return data
+    jobs = planned(data, version, video_mb=video_mb).persist(StorageLevel.MEMORY_AND_DISK)
+    spark = data.frames.sparkSession
+    base = files_root(spark, root)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[str, io.BytesIO] | None = None
+        attempt = TaskContext.get().taskAttemptId()
+        held: list = []
         for batch in batches:
-            lengths = []
+            done = []
             for job in batch.itertuples():
-                if held is None or held[0] != job.path:
-                    held = (job.path, _read(f"{source}/{job.path}"))
-                track = mp4.read_track(held[1])
-                out = io.BytesIO()
-                if job.start <= mp4.EPSILON and job.stop >= track.duration - 0.5 / max(track.fps, 1e-9):
-                    out.write(held[1].getvalue())
-                    seconds = track.duration
-                else:
-                    mp4.split(held[1], [(job.start, job.stop, out)])
-                    seconds = mp4.read_track(out).duration
-                fs, inner = _open(f"{root}/{job.target}")
-                fs.create_dir(inner.rpartition("/")[0], recursive=True)
-                with fs.open_output_stream(inner) as f:
-                    f.write(out.getvalue())
-                lengths.append(seconds)
-            yield pd.DataFrame({"episode_index": batch["episode_index"], "camera": batch["camera"], "seconds": lengths})
-
-    placed = jobs.withColumn("target", target).repartition(F.col("path")).sortWithinPartitions("path", "start")
-    done = placed.mapInPandas(run, "episode_index bigint, camera string, seconds double")
-    videos = done.select("episode_index", F.to_json(F.struct("camera", F.floor(F.col("episode_index") / size).alias("chunk"), F.pmod("episode_index", F.lit(size)).alias("file"), F.lit(0.0).alias("from_timestamp"), F.col("seconds").alias("to_timestamp"))).alias("j"))
-    listed = videos.groupBy("episode_index").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("j")), ","), F.lit("]")).alias("videos_json"))
-    made = [tuple(r) for r in listed.collect()]  # a row for each episode, as small as the episode table
-    spark = data.frames.sparkSession
-    return data.with_(episodes=data.episodes.drop("videos_json").join(spark.createDataFrame(made, "episode_index bigint, videos_json string"), "episode_index", "left"))
+                if held and held[0].target != job.target:
+                    done.append(_write(held, base, attempt))
+                    held = []
+                held.append(job)
+            yield pd.DataFrame(done, columns=["target", "bytes", "packets"])
+        if held:
+            yield pd.DataFrame([_write(held, base, attempt)], columns=["target", "bytes", "packets"])
+
+    heavy = Window.partitionBy("target")
+    placed = jobs.withColumn("cost", F.sum("bytes").over(heavy)).repartition(_tasks(jobs), "target").sortWithinPartitions(F.desc("cost"), "target", "episode_index")
+    placed.select("target", "path", "start", "stop", "mode", "packets", "episode_index").mapInPandas(run, "target string, bytes bigint, packets bigint").agg(F.sum("bytes")).first()
+    there = F.concat(F.lit(base + "/"), F.col("target"))
+    entries = None
+    for k in data.info.cameras:
+        entry = F.when(F.col("camera") == k, video_slice(k, there, F.col("from_timestamp"), F.col("to_timestamp")))
+        entries = entry if entries is None else F.coalesce(entries, entry)
+    listed = jobs.groupBy("episode_index").agg(F.to_json(F.sort_array(F.collect_list(entries))).alias("videos_json"))
+    return data.with_(episodes=data.episodes.drop("videos_json").join(listed, "episode_index", "left").withColumn("videos_json", F.coalesce("videos_json", F.lit("[]"))))
+
+
+def files_root(spark: SparkSession, root: str) -> str:
+    from ..sources.files import qualified
+
+    return qualified(spark, root)
+
+
+def _write(slices: list, base: str, attempt: int) -> tuple[str, int, int]:
+    """One output file from its slices; (target, bytes, packets)."""
+    target, expected = slices[0].target, sum(s.packets for s in slices)
+    if slices[0].mode == "transcode":
+        raise ValueError(f"{target}: a slice does not begin with a key frame, and to cut there needs a codec")
+    files, made = {}, []
+    try:
+        for s in slices:
+            if s.path not in files:
+                file = stores.reader(s.path)
+                files[s.path] = (file, mp4.read_track(file))
+
+        def fill(out: BinaryIO) -> None:
+            if slices[0].mode == "reuse":
+                file, track = files[slices[0].path]
+                stores.copy(file, out)
+                made.append(len(track.samples))
+            else:
+                made.append(len(mp4.join_slices([(*files[s.path], s.start, s.stop) for s in slices], out).samples))
+
+        written = stores.write(f"{base}/{target}", attempt, fill)
+    finally:
+        for file, _ in files.values():
+            file.close()
+    if made != [expected]:
+        raise ValueError(f"{target}: {made[0]} packets written, {expected} expected")
+    return target, written, expected
 
 
 def video_digests(data: Dataset) -> DataFrame:
-    """(episode_index, camera, digest) over the packets of every slice; one task for each file."""
-    source = data.root
+    """(episode_index, camera, digest) over the packets of every slice."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[str, io.BytesIO] | None = None
+        files = _Files()
         for batch in batches:
             digests = []
             for job in batch.itertuples():
-                if held is None or held[0] != job.path:
-                    held = (job.path, _read(f"{source}/{job.path}"))
-                digests.append(mp4.packet_digest(held[1], job.start, job.stop))
+                file, track = files.get(job.path)
+                digests.append(mp4.packet_digest(file, job.start, job.stop, track))
             yield pd.DataFrame({"episode_index": batch["episode_index"], "camera": batch["camera"], "digest": digests})
 
-    return slice_paths(data).repartition(F.col("path")).sortWithinPartitions("path", "start").mapInPandas(run, "episode_index bigint, camera string, digest string")
+    slices = slice_paths(data)
+    return slices.repartition(_tasks(slices), "path").sortWithinPartitions("path", "start").mapInPandas(run, "episode_index bigint, camera string, digest string")
+
+
+def video_faults(data: Dataset, *, deep: bool = False) -> DataFrame:
+    """(episode_index, code, message): missing references and files, and with ``deep`` files shorter than their slices need."""
+    spark = data.frames.sparkSession
+    slices = slice_paths(data)
+    cameras = spark.createDataFrame([(k,) for k in data.info.cameras], "camera string")
+    wanted = data.episodes.select("episode_index", F.explode(F.array(*map(F.lit, data.info.cameras))).alias("camera")) if data.info.cameras else data.episodes.select("episode_index").limit(0).withColumn("camera", F.lit(""))
+    without = wanted.join(slices.select("episode_index", "camera"), ["episode_index", "camera"], "left_anti").join(F.broadcast(cameras), "camera")
+    none = without.select("episode_index", F.lit("video_reference").alias("code"), F.format_string("no %s video", "camera").alias("message"))
+    fps = float(data.info.fps)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for job in batch.itertuples():
+                if not stores.exists(job.path):
+                    out.append((job.episode_index, "missing_video", f"missing video file {job.path}"))
+                elif deep:
+                    with stores.reader(job.path) as file:
+                        try:
+                            seconds = mp4.read_track(file).duration
+                        except ValueError as e:
+                            out.append((job.episode_index, "unreadable_video", f"{job.path}: {e}"))
+                            continue
+                    if seconds + 1 / fps < job.needed:
+                        out.append((job.episode_index, "short_video", f"{job.path}: {seconds:.6f} s are there, {job.needed:.6f} s are needed"))
+            yield pd.DataFrame(out, columns=["episode_index", "code", "message"])
+
+    files = slices.groupBy("path").agg(F.min("episode_index").alias("episode_index"), F.max("stop").alias("needed"))
+    found = files.repartition(_tasks(files), "path").mapInPandas(run, "episode_index bigint, code string, message string")
+    return none.unionByName(found)
 
 
 def probe_files(spark: SparkSession, root: str) -> DataFrame:
@@ -108,7 +242,11 @@ def probe_files(spark: SparkSession, root: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "report": [json.dumps(mp4.probe(_read(p))) for p in batch["path"]]})
+            reports = []
+            for path in batch["path"]:
+                with stores.reader(path) as file:
+                    reports.append(json.dumps(mp4.probe(file)))
+            yield pd.DataFrame({"path": batch["path"], "report": reports})
 
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.mp4").load(root).select("path")
     return listed.mapInPandas(run, "path string, report string")

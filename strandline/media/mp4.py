@@ -140,22 +140,24 @@ def _runs(values: Iterable[int]) -> list[tuple[int, int]]:
 _MATRIX = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
-def write_mp4(out: BinaryIO, like: Track, packets: Iterable[tuple[bytes, Sample]]) -> Track:
-    """A file with one video track of the given packets, in decode order; times start at 0."""
-    begin = out.tell()
-    out.write(_box(b"ftyp", b"isom", struct.pack(">I", 512), b"isomiso2mp41"))
-    mdat = out.tell()
-    out.write(struct.pack(">I4sQ", 1, b"mdat", 0))
-    samples, dts = [], 0
-    for data, s in packets:
-        samples.append(Sample(out.tell() - begin, len(data), dts, s.cts, s.duration, s.key))
+def write_mp4(out: BinaryIO, like: Track, samples: list[Sample], payload: Iterable[bytes]) -> Track:
+    """A file with one video track of the samples, in decode order; times start at 0.
+
+    The samples' sizes are known, so the file is written from its begin to its
+    end and ``out`` need not seek; their offsets are ignored.
+    """
+    head = _box(b"ftyp", b"isom", struct.pack(">I", 512), b"isomiso2mp41")
+    out.write(head)
+    out.write(struct.pack(">I4sQ", 1, b"mdat", 16 + sum(s.size for s in samples)))
+    at, dts, placed = len(head) + 16, 0, []
+    for data, s in zip(payload, samples, strict=True):
+        if len(data) != s.size:
+            raise ValueError(f"a packet has {len(data)} bytes, its table says {s.size}")
+        placed.append(Sample(at, s.size, dts, s.cts, s.duration, s.key))
         out.write(data)
+        at += s.size
         dts += s.duration
-    end = out.tell()
-    out.seek(mdat)
-    out.write(struct.pack(">I4sQ", 1, b"mdat", end - mdat))
-    out.seek(end)
-    n = len(samples)
+    samples, n = placed, len(placed)
     pack = lambda fmt, rows: struct.pack(">I", len(rows)) + b"".join(struct.pack(">" + fmt, *r) for r in rows)
     parts = [_box(b"stsd", like.description), _full(b"stts", pack("II", _runs(s.duration for s in samples)))]
     if any(s.cts for s in samples):
@@ -186,27 +188,83 @@ def within(track: Track, start: float, stop: float) -> list[Sample]:
     return [s for s in track.samples if start - EPSILON <= (s.dts + s.cts - first) / track.timescale < stop - EPSILON]
 
 
+def same_stream(a: Track, b: Track) -> bool:
+    """Whether packets of both may stand in one track."""
+    return (a.description, a.timescale) == (b.description, b.timescale)
+
+
+def join_slices(slices: list[tuple[BinaryIO, Track, float, float]], out: BinaryIO) -> Track:
+    """One file with the packets of slices (file, track, start, stop) in order.
+
+    Codec parameters and time scales must agree, and a slice must begin with a
+    key frame: a cut elsewhere needs a codec.
+    """
+    if not slices:
+        raise ValueError("no slices")
+    like, samples, places = slices[0][1], [], []
+    for file, track, start, stop in slices:
+        if not same_stream(track, like):
+            raise ValueError("the inputs' codec parameters or time scales differ")
+        chosen = within(track, start, stop)
+        if chosen and not chosen[0].key:
+            raise ValueError(f"the slice at {start} does not begin with a key frame")
+        samples += chosen
+        places.append((file, track, chosen))
+    return write_mp4(out, like, samples, (data for file, track, chosen in places for data, _ in packets(file, track, chosen)))
+
+
 def concatenate(inputs: list[BinaryIO], out: BinaryIO) -> Track:
     """One file with the packets of all inputs in order; codec parameters and time scales must agree."""
-    tracks = [read_track(f) for f in inputs]
-    if any((t.description, t.timescale) != (tracks[0].description, tracks[0].timescale) for t in tracks):
-        raise ValueError("the inputs' codec parameters or time scales differ")
-    return write_mp4(out, tracks[0], (p for f, t in zip(inputs, tracks, strict=True) for p in packets(f, t)))
+    return join_slices([(f, read_track(f), 0.0, float("inf")) for f in inputs], out)
 
 
 def split(source: BinaryIO, ranges: list[tuple[float, float, BinaryIO]]) -> None:
     """Cuts a file into slices that start at 0; a slice must begin with a key frame."""
     track = read_track(source)
     for start, stop, out in ranges:
-        chosen = within(track, start, stop)
-        if chosen and not chosen[0].key:
-            raise ValueError(f"the slice at {start} does not begin with a key frame")
-        write_mp4(out, track, packets(source, track, chosen))
+        join_slices([(source, track, start, stop)], out)
+
+
+def _nal_types(data: bytes, length_bytes: int) -> set[int]:
+    """Types of the H.264 units of a packet."""
+    at, found = 0, set()
+    while at + length_bytes < len(data):
+        size = int.from_bytes(data[at : at + length_bytes], "big")
+        at += length_bytes
+        if not size or at + size > len(data):
+            return set()
+        found.add(data[at] & 31)
+        at += size
+    return found
 
 
-def packet_digest(file: BinaryIO, start: float = 0.0, stop: float = float("inf")) -> str:
-    """SHA-256 over the encoded packets shown in a slice, in decode order."""
+def remux_safe(file: BinaryIO, ranges: list[tuple[float, float]]) -> bool:
+    """Whether every range can be cut out by moving packets: proven, or False.
+
+    Packets of motion JPEG stand alone.  A range of H.264 must begin with an
+    instantaneous refresh, and no packet from outside may be shown within it.
+    """
     track = read_track(file)
+    if track.codec in ("jpeg", "mjpa"):
+        return all(within(track, a, b) for a, b in ranges)
+    at = track.description.find(b"avcC")
+    if track.codec not in ("avc1", "avc3") or at < 0:
+        return False
+    length_bytes = (track.description[at + 8] & 3) + 1
+    order = {s.offset: i for i, s in enumerate(track.samples)}
+    for a, b in ranges:
+        chosen = within(track, a, b)
+        if not chosen or not chosen[0].key or [order[s.offset] for s in chosen] != list(range(order[chosen[0].offset], order[chosen[0].offset] + len(chosen))):
+            return False
+        data, _ = next(packets(file, track, chosen[:1]))
+        if 5 not in _nal_types(data, length_bytes):
+            return False
+    return True
+
+
+def packet_digest(file: BinaryIO, start: float = 0.0, stop: float = float("inf"), track: Track | None = None) -> str:
+    """SHA-256 over the encoded packets shown in a slice, in decode order."""
+    track = track or read_track(file)
     digest = hashlib.sha256()
     for data, _ in packets(file, track, within(track, start, stop)):
         digest.update(data)
@@ -231,8 +289,11 @@ def jpeg_size(data: bytes) -> tuple[int, int]:
     raise ValueError("not a JPEG with a frame header")
 
 
-def mux_jpegs(frames: Iterable[bytes], fps: int, out: BinaryIO) -> Track:
-    """A motion-JPEG file with the frames as they are."""
+def mux_jpegs(frames: Iterable[bytes], fps: int, out: BinaryIO, sizes: list[int] | None = None) -> Track:
+    """A motion-JPEG file with the frames as they are; with their ``sizes`` no more than one is held."""
+    if sizes is None:
+        frames = list(frames)
+        sizes = [len(f) for f in frames]
     frames = iter(frames)
     try:
         first = next(frames)
@@ -242,11 +303,11 @@ def mux_jpegs(frames: Iterable[bytes], fps: int, out: BinaryIO) -> Track:
     entry = b"\0" * 6 + struct.pack(">H", 1) + b"\0" * 16 + struct.pack(">HHIIIH", width, height, 0x480000, 0x480000, 0, 1) + b"\0" * 32 + struct.pack(">Hh", 24, -1)
     track = Track(fps, "jpeg", width, height, b"\0\0\0\0" + struct.pack(">I", 1) + _box(b"jpeg", entry))
 
-    def all_packets() -> Iterator[tuple[bytes, Sample]]:
-        yield first, Sample(0, 0, 0, 0, 1, True)
+    def payload() -> Iterator[bytes]:
+        yield first
         for f in frames:
             if jpeg_size(f) != (width, height):
                 raise ValueError("the frames' sizes differ")
-            yield f, Sample(0, 0, 0, 0, 1, True)
+            yield f
 
-    return write_mp4(out, track, all_packets())
+    return write_mp4(out, track, [Sample(0, n, 0, 0, 1, True) for n in sizes], payload())

@@ -5,10 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .schema import Feature, video_keys
 
+# fixed values of both layouts: where data and videos lie
+V21_DATA = "data/chunk-{episode_chunk:03d}/episode_{episode_index:06d}.parquet"
+V21_VIDEO = "videos/chunk-{episode_chunk:03d}/{video_key}/episode_{episode_index:06d}.mp4"
+V30_DATA = "data/chunk-{chunk_index:03d}/file-{file_index:03d}.parquet"
+V30_VIDEO = "videos/{video_key}/chunk-{chunk_index:03d}/file-{file_index:03d}.mp4"
+
 STATS_KEYS = ("min", "max", "mean", "std", "count")
 
 
@@ -34,7 +41,12 @@ class Info:
 @dataclass(frozen=True)
 class Dataset:
     """``frames`` by (episode_index, frame_index); ``episodes`` (episode_index, length, tasks,
-    dataset_from_index, stats_json, videos_json, extra_json); ``tasks`` (task_index, task)."""
+    dataset_from_index, stats_json, videos_json, extra_json); ``tasks`` (task_index, task).
+
+    videos_json lists the episode's slices (VIDEO_SLICES).  A slice names its
+    file by a whole path, so an episode keeps its videos whatever number it gets
+    and whichever dataset it goes to.
+    """
 
     info: Info
     frames: DataFrame
@@ -50,6 +62,13 @@ class Dataset:
         return self.frames.where(self.frames["episode_index"] == number)
 
 
+VIDEO_SLICES = "array<struct<camera:string,path:string,from_timestamp:double,to_timestamp:double>>"
+
+
+def video_slice(camera: str, path: Column, start: Column, stop: Column) -> Column:
+    return F.struct(F.lit(camera).alias("camera"), path.alias("path"), start.cast("double").alias("from_timestamp"), stop.cast("double").alias("to_timestamp"))
+
+
 EPISODE_SCHEMA = "episode_index bigint, length bigint, tasks array<string>, dataset_from_index bigint, stats_json string, videos_json string, extra_json string"
 
 

@@ -48,6 +48,31 @@ def greedy_pack(episodes: DataFrame, *, key: str, size: str, limit: int, name: s
     return episodes.join(ordered.mapInPandas(fold, schema), key)
 
 
+def greedy_pack_within(rows: DataFrame, *, by: str, key: str, size: str, limit: int, breaks: str | None = None, name: str = "file") -> DataFrame:
+    """Adds the file of each row, packed as greedy_pack does but for each value of ``by``; a new value of ``breaks`` closes a file.
+
+    A value of ``by`` is folded as batches in order, in constant memory.
+    """
+    columns = [by, key, size, *([breaks] if breaks else [])]
+    schema = f"{by} {rows.schema[by].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, {name} bigint"
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, kind, group, filled, empty = None, None, 0, 0, True
+        for batch in batches:
+            out = []
+            for o, s, k in zip(batch[by], batch[size], batch[breaks] if breaks else batch[by], strict=True):
+                if o != owner:
+                    owner, kind, group, filled, empty = o, k, 0, 0, True
+                if not empty and (filled + s >= limit or k != kind):
+                    group, filled = group + 1, 0
+                filled, kind, empty = filled + s, k, False
+                out.append(group)
+            yield pd.DataFrame({by: batch[by], key: batch[key], name: out})
+
+    ordered = rows.select(*columns).repartition(by).sortWithinPartitions(by, key)
+    return rows.join(ordered.mapInPandas(fold, schema), [by, key])
+
+
 def even_intervals(episodes: DataFrame, *, key: str, count: int | None = None, name: str = "part") -> DataFrame:
     """Adds the part of each episode: ``count`` contiguous parts whose lengths differ by one at most.
 

@@ -11,16 +11,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import q
-from ..model import Dataset, full_split, normalize_version, parse_split
+from ..functions.scalars import formatted, q
+from ..model import V21_DATA, V30_DATA, Dataset, full_split, normalize_version, parse_split
 from ..operators import compare as cmp
 from ..operators import edit as ed
 from ..operators.index import merged_task_dictionary, remap_splits, running_offsets, task_dictionary
 from ..operators.merge import merged_episodes
-from ..schema import normalized
+from ..schema import leaf_of, normalized
 from ..sinks.layouts import write_v21, write_v30
 from ..sinks.publish import check_paths, publish
-from ..sources import files
+from ..sources import files, stores
 from ..sources.layouts import open_dataset, stats_of
 
 
@@ -39,38 +39,94 @@ class Report:
         return {"ok": self.ok, "errors": self.errors, "warnings": self.warnings}
 
 
-def validate(spark: SparkSession, root: str, *, deep: bool = False) -> Report:
-    """Metadata against itself, and with ``deep`` the frames against the metadata; deep only where metadata is sound."""
+def _data_files(spark: SparkSession, root: str, data: Dataset) -> DataFrame:
+    """(path, rows): the files that the metadata names and the rows it promises."""
+    if data.info.version == "v2.1":
+        chunk = F.floor(F.col("episode_index") / data.info.chunks_size)
+        return data.episodes.select(formatted(V21_DATA, episode_chunk=chunk, episode_index=F.col("episode_index")).alias("path"), F.col("length").alias("rows"))
+    wide = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/meta/episodes")
+    path = formatted(V30_DATA, chunk_index=q("data/chunk_index"), file_index=q("data/file_index"))
+    return wide.select(path.alias("path"), "length").groupBy("path").agg(F.sum("length").alias("rows"))
+
+
+def file_faults(spark: SparkSession, root: str, data: Dataset) -> DataFrame:
+    """(code, message) of data files that are missing or whose footers promise other rows; footers are read in tasks."""
+    base = files.qualified(spark, root)
+
+    def run(batches):
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            out = []
+            for name, rows in zip(batch["path"], batch["rows"], strict=True):
+                if not stores.exists(f"{base}/{name}"):
+                    out.append(("missing_file", f"missing file {name}"))
+                    continue
+                with stores.reader(f"{base}/{name}") as file:
+                    there = pq.read_metadata(file).num_rows
+                if there != rows:
+                    out.append(("file_rows", f"{name} has {there} rows, {rows} are expected"))
+            yield pd.DataFrame(out, columns=["code", "message"])
+
+    return _data_files(spark, root, data).repartition(4 * spark.sparkContext.defaultParallelism, "path").mapInPandas(run, "code string, message string")
+
+
+def depth_warnings(data: Dataset) -> list[str]:
+    """Features whose declared shape nests otherwise than their column."""
+    out = []
+    for f in data.frames.schema.fields:
+        declared = data.info.features.get(f.name)
+        if declared is None or declared.dtype in ("image", "video"):
+            continue
+        depth = leaf_of(f.dataType)[1]
+        if len(declared.shape) > 1 and depth != len(declared.shape):
+            out.append(f"{f.name}: shape {list(declared.shape)} has {len(declared.shape)} dimensions, the column nests {depth}")
+    return out
+
+
+def validate(spark: SparkSession, root: str, *, deep: bool = False, limit: int = 50) -> Report:
+    """Metadata against itself and the files, and with ``deep`` the frames and videos too; deep only where the rest is sound."""
     try:
         data = open_dataset(spark, root)
+        whole = data.episodes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("f"), F.min("episode_index").alias("a"), F.max("episode_index").alias("b"), F.count_distinct(F.col("episode_index")).alias("d")).first()
     except Exception as e:  # noqa: BLE001  an unreadable dataset is a finding
         return Report([f"cannot be read: {e}"])
-    raw = data.info.raw
-    rows = cmp.validation_errors(data.frames.limit(0), data.episodes.limit(0)).collect()
-    whole = data.episodes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("f"), F.min("episode_index").alias("a"), F.max("episode_index").alias("b"), F.count_distinct(F.col("episode_index")).alias("d")).first()
-    errors = [r["message"] for r in rows]
+    raw, errors = data.info.raw, []
     if raw.get("total_episodes") not in (None, whole["n"]):
         errors.append(f"total_episodes is {raw['total_episodes']}, there are {whole['n']}")
     if whole["n"] and (whole["a"], whole["b"], whole["d"]) != (0, whole["n"] - 1, whole["n"]):
         errors.append("episode indices are not 0 to n - 1")
     if raw.get("total_frames") not in (None, whole["f"]):
         errors.append(f"total_frames is {raw['total_frames']}, lengths sum to {whole['f']}")
-    if data.info.version == "v2.1" and not errors:
-        there = {n for n, _ in files.listing(spark, root)}
-        errors += [f"missing file {p}" for k in range(whole["n"]) if (p := f"data/chunk-{k // data.info.chunks_size:03d}/episode_{k:06d}.parquet") not in there][:50]
+    errors += [r["message"] for r in file_faults(spark, root, data).orderBy("code", "message").limit(limit).collect()]
+    if data.info.cameras:
+        from ..media.jobs import video_faults
+
+        errors += [f"episode {r['episode_index']}: {r['message']}" for r in video_faults(data, deep=deep).orderBy("episode_index", "message").limit(limit).collect()]
     if deep and not errors:
-        found = cmp.validation_errors(data.frames, data.episodes).orderBy("episode_index").limit(50).collect()
+        found = cmp.validation_errors(data.frames, data.episodes).orderBy("episode_index").limit(limit).collect()
         errors += [f"{r['code']} in episode {r['episode_index']}: {r['message']}" for r in found]
-    return Report(errors)
+        if data.info.version == "v2.1" and not errors:
+            errors += _misplaced(spark, root, limit)
+    return Report(errors[:limit], depth_warnings(data))
+
 
+def _misplaced(spark: SparkSession, root: str, limit: int) -> list[str]:
+    """Files of one episode that hold frames of another."""
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/data").select("episode_index", F.regexp_extract(F.col("_metadata.file_name"), r"episode_(\d+)\.parquet$", 1).try_cast("bigint").alias("named"))
+    found = rows.where(~F.col("episode_index").eqNullSafe(F.col("named"))).groupBy("named").agg(F.count(F.lit(1)).alias("n")).orderBy("named").limit(limit).collect()
+    return [f"episode_index in the file of episode {r['named']}: {r['n']} frames name another" for r in found]
 
-def compare(left: Dataset, right: Dataset, *, check_data: bool = True, limit: int = 50, nan_equal: bool = False) -> Report:
-    """Whether two datasets say the same, whatever their layout: metadata, tasks, episodes, statistics, frames."""
+
+def compare(left: Dataset, right: Dataset, *, check_data: bool = True, check_videos: bool = False, limit: int = 50, nan_equal: bool = False) -> Report:
+    """Whether two datasets say the same, whatever their layout: metadata, tasks, episodes, statistics, frames, video packets."""
     errors = []
     if left.info.fps != right.info.fps:
         errors.append(f"fps: {left.info.fps} and {right.info.fps}")
     a, b = normalized(left.info.features), normalized(right.info.features)
     errors += [f"feature {k} differs" for k in sorted(a.keys() | b.keys()) if a.get(k) != b.get(k)]
+    kinds = [{f.name: f.dataType.simpleString() for f in x.frames.schema.fields} for x in (left, right)]
+    errors += [f"column {k}: {kinds[0].get(k)} and {kinds[1].get(k)}" for k in sorted(kinds[0].keys() | kinds[1].keys()) if kinds[0].get(k) != kinds[1].get(k)]
     tasks = cmp.compare_frames(left.tasks, right.tasks, ["task_index"]).where("status <> 'same'").orderBy("task_index").limit(limit).collect()
     errors += [f"task {r['task_index']}: {r['status']}" for r in tasks]
     pick = ["episode_index", "length", "tasks"]
@@ -79,13 +135,16 @@ def compare(left: Dataset, right: Dataset, *, check_data: bool = True, limit: in
     if not errors:
         errors += _stats_errors(left.episodes, right.episodes, limit)
     if check_data and not errors:
-        if set(left.frames.columns) != set(right.frames.columns):
-            errors.append("columns differ")
-        else:
-            names = sorted(left.frames.columns)
-            diff = cmp.compare_frames(left.frames.select(*(q(c) for c in names)), right.frames.select(*(q(c) for c in names)), ["episode_index", "frame_index"], tolerant=False, nan_equal=nan_equal)
-            found = diff.where("status <> 'same'").groupBy("episode_index").agg(F.count(F.lit(1)).alias("n")).orderBy("episode_index").limit(limit).collect()
-            errors += [f"episode {r['episode_index']}: {r['n']} frames differ" for r in found]
+        names = sorted(left.frames.columns)
+        diff = cmp.compare_frames(left.frames.select(*(q(c) for c in names)), right.frames.select(*(q(c) for c in names)), ["episode_index", "frame_index"], tolerant=False, nan_equal=nan_equal)
+        found = diff.where("status <> 'same'").groupBy("episode_index").agg(F.count(F.lit(1)).alias("n")).orderBy("episode_index").limit(limit).collect()
+        errors += [f"episode {r['episode_index']}: {r['n']} frames differ" for r in found]
+    if check_videos and not errors:
+        from ..media.jobs import video_digests
+
+        diff = cmp.compare_frames(video_digests(left), video_digests(right), ["episode_index", "camera"])
+        found = diff.where("status <> 'same'").orderBy("episode_index", "camera").limit(limit).collect()
+        errors += [f"episode {r['episode_index']}, {r['camera']}: video {r['status']}" for r in found]
     return Report(errors[:limit])
 
 
@@ -111,38 +170,52 @@ def _stats_errors(left: DataFrame, right: DataFrame, limit: int) -> list[str]:
     return [f"episode {r['episode_index']}: statistics differ" for r in found]
 
 
-def _write(data: Dataset, root: str, version: str, data_mb: float) -> None:
+@dataclass(frozen=True)
+class Output:
+    """How a dataset is written: sizes of packed files in MiB, and whether the result's frames are checked too."""
+
+    data_mb: float = 100
+    video_mb: float = 200
+    overwrite: bool = False
+    deep: bool = False
+
+
+def _write(data: Dataset, root: str, version: str, output: Output) -> None:
     if data.info.cameras:
         from ..media.jobs import copy_media
 
-        data = copy_media(data, root, version)
-    write_v21(data, root) if version == "v2.1" else write_v30(data, root, data_mb=data_mb)
+        data = copy_media(data, root, version, video_mb=output.video_mb)
+    if version == "v2.1":
+        write_v21(data, root)
+    else:
+        write_v30(data, root, data_mb=output.data_mb, video_mb=output.video_mb if data.info.cameras else None)
 
 
-def _publish(spark: SparkSession, data: Dataset, destination: str, version: str, data_mb: float, overwrite: bool, deep: bool) -> None:
+def _publish(spark: SparkSession, data: Dataset, destination: str, version: str, output: Output) -> None:
     def build(staging: str) -> None:
-        _write(data, staging, version, data_mb)
-        report = validate(spark, staging, deep=deep)
+        _write(data, staging, version, output)
+        report = validate(spark, staging, deep=output.deep)
         if not report.ok:
             raise ValueError("the result is not valid: " + "; ".join(report.errors[:5]))
 
-    publish(spark, destination, build, overwrite=overwrite)
+    publish(spark, destination, build, overwrite=output.overwrite)
 
 
-def convert(spark: SparkSession, source: str | Dataset, destination: str, target_version: str, *, data_mb: float = 100, overwrite: bool = False, deep: bool = False) -> dict[str, Any]:
-    """Writes a dataset in the other layout; frames, statistics and tasks are carried over."""
+def convert(spark: SparkSession, source: str | Dataset, destination: str, target_version: str, *, data_mb: float = 100, video_mb: float = 200, overwrite: bool = False, deep: bool = False, dry_run: bool = False) -> dict[str, Any]:
+    """Writes a dataset in the other layout; frames, statistics, tasks and videos are carried over."""
     data = open_dataset(spark, source) if isinstance(source, str) else source
     version = normalize_version(target_version)
     if isinstance(source, str):
         check_paths(destination, [source])
         if data.info.version == version:
             raise ValueError(f"the source is {version} already")
-    _publish(spark, data, destination, version, data_mb, overwrite, deep)
     n = data.episodes.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("f")).first()
-    return {"destination": destination, "version": version, "episodes": n["n"], "frames": n["f"]}
+    if not dry_run:
+        _publish(spark, data, destination, version, Output(data_mb, video_mb, overwrite, deep))
+    return {"destination": destination, "version": version, "episodes": n["n"], "frames": n["f"], "written": not dry_run}
 
 
-def merge_datasets(spark: SparkSession, sources: list[str], destination: str, *, overwrite: bool = False, data_mb: float = 100) -> dict[str, Any]:
+def merge_datasets(spark: SparkSession, sources: list[str], destination: str, *, overwrite: bool = False, data_mb: float = 100, video_mb: float = 200) -> dict[str, Any]:
     """The ordered union of datasets of one version with remapped episodes, frames and tasks.
 
     Statistics are carried over, those of the rewritten columns (episode_index,
@@ -180,7 +253,7 @@ def merge_datasets(spark: SparkSession, sources: list[str], destination: str, *,
     total = new_episodes.count()
     info = replace(first, splits={names.pop(): f"0:{total}"}, raw={k: v for k, v in first.raw.items()})
     data = Dataset(info, frames.select(*(q(c) for c in columns)), new_episodes, mapped.select("task_index", "task").distinct(), sources[0])
-    _publish(spark, data, destination, first.version, data_mb, overwrite, True)
+    _publish(spark, data, destination, first.version, Output(data_mb, video_mb, overwrite, True))
     return {"destination": destination, "episodes": total, "sources": len(sources)}
 
 
@@ -216,7 +289,7 @@ class EditConfig:
     task_by_episode: dict[int, str] = field(default_factory=dict)
 
 
-def edit_dataset(spark: SparkSession, source: str, destination: str, config: EditConfig, *, overwrite: bool = False, data_mb: float = 100) -> dict[str, Any]:
+def edit_dataset(spark: SparkSession, source: str, destination: str, config: EditConfig, *, overwrite: bool = False, data_mb: float = 100, video_mb: float = 200) -> dict[str, Any]:
     """Deletes episodes, drops features and relabels tasks in one plan; splits follow the survivors."""
     check_paths(destination, [source])
     data = open_dataset(spark, source)
@@ -245,7 +318,7 @@ def edit_dataset(spark: SparkSession, source: str, destination: str, config: Edi
     if config.remove_features:
         episodes = episodes.withColumn("stats_json", _without(config.remove_features)("stats_json"))
     info = replace(data.info, features={k: f for k, f in data.info.features.items() if k not in config.remove_features}, splits=_new_splits(spark, data, survivors), raw=dict(data.info.raw))
-    _publish(spark, Dataset(info, frames, episodes, tasks, source), destination, data.info.version, data_mb, overwrite, False)
+    _publish(spark, Dataset(info, frames, episodes, tasks, source), destination, data.info.version, Output(data_mb, video_mb, overwrite, False))
     return {"destination": destination, "episodes": episodes.count(), "deleted": len(config.delete_episodes)}
 
 
@@ -279,7 +352,7 @@ def subset(data: Dataset, start: int, stop: int) -> Dataset:
 def from_frames(frames: DataFrame, info, *, tasks: DataFrame | None = None) -> Dataset:
     """A dataset from frames with episode_index, frame_index and ``task`` text: dictionary, offsets and statistics are computed."""
     texts = tasks or task_dictionary(frames, "task", ["episode_index", "frame_index"])
-    indexed = frames.join(F.broadcast(texts), "task")
+    indexed = frames.join(texts, "task")  # texts grow with the data: their size decides how they are joined
     episodes = frames.groupBy("episode_index").agg(F.count(F.lit(1)).alias("length"), F.sort_array(F.collect_set("task")).alias("tasks"))
     placed = running_offsets(episodes, "episode_index", "length").drop("dataset_to_index")
     out = indexed.join(placed.select("episode_index", "dataset_from_index"), "episode_index").withColumn("index", F.col("dataset_from_index") + F.col("frame_index")).withColumn("timestamp", (F.col("frame_index") / F.lit(float(info.fps))).cast("float")).drop("dataset_from_index", "task")

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import Dataset
-from ..operators.index import running_offsets
+from ..functions.scalars import formatted
+from ..model import V21_DATA, V21_VIDEO, V30_DATA, V30_VIDEO, VIDEO_SLICES, Dataset
+from ..operators.index import location, running_offsets
 from ..operators.pack import greedy_pack
 from ..operators.stats import merge_moments
 from ..sources import files
@@ -20,23 +22,7 @@ from ..sources.layouts import stats_of
 from .shards import write_files
 
 #: Defaults of a conversion.
-DATA_MB, CHUNK = 100, 1000
-V21_DATA = "data/chunk-{episode_chunk:03d}/episode_{episode_index:06d}.parquet"
-V21_VIDEO = "videos/chunk-{episode_chunk:03d}/{video_key}/episode_{episode_index:06d}.mp4"
-V30_DATA = "data/chunk-{chunk_index:03d}/file-{file_index:03d}.parquet"
-V30_VIDEO = "videos/{video_key}/chunk-{chunk_index:03d}/file-{file_index:03d}.mp4"
-
-
-def _name(pattern: str, **numbers: F.Column) -> F.Column:
-    """A path pattern as an expression of columns."""
-    text, values = pattern, []
-    for field, value in sorted(numbers.items(), key=lambda kv: pattern.index("{" + kv[0])):
-        at = text.index("{" + field)
-        end = text.index("}", at)
-        width = text[at + 1 : end].partition(":")[2]
-        text = text[:at] + ("%" + width if width else "%d") + text[end + 1 :]
-        values.append(value.cast("bigint"))
-    return F.format_string(text, *values)
+DATA_MB = 100
 
 
 def _stream_lines(spark: SparkSession, path: str, rows: DataFrame) -> None:
@@ -68,7 +54,7 @@ def write_v21(data: Dataset, root: str) -> None:
     spark = data.frames.sparkSession
     size = data.info.chunks_size
     chunk = F.floor(F.col("episode_index") / size)
-    named = data.frames.withColumn("__path", _name(V21_DATA, episode_chunk=chunk, episode_index=F.col("episode_index")))
+    named = data.frames.withColumn("__path", formatted(V21_DATA, episode_chunk=chunk, episode_index=F.col("episode_index")))
     written = write_files(named, path=root, order=["frame_index"], features=data.info.features)
     n_files = written.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     totals = _totals(data)
@@ -135,23 +121,24 @@ def _nested(flat: list[float], shape: list[int]) -> Any:
     return [_nested(flat[i * step : (i + 1) * step], shape[1:]) for i in range(shape[0])]
 
 
-def write_v30(data: Dataset, root: str, *, data_mb: float = DATA_MB) -> None:
+def write_v30(data: Dataset, root: str, *, data_mb: float = DATA_MB, video_mb: float | None = None) -> None:
     """Shards of up to ``data_mb`` MiB, wide episode metadata and merged statistics."""
     spark = data.frames.sparkSession
     per_chunk = data.info.chunks_size
     packed = greedy_pack(episode_sizes(data), key="episode_index", size="bytes", limit=int(data_mb * (1 << 20)))
     placed = running_offsets(packed.select("episode_index", "length", "file_index"), "episode_index", "length")
-    chunk, file = F.floor(F.col("file_index") / per_chunk), F.pmod("file_index", F.lit(per_chunk))
+    chunk, file = location(F.col("file_index"), per_chunk)
     named = data.frames.drop("index").join(placed.select("episode_index", "file_index", "dataset_from_index"), "episode_index").withColumn("index", F.col("dataset_from_index") + F.col("frame_index"))
-    named = named.withColumn("__path", _name(V30_DATA, chunk_index=chunk, file_index=file)).select(*(F.col(f"`{c}`") for c in data.frames.columns), "__path")
+    named = named.withColumn("__path", formatted(V30_DATA, chunk_index=chunk, file_index=file)).select(*(F.col(f"`{c}`") for c in data.frames.columns), "__path")
     write_files(named, path=root, order=["index"], features=data.info.features).agg(F.sum("rows")).first()
-    rows = data.episodes.select("episode_index", "tasks", "stats_json", "videos_json").join(placed, "episode_index").select("*", chunk.alias("chunk"), file.alias("file")).withColumn("__path", F.lit("meta/episodes/chunk-000/file-000.parquet"))
-    _write_episode_table(rows, root)
+    rows = data.episodes.select("episode_index", "tasks", "stats_json", "videos_json").join(placed, "episode_index").select("*", chunk.alias("chunk"), file.alias("file"))
+    write_files(episode_table(rows, data.info.cameras), path=root, order=["episode_index"], features={}).agg(F.sum("rows")).first()
     listed = data.tasks.orderBy("task_index").collect()
     tasks = pd.DataFrame({"task_index": [r["task_index"] for r in listed]}, index=pd.Index([r["task"] for r in listed], name="task"))
     _put_table(spark, f"{root}/meta/tasks.parquet", pa.Table.from_pandas(tasks))
     files.write_json(spark, f"{root}/meta/stats.json", aggregate_stats(data.episodes))
-    files.write_json(spark, f"{root}/meta/info.json", _info(data, "v3.0", _totals(data), data_path=V30_DATA, video_path=V30_VIDEO if data.info.cameras else None, data_files_size_in_mb=data_mb))
+    sizes = {"data_files_size_in_mb": data_mb} | ({"video_files_size_in_mb": video_mb} if video_mb else {})
+    files.write_json(spark, f"{root}/meta/info.json", _info(data, "v3.0", _totals(data), data_path=V30_DATA, video_path=V30_VIDEO if data.info.cameras else None, **sizes))
 
 
 def _put_table(spark: SparkSession, path: str, table: pa.Table) -> None:
@@ -165,17 +152,39 @@ def _put_table(spark: SparkSession, path: str, table: pa.Table) -> None:
         out.close()
 
 
-def _write_episode_table(rows: DataFrame, root: str) -> None:
-    """The wide episode table: one row for each episode, in one file by the layout's rule."""
-    spark = rows.sparkSession
-    out = []
-    for r in rows.orderBy("episode_index").toLocalIterator():
-        row: dict[str, Any] = {"episode_index": r["episode_index"], "data/chunk_index": r["chunk"], "data/file_index": r["file"], "dataset_from_index": r["dataset_from_index"], "dataset_to_index": r["dataset_to_index"], "tasks": list(r["tasks"] or []), "length": r["length"]}
-        for v in json.loads(r["videos_json"] or "[]"):
-            number = v["file"] + v["chunk"] * CHUNK if v.get("file") is not None else r["episode_index"]
-            row |= {f"videos/{v['camera']}/chunk_index": number // CHUNK, f"videos/{v['camera']}/file_index": number % CHUNK, f"videos/{v['camera']}/from_timestamp": float(v["from_timestamp"]), f"videos/{v['camera']}/to_timestamp": float(v["to_timestamp"])}
-        for feature, s in sorted(stats_of(r["stats_json"]).items()):
-            row |= {f"stats/{feature}/{k}": v for k, v in s.items()}
-        out.append(row | {"meta/episodes/chunk_index": 0, "meta/episodes/file_index": 0})
-    names = list(dict.fromkeys(k for row in out for k in row))
-    _put_table(spark, f"{root}/meta/episodes/chunk-000/file-000.parquet", pa.table({n: [row.get(n) for row in out] for n in names}))
+def _stat_columns(episodes: DataFrame) -> list[tuple[str, str, int]]:
+    """(feature, statistic, nesting) of every statistic that any episode has; a row for each comes back."""
+
+    def run(batches):
+        for batch in batches:
+            seen = {(f, k, len(_shape(v))) for text in batch["stats_json"] for f, s in stats_of(text).items() for k, v in s.items()}
+            yield pd.DataFrame(sorted(seen), columns=["feature", "statistic", "depth"])
+
+    found = episodes.select("stats_json").where("stats_json is not null").mapInPandas(run, "feature string, statistic string, depth int")
+    return [tuple(r) for r in found.groupBy("feature", "statistic").agg(F.max("depth")).orderBy("feature", "statistic").collect()]
+
+
+def _of_camera(name: str) -> Callable[[Column], Column]:
+    return lambda v: v["camera"] == name
+
+
+def episode_table(rows: DataFrame, cameras: list[str]) -> DataFrame:
+    """The wide episode table with the file it goes to: by the layout's rule one file, written as a stream of batches."""
+    columns = ["episode_index", F.col("chunk").alias("data/chunk_index"), F.col("file").alias("data/file_index"), "dataset_from_index", "dataset_to_index", "tasks", "length"]
+    slices = F.from_json("videos_json", VIDEO_SLICES)
+    for k in cameras:
+        own = F.element_at(F.filter(slices, _of_camera(k)), 1)
+        for i, name in ((1, "chunk_index"), (2, "file_index")):
+            columns.append(F.regexp_extract(own["path"], r"chunk-(\d+)/file-(\d+)\.mp4$", i).try_cast("bigint").alias(f"videos/{k}/{name}"))
+        columns += [own[name].alias(f"videos/{k}/{name}") for name in ("from_timestamp", "to_timestamp")]
+    stats = _stat_columns(rows)
+    if stats:
+        by_feature: dict[str, list[str]] = {}
+        for feature, statistic, depth in stats:
+            leaf = "bigint" if statistic == "count" else "double"
+            by_feature.setdefault(feature, []).append(f"`{statistic}`: " + "array<" * depth + leaf + ">" * depth)
+        schema = "struct<" + ", ".join(f"`{f}`: struct<{', '.join(kinds)}>" for f, kinds in by_feature.items()) + ">"
+        parsed = F.from_json("stats_json", schema)
+        columns += [parsed[feature][statistic].alias(f"stats/{feature}/{statistic}") for feature, statistic, _ in stats]
+    zero = F.lit(0).cast("bigint")
+    return rows.select(*columns, zero.alias("meta/episodes/chunk_index"), zero.alias("meta/episodes/file_index"), F.lit("meta/episodes/chunk-000/file-000.parquet").alias("__path"))

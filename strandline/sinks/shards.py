@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Feature
+from ..sources import stores
 
 _NARROW = {"bool": pa.bool_(), "float16": pa.float32(), "float32": pa.float32(), "float64": pa.float64(), "string": pa.string()} | {f"{s}int{b}": getattr(pa, f"{s}int{b}")() for s in ("", "u") for b in (8, 16, 32, 64)}
 
@@ -29,8 +30,9 @@ def write_files(frames: DataFrame, *, path: str, order: list[str], features: dic
     """Writes the rows of each value of ``__path`` to that file below ``path``, in order.
 
     ``__path`` decides the partition, so a file is one task's; it is written
-    under a name of the attempt and renamed when whole.  Returns (path, rows,
-    bytes), a row for each file.
+    under a hidden name of the attempt and renamed when whole.  A failed attempt
+    takes its unfinished file with it, and what a lost executor leaves is hidden
+    from every reader.  Returns (path, rows, bytes), a row for each file.
     """
 
     # names with dots cannot be named to a task's function, so columns travel by number
@@ -38,39 +40,47 @@ def write_files(frames: DataFrame, *, path: str, order: list[str], features: dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt = TaskContext.get().taskAttemptId()
-        remote = "://" in path or path.startswith("file:")
-        fs, root = pafs.FileSystem.from_uri(path) if remote else (pafs.LocalFileSystem(), path)
-        name, writer, out, rows, done = None, None, None, 0, []
+        fs, root = stores.filesystem(path)
+        name, made, writer, out, rows, done = None, None, None, None, 0, []
 
         def close() -> None:
+            nonlocal writer
             if writer is not None:
                 writer.close()
                 out.close()
+                writer = None
                 target = f"{root}/{name}"
-                fs.move(f"{target}.{attempt}.tmp", target)
+                stores.commit(fs, made, target)
                 done.append((name, rows, fs.get_file_info(target).size))
 
-        for batch in (b.rename_columns(columns) for b in batches):
-            at = batch.schema.get_field_index("__path")
-            names = batch.column(at)
-            keep = [i for i, f in enumerate(batch.schema) if f.name not in drop]
-            begin = 0
-            while begin < batch.num_rows:
-                own, end = names[begin].as_py(), begin + 1
-                while end < batch.num_rows and names[end].as_py() == own:
-                    end += 1
-                part = pa.Table.from_batches([batch.slice(begin, end - begin)]).select(keep)
-                part = part.cast(arrow_schema(part.schema, features))
-                if own != name:
-                    close()
-                    name, rows = own, 0
-                    fs.create_dir(f"{root}/{own}".rpartition("/")[0], recursive=True)
-                    out = fs.open_output_stream(f"{root}/{own}.{attempt}.tmp")
-                    writer = pq.ParquetWriter(out, part.schema)
-                writer.write_table(part)
-                rows += part.num_rows
-                begin = end
-        close()
+        try:
+            for batch in (b.rename_columns(columns) for b in batches):
+                if not batch.num_rows:
+                    continue
+                keep = [i for i, f in enumerate(batch.schema) if f.name not in drop]
+                # where the path changes, by runs of the whole column
+                runs = pc.run_end_encode(batch.column(batch.schema.get_field_index("__path")))
+                begin = 0
+                for own, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                    part = pa.Table.from_batches([batch.slice(begin, end - begin)]).select(keep)
+                    part = part.cast(arrow_schema(part.schema, features))
+                    if own != name:
+                        close()
+                        name, rows = own, 0
+                        target = f"{root}/{own}"
+                        fs.create_dir(target.rpartition("/")[0], recursive=True)
+                        made = stores.attempt_of(target, attempt)
+                        out = fs.open_output_stream(made)
+                        writer = pq.ParquetWriter(out, part.schema)
+                    writer.write_table(part)
+                    rows += part.num_rows
+                    begin = end
+            close()
+        except BaseException:
+            if writer is not None:
+                out.close()
+                fs.delete_file(made)
+            raise
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "rows", "bytes"])
 

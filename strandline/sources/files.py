@@ -14,6 +14,12 @@ def _path(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme and from the root, as every machine reads it."""
+    fs, target = _path(spark, path)
+    return fs.makeQualified(target).toString().rstrip("/")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, target = _path(spark, path)
     return fs.exists(target)

@@ -12,10 +12,11 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scalars import q
+from ..functions.scalars import formatted, q
 from ..functions.statmaps import nest_stats
-from ..model import Dataset, Info, normalize_version
+from ..model import V21_VIDEO, V30_VIDEO, Dataset, Info, normalize_version, video_slice
 from ..operators.index import running_offsets
 from ..schema import Feature, canonical_types
 from . import files
@@ -28,49 +29,26 @@ def read_info(spark: SparkSession, root: str) -> Info:
     return Info(normalize_version(raw["codebase_version"]), raw["fps"], features, raw.get("robot_type"), dict(raw.get("splits") or {}), raw.get("chunks_size", 1000), raw.get("data_path"), raw.get("video_path"), raw)
 
 
+def _widest(kind: T.DataType) -> T.DataType:
+    """The type that every stored width of a number can be read as."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_widest(kind.elementType))
+    if isinstance(kind, T.FloatType | T.DoubleType):
+        return T.DoubleType()
+    return T.LongType() if isinstance(kind, T.ByteType | T.ShortType | T.IntegerType | T.LongType) else kind
+
+
 def _frames(spark: SparkSession, root: str, info: Info) -> DataFrame:
-    """Frames cast to the declared types; shards that store a column wider or narrower are cast, not dropped.
+    """Frames cast to the declared types, whatever width each file stores.
 
-    Files are grouped by physical schema from their footers: one scan for each
-    schema, all of them pruned and filtered by Spark.
+    One scan of all files: numbers are read at their widest and cast, which the
+    Parquet reader does by column; columns and filters still reach the scan.
     """
-    first = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "false").parquet(f"{root}/data")
-    target = canonical_types(first.schema, info.features)
-    groups = _schemas(spark, f"{root}/data")
-    parts = []
-    for paths in groups.values():
-        part = spark.read.parquet(*(f"{root}/data/{p}" for p in paths))
-        parts.append(part.select(*(q(f.name).cast(f.dataType).alias(f.name) for f in target.fields)))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _schemas(spark: SparkSession, root: str) -> dict[str, list[str]]:
-    """Data files by their Parquet schema; footers are read in tasks, a row for each file comes back."""
-    names = [p for p, _ in files.listing(spark, root) if p.endswith(".parquet")]
-    if not names:
-        raise FileNotFoundError(f"no data below {root}")
-
-    def footers(batches):
-        import pandas as pd
-        import pyarrow.fs as pafs
-        import pyarrow.parquet as pq
-
-        for batch in batches:
-            out = []
-            for name in batch["name"]:
-                path = f"{root}/{name}"
-                fs, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-                out.append(str([(f.name, str(f.type)) for f in pq.read_schema(inner, filesystem=fs)]))
-            yield pd.DataFrame({"name": batch["name"], "schema": out})
-
-    listed = spark.createDataFrame([(n,) for n in names], "name string").repartition(min(64, len(names)))
-    groups: dict[str, list[str]] = {}
-    for row in listed.mapInPandas(footers, "name string, schema string").orderBy("name").collect():
-        groups.setdefault(row["schema"], []).append(row["name"])
-    return groups
+    folder = spark.read.option("recursiveFileLookup", "true")
+    target = canonical_types(folder.option("mergeSchema", "false").parquet(f"{root}/data").schema, info.features)
+    wide = T.StructType([T.StructField(f.name, _widest(f.dataType)) for f in target.fields])
+    rows = folder.schema(wide).parquet(f"{root}/data")
+    return rows.select(*(q(f.name).cast(f.dataType).alias(f.name) for f in target.fields))
 
 
 def _jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -89,11 +67,11 @@ def read_v21(spark: SparkSession, root: str) -> Dataset:
     else:
         episodes = episodes.withColumn("stats_json", F.lit(None).cast("string"))
     placed = running_offsets(episodes, "episode_index", "length").drop("dataset_to_index")
-    pattern = info.video_path or ""
+    base = files.qualified(spark, root)
     chunk = F.floor(F.col("episode_index") / info.chunks_size)
-    videos = [F.lit(k) for k in info.cameras]
-    made = [F.to_json(F.struct(F.lit(k).alias("camera"), chunk.alias("chunk"), F.lit(0.0).alias("from_timestamp"), (F.col("length") / F.lit(float(info.fps))).alias("to_timestamp"))) for k in info.cameras]
-    listed = F.concat(F.lit("["), F.concat_ws(",", *made), F.lit("]")) if videos and pattern else F.lit("[]")
+    path = lambda k: formatted(f"{base}/{(info.video_path or V21_VIDEO)}", video_key=k, episode_chunk=chunk, episode_index=F.col("episode_index"))
+    videos = F.array(*(video_slice(k, path(k), F.lit(0.0), F.col("length") / F.lit(float(info.fps))) for k in info.cameras))
+    listed = F.to_json(videos) if info.cameras else F.lit("[]")
     return Dataset(info, _frames(spark, root, info), placed.withColumn("videos_json", listed), tasks, root)
 
 
@@ -104,8 +82,11 @@ def read_v30(spark: SparkSession, root: str) -> Dataset:
     nested = nest_stats(wide.columns)
     per_feature = [F.struct(*(q(c).alias(k) for k, c in sorted(keys.items()))).alias(f) for f, keys in sorted(nested.items())]
     stats = F.to_json(F.struct(*per_feature)) if per_feature else F.lit(None).cast("string")
-    made = [F.to_json(F.struct(F.lit(k).alias("camera"), q(f"videos/{k}/chunk_index").alias("chunk"), q(f"videos/{k}/file_index").alias("file"), q(f"videos/{k}/from_timestamp").alias("from_timestamp"), q(f"videos/{k}/to_timestamp").alias("to_timestamp"))) for k in info.cameras if f"videos/{k}/chunk_index" in wide.columns]
-    videos = F.concat(F.lit("["), F.concat_ws(",", *made), F.lit("]")) if made else F.lit("[]")
+    base = files.qualified(spark, root)
+    at = lambda k, field: q(f"videos/{k}/{field}")
+    path = lambda k: formatted(f"{base}/{(info.video_path or V30_VIDEO)}", video_key=k, chunk_index=at(k, "chunk_index"), file_index=at(k, "file_index"))
+    made = [F.when(at(k, "chunk_index").isNotNull(), video_slice(k, path(k), at(k, "from_timestamp"), at(k, "to_timestamp"))) for k in info.cameras if f"videos/{k}/chunk_index" in wide.columns]
+    videos = F.to_json(F.array_compact(F.array(*made))) if made else F.lit("[]")
     known = {"episode_index", "length", "tasks", "dataset_from_index", "dataset_to_index"}
     extra = [q(c) for c in wide.columns if c not in known and "/" not in c]
     episodes = wide.select("episode_index", "length", "tasks", "dataset_from_index", stats.alias("stats_json"), videos.alias("videos_json"), (F.to_json(F.struct(*extra)) if extra else F.lit(None).cast("string")).alias("extra_json"))

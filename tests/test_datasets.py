@@ -6,11 +6,13 @@ import pytest
 from strandline.operators.edit import episode_selection
 from strandline.plans import datasets as D
 from strandline.sources.layouts import open_dataset
-from tests.fixtures import make_v21
+from tests.fixtures import make_dataset
 
+STARTS, TOTAL = [0, 5, 7], 13
 
-def test_round_trip(spark, tmp_path):
-    root = str(make_v21(tmp_path / "a"))
+
+def test_both_layouts_say_the_same(spark, tmp_path):
+    root = str(make_dataset(tmp_path / "a"))
     assert D.validate(spark, root, deep=True).ok
     D.convert(spark, root, str(tmp_path / "b"), "3.0")
     D.convert(spark, str(tmp_path / "b"), str(tmp_path / "c"), "v2.1")
@@ -20,23 +22,24 @@ def test_round_trip(spark, tmp_path):
         report = D.compare(a, other)
         assert report.ok, report.errors
     shard = pq.read_table(tmp_path / "b/data/chunk-000/file-000.parquet")
-    assert shard["index"].to_pylist() == list(range(9))
-    assert str(shard.schema.field("timestamp").type) == "float"
+    assert shard["index"].to_pylist() == list(range(TOTAL))
+    assert {str(shard.schema.field(k).type) for k in ("timestamp", "force")} == {"float"}  # as declared, though one file has doubles
     merged = json.loads((tmp_path / "b/meta/stats.json").read_text())
-    assert merged["index"]["mean"] == [pytest.approx(4.0)]
-    assert merged["index"]["count"] == [9]
+    assert merged["index"]["mean"] == [pytest.approx((TOTAL - 1) / 2)] and merged["index"]["count"] == [TOTAL]
+    assert merged["gripper.pose"]["max"][0] == max(7.0 * e for e in range(3))
     wide = pq.read_table(tmp_path / "b/meta/episodes/chunk-000/file-000.parquet")
-    assert wide["dataset_from_index"].to_pylist() == [0, 3, 7]
+    assert wide["dataset_from_index"].to_pylist() == STARTS and wide["dataset_to_index"].to_pylist() == [5, 7, 13]
+    assert len(wide["stats/gripper.pose/mean"][1].as_py()) == 3
 
 
 def test_small_shards(spark, tmp_path):
-    D.convert(spark, str(make_v21(tmp_path / "a")), str(tmp_path / "b"), "3.0", data_mb=0.000001)
+    D.convert(spark, str(make_dataset(tmp_path / "a")), str(tmp_path / "b"), "3.0", data_mb=0.000001)
     assert len(list((tmp_path / "b/data/chunk-000").glob("*.parquet"))) == 3
     assert D.compare(open_dataset(spark, str(tmp_path / "a")), open_dataset(spark, str(tmp_path / "b"))).ok
 
 
 def test_failed_conversion_leaves_nothing(spark, tmp_path):
-    root = make_v21(tmp_path / "a")
+    root = make_dataset(tmp_path / "a")
     (root / "data/chunk-000/episode_000001.parquet").unlink()
     with pytest.raises(Exception):
         D.convert(spark, str(root), str(tmp_path / "b"), "3.0", deep=True)
@@ -46,30 +49,30 @@ def test_failed_conversion_leaves_nothing(spark, tmp_path):
 
 
 def test_merge(spark, tmp_path):
-    one, two = make_v21(tmp_path / "a"), make_v21(tmp_path / "b", (2, 3), task="other", base=100.0)
+    one, two = make_dataset(tmp_path / "a"), make_dataset(tmp_path / "b", (1, 8), task="fold the towel", base=40.0)
     D.merge_datasets(spark, [str(one), str(two)], str(tmp_path / "m"))
     m = open_dataset(spark, str(tmp_path / "m"))
-    assert [r["task"] for r in m.tasks.orderBy("task_index").collect()] == ["test task", "other"]
+    assert [r["task"] for r in m.tasks.orderBy("task_index").collect()] == ["stack the cups", "fold the towel"]
     frames = m.frames.orderBy("index").collect()
-    assert [r["index"] for r in frames] == list(range(14))
-    assert [r["task_index"] for r in frames] == [0] * 9 + [1] * 5
-    stats = json.loads(next(r["stats_json"] for r in m.episodes.collect() if r["episode_index"] == 3))
-    assert stats["index"]["mean"] == [9.5] and stats["task_index"]["max"] == [1]
+    assert [r["index"] for r in frames] == list(range(TOTAL + 9))
+    assert [r["task_index"] for r in frames] == [0] * TOTAL + [1] * 9
+    stats = {r["episode_index"]: json.loads(r["stats_json"]) for r in m.episodes.collect()}
+    assert stats[4]["index"]["mean"] == [TOTAL + 1 + 3.5] and stats[4]["task_index"]["max"] == [1]
     with pytest.raises(ValueError):
         D.merge_datasets(spark, [str(one)], str(tmp_path / "n"))
 
 
 def test_edit(spark, tmp_path):
-    root = str(make_v21(tmp_path / "a", splits={"train": "0:2", "validation": "2:3"}))
-    D.edit_dataset(spark, root, str(tmp_path / "e"), D.EditConfig((1,), ("action",), {2: "new task"}))
+    root = str(make_dataset(tmp_path / "a", splits={"train": "0:2", "held": "2:3"}))
+    D.edit_dataset(spark, root, str(tmp_path / "e"), D.EditConfig((1,), ("command",), {2: "fold the towel"}))
     e = open_dataset(spark, str(tmp_path / "e"))
-    assert e.info.splits == {"train": "0:1", "validation": "1:2"}
-    assert "action" not in e.frames.columns and "action" not in e.info.features
-    assert [(r["task_index"], r["task"]) for r in e.tasks.orderBy("task_index").collect()] == [(0, "test task"), (1, "new task")]
+    assert e.info.splits == {"train": "0:1", "held": "1:2"}
+    assert "command" not in e.frames.columns and "command" not in e.info.features
+    assert [(r["task_index"], r["task"]) for r in e.tasks.orderBy("task_index").collect()] == [(0, "stack the cups"), (1, "fold the towel")]
     frames = e.frames.orderBy("index").collect()
-    assert [r["index"] for r in frames] == list(range(5)) and [r["task_index"] for r in frames] == [0, 0, 0, 1, 1]
+    assert [r["index"] for r in frames] == list(range(11)) and [r["task_index"] for r in frames] == [0] * 5 + [1] * 6
     stats = json.loads(next(r["stats_json"] for r in e.episodes.collect() if r["episode_index"] == 1))
-    assert stats["index"]["mean"] == [3.5]
+    assert stats["index"]["mean"] == [7.5]
     with pytest.raises(ValueError):
         D.edit_dataset(spark, root, str(tmp_path / "f"), D.EditConfig((0, 1, 2)))
     with pytest.raises(ValueError):
@@ -78,17 +81,37 @@ def test_edit(spark, tmp_path):
 
 
 def test_validation_finds_errors(spark, tmp_path):
-    root = make_v21(tmp_path / "a")
+    root = make_dataset(tmp_path / "a")
     info = json.loads((root / "meta/info.json").read_text())
+    assert D.validate(spark, str(root)).warnings == ["command: shape [1, 2] has 2 dimensions, the column nests 1"]
     (root / "meta/info.json").write_text(json.dumps(info | {"total_frames": 10}))
     assert any("total_frames" in e for e in D.validate(spark, str(root)).errors)
+    (root / "meta/info.json").write_text(json.dumps(info))
+    file = root / "data/chunk-000/episode_000001.parquet"
+    table = pq.read_table(file)
+    pq.write_table(table.slice(0, 1), file)
+    assert any("has 1 rows, 2 are expected" in e for e in D.validate(spark, str(root)).errors)
+    first, last = (root / f"data/chunk-000/episode_{k:06d}.parquet" for k in (0, 2))
+    pq.write_table(table, file)
+    assert D.validate(spark, str(root), deep=True).ok
+    whole = pq.read_table(first)
+    pq.write_table(whole.set_column(whole.schema.get_field_index("frame_index"), "frame_index", pq.read_table(first)["index"].cast("int64").slice(0, 5).take([0, 1, 2, 3, 3])), first)
+    assert any(e.startswith("frame_index in episode 0") for e in D.validate(spark, str(root), deep=True).errors)
+    last.unlink()
+    assert D.validate(spark, str(root)).errors == ["missing file data/chunk-000/episode_000002.parquet"]
+
+
+def test_validation_of_packed_files(spark, tmp_path):
+    D.convert(spark, str(make_dataset(tmp_path / "a")), str(tmp_path / "b"), "3.0", data_mb=0.000001)
+    (tmp_path / "b/data/chunk-000/file-001.parquet").unlink()
+    assert D.validate(spark, str(tmp_path / "b")).errors == ["missing file data/chunk-000/file-001.parquet"]
 
 
 def test_subset(spark, tmp_path):
-    data = open_dataset(spark, str(make_v21(tmp_path / "a")))
+    data = open_dataset(spark, str(make_dataset(tmp_path / "a")))
     part = D.subset(data, 1, 3)
-    assert [(r["episode_index"], r["index"]) for r in part.frames.orderBy("index").collect()] == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 4), (1, 5)]
-    assert [r["dataset_from_index"] for r in part.episodes.orderBy("episode_index").collect()] == [0, 4]
+    assert [(r["episode_index"], r["index"]) for r in part.frames.orderBy("index").collect()] == [(0, 0), (0, 1)] + [(1, k) for k in range(2, 8)]
+    assert [r["dataset_from_index"] for r in part.episodes.orderBy("episode_index").collect()] == [0, 2]
 
 
 def test_episode_selection():

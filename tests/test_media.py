@@ -1,64 +1,135 @@
 import io
+import json
 import struct
 
 import pytest
 
 from strandline.media import mp4
-
-
-def jpeg(n, width=32, height=24):
-    return b"\xff\xd8\xff\xc0\x00\x11\x08" + struct.pack(">HH", height, width) + b"\x03" + b"\x01\x11\x00" * 3 + bytes([n % 251]) * (50 + n) + b"\xff\xd9"
-
-
-def movie(frames, fps=10):
-    out = io.BytesIO()
-    mp4.mux_jpegs(frames, fps, out)
-    return out
+from strandline.media.jobs import planned, video_digests, video_faults
+from strandline.plans import datasets as D
+from strandline.sources.layouts import open_dataset
+from tests.fixtures import FPS, LENGTHS, jpeg, make_dataset, movie
 
 
 def test_mux_and_probe():
-    got = mp4.probe(movie([jpeg(i) for i in range(7)]))
-    assert got == {"codec": "jpeg", "width": 32, "height": 24, "frames": 7, "fps": 10.0, "duration": 0.7, "audio": False}
-    file = movie([jpeg(i) for i in range(7)])
-    assert [d for d, _ in mp4.packets(file, mp4.read_track(file))] == [jpeg(i) for i in range(7)]
+    pictures = [jpeg(3 * i) for i in range(9)]
+    file = movie(pictures, 18)
+    assert mp4.probe(file) == {"codec": "jpeg", "width": 40, "height": 16, "frames": 9, "fps": 18.0, "duration": 0.5, "audio": False}
+    assert [d for d, _ in mp4.packets(file, mp4.read_track(file))] == pictures
+    streamed = io.BytesIO()
+    mp4.mux_jpegs(iter(pictures), 18, streamed, sizes=[len(p) for p in pictures])
+    assert streamed.getvalue() == file.getvalue()
     with pytest.raises(ValueError):
         movie([])
     with pytest.raises(ValueError):
         movie([jpeg(1), jpeg(2, width=64)])
+    with pytest.raises(ValueError):
+        mp4.mux_jpegs(iter(pictures), 18, io.BytesIO(), sizes=[1] * 9)
 
 
-def test_concatenate_and_split_keep_packets():
-    a, b = movie([jpeg(i) for i in range(4)]), movie([jpeg(i) for i in range(10, 13)])
+def test_joined_and_cut_files_keep_their_packets():
+    parts = [movie([jpeg(100 * k + i) for i in range(n)]) for k, n in enumerate((6, 1, 12))]
     whole = io.BytesIO()
-    mp4.concatenate([a, b], whole)
-    assert mp4.packet_digest(whole, 0.0, 0.4) == mp4.packet_digest(a)
-    assert mp4.packet_digest(whole, 0.4, 0.7) == mp4.packet_digest(b)
-    x, y = io.BytesIO(), io.BytesIO()
-    mp4.split(whole, [(0.0, 0.4, x), (0.4, 0.7, y)])
-    assert (mp4.packet_digest(x), mp4.packet_digest(y)) == (mp4.packet_digest(a), mp4.packet_digest(b))
+    mp4.concatenate(parts, whole)
+    edges = [0.0, 0.5, 7 / 12, 19 / 12]
+    assert [mp4.packet_digest(whole, a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)] == [mp4.packet_digest(p) for p in parts]
+    outs = [io.BytesIO() for _ in parts]
+    mp4.split(whole, list(zip(edges[:-1], edges[1:], outs, strict=True)))
+    assert [mp4.packet_digest(o) for o in outs] == [mp4.packet_digest(p) for p in parts]
     with pytest.raises(ValueError):
-        mp4.concatenate([a, movie([jpeg(1)], fps=20)], io.BytesIO())
+        mp4.concatenate([parts[0], movie([jpeg(1)], fps=20)], io.BytesIO())
     with pytest.raises(ValueError):
         mp4.read_track(io.BytesIO(b"\0\0\0\x08free"))
 
 
+def h264(kinds):
+    """A file whose packets hold one unit each: 5 refreshes, 1 follows."""
+    units = [struct.pack(">I", 3) + bytes([k, 7, i]) for i, k in enumerate(kinds)]
+    entry = mp4._box(b"avc1", b"\0" * 24 + struct.pack(">HH", 64, 48) + b"\0" * 50, mp4._box(b"avcC", b"\x01\x42\x00\x1e\xff\xe0\x00"))
+    like = mp4.Track(10, "avc1", 64, 48, b"\0\0\0\0\0\0\0\x01" + entry)
+    out = io.BytesIO()
+    mp4.write_mp4(out, like, [mp4.Sample(0, len(u), 0, 0, 1, k == 5) for u, k in zip(units, kinds, strict=True)], units)
+    return out
+
+
+def test_cuts_are_proven_safe():
+    file = h264([5, 1, 1, 5, 1, 5])
+    assert mp4.read_track(file).codec == "avc1"
+    assert mp4.remux_safe(file, [(0.0, 0.3), (0.3, 0.5), (0.5, 0.6)])
+    assert not mp4.remux_safe(file, [(0.1, 0.3)]) and not mp4.remux_safe(file, [(2.0, 3.0)])
+    assert mp4.remux_safe(movie([jpeg(i) for i in range(4)]), [(1 / FPS, 3 / FPS)])
+    with pytest.raises(ValueError):
+        mp4.split(file, [(0.1, 0.3, io.BytesIO())])
+
+
+CAMERAS = ("wrist", "side.cam")
+
+
+def digests(spark, root):
+    return {(r["episode_index"], r["camera"]): r["digest"] for r in video_digests(open_dataset(spark, str(root))).collect()}
+
+
+def expected(episodes, cameras=CAMERAS, lengths=LENGTHS, picture=0):
+    """Digest of each (episode, camera) of a fixture, in the given order of episodes."""
+    return {(new, k): mp4.packet_digest(movie([jpeg(picture + 1000 * CAMERAS.index(k) + 100 * old + i) for i in range(lengths[old])])) for new, old in enumerate(episodes) for k in cameras}
+
+
 def test_conversion_carries_media(spark, tmp_path):
-    import json
-
-    from strandline.media.jobs import video_digests
-    from strandline.plans import datasets as D
-    from strandline.sources.layouts import open_dataset
-    from tests.fixtures import make_v21
-
-    root = make_v21(tmp_path / "a")
-    info = json.loads((root / "meta/info.json").read_text())
-    info["video_path"] = "videos/chunk-{episode_chunk:03d}/{video_key}/episode_{episode_index:06d}.mp4"
-    info["features"]["front"] = {"dtype": "video", "shape": [24, 32, 3], "names": None}
-    (root / "meta/info.json").write_text(json.dumps(info))
-    (root / "videos/chunk-000/front").mkdir(parents=True)
-    for e, n in enumerate((3, 4, 2)):
-        (root / f"videos/chunk-000/front/episode_{e:06d}.mp4").write_bytes(movie([jpeg(10 * e + i) for i in range(n)], 30).getvalue())
-    D.convert(spark, str(root), str(tmp_path / "b"), "3.0")
+    make_dataset(tmp_path / "a", cameras=CAMERAS)
+    D.convert(spark, str(tmp_path / "a"), str(tmp_path / "b"), "3.0")
     D.convert(spark, str(tmp_path / "b"), str(tmp_path / "c"), "2.1")
-    digests = [sorted(map(tuple, video_digests(open_dataset(spark, str(tmp_path / x))).collect())) for x in "abc"]
-    assert len(digests[0]) == 3 and digests[0] == digests[1] == digests[2]
+    assert digests(spark, tmp_path / "a") == digests(spark, tmp_path / "b") == digests(spark, tmp_path / "c") == expected([0, 1, 2])
+    assert len(list((tmp_path / "b/videos/wrist").rglob("*.mp4"))) == 1  # packed
+    small = D.convert(spark, str(tmp_path / "a"), str(tmp_path / "d"), "3.0", video_mb=0.0001, dry_run=True)
+    assert small["written"] is False and not (tmp_path / "d").exists()
+    D.convert(spark, str(tmp_path / "a"), str(tmp_path / "d"), "3.0", video_mb=0.0005)
+    assert len(list((tmp_path / "d/videos/wrist").rglob("*.mp4"))) > 1
+    a, d = open_dataset(spark, str(tmp_path / "a")), open_dataset(spark, str(tmp_path / "d"))
+    report = D.compare(a, d, check_videos=True)
+    assert report.ok, report.errors
+    assert not [p for p in (tmp_path / "b").rglob(".*") if not p.name.endswith(".crc")]
+
+
+@pytest.mark.parametrize("version", ["2.1", "3.0"])
+def test_videos_follow_their_episodes(spark, tmp_path, version):
+    make_dataset(tmp_path / "a", cameras=CAMERAS)
+    make_dataset(tmp_path / "b", (3, 4), task="other", base=50.0, cameras=CAMERAS, picture=5000)
+    roots = [tmp_path / "a", tmp_path / "b"]
+    if version == "3.0":
+        for k in "ab":
+            D.convert(spark, str(tmp_path / k), str(tmp_path / f"{k}3"), "3.0")
+        roots = [tmp_path / "a3", tmp_path / "b3"]
+    D.edit_dataset(spark, str(roots[0]), str(tmp_path / "edit"), D.EditConfig((0,)))
+    assert digests(spark, tmp_path / "edit") == expected([1, 2])
+    D.edit_dataset(spark, str(roots[0]), str(tmp_path / "middle"), D.EditConfig((1,), ("side.cam",)))
+    assert digests(spark, tmp_path / "middle") == expected([0, 2], ("wrist",))
+    assert not (tmp_path / "middle/videos/side.cam").exists()
+    D.convert(spark, D.subset(open_dataset(spark, str(roots[0])), 1, 3), str(tmp_path / "part"), version)
+    assert digests(spark, tmp_path / "part") == expected([1, 2])
+    D.merge_datasets(spark, list(map(str, roots)), str(tmp_path / "merged"))
+    second = expected([0, 1], lengths=(3, 4), picture=5000)
+    assert digests(spark, tmp_path / "merged") == expected([0, 1, 2]) | {(e + 3, k): v for (e, k), v in second.items()}
+    assert D.validate(spark, str(tmp_path / "merged"), deep=True).ok
+    if version == "3.0":  # files that lose nothing are reused
+        modes = {r["mode"] for r in planned(open_dataset(spark, str(tmp_path / "merged")), "v3.0").collect()}
+        assert modes == {"reuse"}
+
+
+def test_video_faults(spark, tmp_path):
+    root = make_dataset(tmp_path / "a", cameras=("wrist",))
+    assert video_faults(open_dataset(spark, str(root)), deep=True).count() == 0
+    (root / "videos/chunk-000/wrist/episode_000002.mp4").unlink()
+    (root / "videos/chunk-000/wrist/episode_000000.mp4").write_bytes(movie([jpeg(1)]).getvalue())
+    found = {(r["episode_index"], r["code"]) for r in video_faults(open_dataset(spark, str(root)), deep=True).collect()}
+    assert found == {(2, "missing_video"), (0, "short_video")}
+    assert any("missing video" in e for e in D.validate(spark, str(root)).errors)
+    other = make_dataset(tmp_path / "b", cameras=("wrist",), picture=7)
+    (other / "videos/chunk-000/wrist/episode_000001.mp4").write_bytes(movie([jpeg(900), jpeg(901)]).getvalue())
+    make_dataset(tmp_path / "c", cameras=("wrist",), picture=7)
+    report = D.compare(open_dataset(spark, str(other)), open_dataset(spark, str(tmp_path / "c")), check_videos=True)
+    assert report.errors == ["episode 1, wrist: video differs"]
+
+
+def test_bad_h264_metadata_is_an_error(tmp_path):
+    assert json.dumps(mp4.probe(h264([5, 1])))
+    assert mp4._nal_types(b"\0\0\0\x09\x05", 4) == set()
