@@ -24,8 +24,10 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("c").alias("m"))
         met = label.join(near, label["node"] == near["a"], "left").select("node", "c", F.least("c", F.coalesce("m", "c")).alias("best"))
-        root = met.groupBy("c").agg(F.min("best").alias("r"))
-        moved = met.join(root, "c").select("node", "c", "r")
+        met = stage(met, "met")
+        # only trees that change, staged: a join with an aggregate of the same key could not split a large tree
+        root = stage(met.groupBy("c").agg(F.min("best").alias("r")).where("r < c"), "roots")
+        moved = met.join(root, "c", "left").select("node", "c", F.coalesce("r", "c").alias("r"))
         step = label.select(F.col("node").alias("r"), F.col("c").alias("next"))
         after = moved.join(step, "r", "left").select("node", F.col("c").alias("was"), F.least("r", F.coalesce("next", "r")).alias("c"))
         after = stage(after, "labels")

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 #: Bytes of text that a kernel handles at once.
 SUB_BATCH_BYTES = 2 << 20
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
@@ -163,11 +163,11 @@ _POWERS_OF_N = np.multiply.accumulate(np.full(64, np.uint64(0xD1342543DE82EF95))
 
 def sequence_hash(hashes: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray:
     """A hash of each row's whole sequence of words."""
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    up, down = _powers(len(hashes) + 1)
-    np.cumsum(mix64(hashes + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * up[: len(hashes)], out=total[1:])
     n = np.diff(first).astype(np.uint64)
-    return mix64((total[first[1:]] - total[first[:-1]]) * down[first[:-1]] + n * _MIX1)
+    place = (np.arange(len(hashes), dtype=np.uint64) - np.repeat(first[:-1], np.diff(first)).astype(np.uint64)) * _GOLD
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix64(mix64(hashes + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) + place), out=total[1:])
+    return mix64(total[first[1:]] - total[first[:-1]] + n * _MIX1)
 
 
 def shingles(w: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
