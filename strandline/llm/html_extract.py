@@ -34,16 +34,31 @@ IN_HEAD = frozenset("head base basefont bgsound link meta title noscript noframe
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img ruby rt rp nobr".split())
 #: Formulas are text of the block they stand in.
 INLINE |= frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation".split())
+FOREIGN = frozenset(("svg", "math"))
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPES = frozenset("table ul ol dl select article section div body html".split())
 
-# a quote opens a quoted value only where a value begins; within names and unquoted values it is a character
-_VALUE = r"\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*|(?=>))"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:{_VALUE})?|=)*+)>", re.S)
-_ATTR = re.compile(r"(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+#: Elements nested deeper than this become siblings, as browsers do; no text is lost.
+MAX_DEPTH = 512
+
+# a quote opens a quoted value only where a value begins; within names and unquoted values, and if nothing closes it, it is a character
+_ATTRIBUTES = re.compile(r"(?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]++|(?=>)))?+|=)*+")
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_ATTR = re.compile(r"(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
+_LABEL = re.compile(r"data-y=[\"']?([01])")
+_RAW_END = {t: re.compile(rf"</{t}\s*+>", re.I) for t in RAW}
 _NAME = re.compile(r"[a-z]+")
+_COMMENT_END = re.compile(r"--!?>")
+_ZEROS = re.compile(r"&#0+(?=[0-9])")
+_TOO_LARGE = re.compile(r"&#[0-9]{8,}+;?")
+
+
+def decoded(text: str) -> str:
+    """Character references decoded; numbers beyond Unicode, however long, give U+FFFD."""
+    if "&" not in text:
+        return text
+    return html.unescape(_TOO_LARGE.sub("\ufffd", _ZEROS.sub("&#", text)))
 
 
 @dataclass
@@ -60,11 +75,93 @@ class Tree:
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
-def parse(page: str) -> Tree:
-    """A forgiving parser: any text gives a tree, unclosed and stray tags included."""
+class _Markup:
+    """Where the next piece of markup begins and ends; every character is looked at a bounded number of times."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.cdata = page.rfind("]]>")
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str]:
+        """(begin, end, tag, whether it closes, attributes) from ``at`` on; comments and the like have no tag.
+
+        What an unfinished tag or comment opens runs to the end of the page.
+        """
+        page, n = self.page, len(self.page)
+        begin = page.find("<", at)
+        while begin >= 0:
+            after = page[begin + 1 : begin + 2]
+            if after == "!":
+                return begin, self._declaration(begin), "", False, ""
+            if after == "?":
+                return begin, self._beyond(begin), "", False, ""
+            if m := _TAG.match(page, begin):
+                rest = _ATTRIBUTES.match(page, m.end())
+                end = rest.end()
+                return begin, min(end + 1, n), m.group(1).lower() if end < n else "", after == "/", rest.group()
+            if after == "/" and page[begin + 2 : begin + 3].strip():
+                return begin, self._beyond(begin), "", False, ""
+            begin = page.find("<", begin + 1)
+        return n, n, "", False, ""
+
+    def _beyond(self, begin: int) -> int:
+        end = self.page.find(">", begin)
+        return end + 1 if end >= 0 else len(self.page)
+
+    def _declaration(self, begin: int) -> int:
+        page = self.page
+        if page.startswith("<!--", begin):
+            if page.startswith((">", "->"), begin + 4):
+                return self._beyond(begin)
+            m = _COMMENT_END.search(page, begin + 4)
+            return m.end() if m else len(page)
+        if self.cdata > begin and page.startswith("<![CDATA[", begin):
+            return page.find("]]>", begin) + 3
+        return self._beyond(begin)
+
+
+class _Open:
+    """Open elements; looking one up by name costs the same however many are open."""
+
+    def __init__(self) -> None:
+        self.names = ["#root"]
+        self.nodes = [0]  # the node that an element's text goes to
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def push(self, name: str, node: int) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        if name in SCOPES:
+            self.scopes.append(len(self.names))
+        self.names.append(name)
+        self.nodes.append(node)
+
+    def pop(self) -> str:
+        name = self.names.pop()
+        self.nodes.pop()
+        self.places[name].pop()
+        if name in SCOPES:
+            self.scopes.pop()
+        return name
+
+    def last(self, name: str) -> int:
+        """The place of the innermost open element of a name, 0 if there is none."""
+        places = self.places.get(name)
+        return places[-1] if places else 0
+
+    def last_in_scope(self, names: tuple[str, ...]) -> int:
+        place = max(map(self.last, names))
+        return place if place > (self.scopes[-1] if self.scopes else 0) else 0
+
+
+def parse(page: str, *, labels: bool = False) -> Tree:
+    """A forgiving parser, linear in the page: any text gives a tree, unclosed and stray tags included.
+
+    ``labels`` reads the labels of training pages; no other page is asked for them.
+    """
     tree = Tree()
-    stack: list[tuple[str, int]] = [("#root", 0)]  # open elements with the node their text goes to
-    unseen = links = 0
+    stack = _Open()
+    unseen = links = foreign = 0
     piece: list[str] = []
     owner = 0
 
@@ -78,95 +175,83 @@ def parse(page: str) -> Tree:
 
     def text_at(raw: str) -> None:
         nonlocal owner
-        if stack[-1][0] == "head" and raw.strip():
-            close(len(stack) - 1)
+        if stack.names[-1] == "head" and raw.strip():
+            close(len(stack.names) - 1)
         if raw and not unseen:
-            node = stack[-1][1]
+            node = stack.nodes[-1]
             if node != owner:
                 flush()
                 owner = node
-            text = html.unescape(raw)
+            text = decoded(raw)
             piece.append(text)
             if links:
                 tree.linked[node] += len(text)
 
     def close(to: int) -> None:
-        nonlocal unseen, links
-        while len(stack) > to:
-            name, _ = stack.pop()
+        """Closes what has been opened from a place on; 0 closes nothing."""
+        nonlocal unseen, links, foreign
+        while to and len(stack.names) > to:
+            name = stack.pop()
             unseen -= name in UNSEEN
             links -= name == "a"
+            foreign -= name in FOREIGN
             if name not in INLINE:
                 flush()
 
+    markup = _Markup(page)
     at, n = 0, len(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            text_at(page[at:])
-            break
-        text_at(page[at : m.start()])
-        at = m.end()
-        name = (m.group(2) or "").lower()
+        begin, end, name, closes, attributes = markup.next(at)
+        text_at(page[at:begin])
+        at = end
         if not name:
             continue
-        if m.group(1):
-            if name == "p" and not any(t == "p" for t, _ in stack):
+        if closes:
+            if name == "p" and not stack.last("p"):
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
+            close(stack.last(name))
             continue
         if name not in IN_HEAD:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "head":
-                    close(k)
-                    break
+            close(stack.last("head"))
         if name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in SCOPES:
-                    break
+            close(stack.last_in_scope(("p",)))
         if name in SIBLINGS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in SIBLINGS[name]:
-                    close(k)
-                    break
-                if stack[k][0] in SCOPES:
-                    break
+            close(stack.last_in_scope(SIBLINGS[name]))
         if name == "br":
             text_at(" ")
             continue
         if name == "hr":
             flush()
             continue
-        if name in VOID or (m.group(3).endswith("/") and any(t in ("svg", "math") for t, _ in stack)):
+        empty = attributes.endswith("/")
+        if name in VOID or (empty and foreign):
             continue
-        parent = stack[-1][1]
+        parent = stack.nodes[-1]
         if name in INLINE:
-            stack.append((name, parent))
+            node = parent
             links += name == "a"
         else:
             flush()
-            found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m.group(3))}
+            found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attributes)}
             words = _NAME.findall(" ".join(found.get(k, "") for k in ("class", "id", "role")).lower())
+            if tree.depth[parent] >= MAX_DEPTH:
+                parent = tree.parent[parent]
             tree.parent.append(parent)
             tree.depth.append(tree.depth[parent] + 1)
             tree.tag.append(name)
             tree.names.append(tuple(dict.fromkeys(words)))
-            tree.label.append(int(found["data-y"]) if found.get("data-y", "").isdigit() else -1)
+            label = _LABEL.search(attributes) if labels else None
+            tree.label.append(int(label.group(1)) if label else -1)
             tree.linked.append(0)
-            stack.append((name, len(tree.tag) - 1))
-            owner = len(tree.tag) - 1
+            node = owner = len(tree.tag) - 1
+        stack.push(name, node)
         unseen += name in UNSEEN
-        if name in _RAW_END and not m.group(3).endswith("/"):
-            end = _RAW_END[name].search(page, at)
-            text_at(page[at : end.start()] if end else page[at:])
-            at = end.end() if end else n
-            close(len(stack) - 1)
+        foreign += name in FOREIGN
+        if name in _RAW_END and not empty:
+            stop = _RAW_END[name].search(page, at)
+            text_at(page[at : stop.start()] if stop else page[at:])
+            at = stop.end() if stop else n
+            close(len(stack.names) - 1)
     flush()
     return tree
 
@@ -311,7 +396,7 @@ def default_model() -> Model:
     """A model trained on the labelled pages of html_samples."""
     from .html_samples import labelled_pages
 
-    return train([parse(p) for p in labelled_pages()])
+    return train([parse(p, labels=True) for p in labelled_pages()])
 
 
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
