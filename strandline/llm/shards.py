@@ -8,10 +8,11 @@ and whole ranges are then given to shards, the largest first, each to the shard
 with the fewest bytes.
 
 Only a slim table (id, size, checksum, key) is written and shuffled; no text is.
+Rows that agree in all four are one row with a count, folded before the shuffle.
 Slots come from counts of bounded pieces: a range is cut by a hash of the id
-into pieces of about PIECE_ROWS rows, rows are numbered within a piece, and
-pieces are offset by the rows before them.  So neither a shard nor a group of
-copies is ever numbered in one task.
+into pieces of about PIECE_ROWS such rows, these are numbered within a piece,
+and pieces are offset by the rows before them.  So neither a shard nor a group
+of copies, with ids or without, is ever numbered in one task.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .staging import stage, table
+from .staging import small, stage, table
 
 N_SHARDS = 16
 #: Ranges for each shard at least, and bytes of a range at most where there are more.
@@ -35,8 +36,9 @@ RANGE_BYTES = 1 << 30
 SAMPLES = 24
 #: A range with more than this multiple of the mean is cut again.
 OVERFULL = 2.0
-ROUNDS = 3
 PIECE_ROWS = 4000
+#: Equal rows that are written out together at most.
+STRETCH = 65_536
 #: Pieces come back to the driver as counts; with more rows a piece holds more.
 MAX_PIECES = 400_000
 
@@ -46,7 +48,7 @@ def _ranges_of(keys: np.ndarray, splitters: np.ndarray) -> np.ndarray:
 
 
 def _dealt(rows: DataFrame, splitters: np.ndarray) -> DataFrame:
-    """Adds the range of each row; the splitters are a bounded array."""
+    """Adds the range of each row; the splitters are a bounded array: a few for each range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,16 +56,17 @@ def _dealt(rows: DataFrame, splitters: np.ndarray) -> DataFrame:
             ranges = _ranges_of(batch.column(at).to_numpy(), splitters).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranges)], names=[*batch.schema.names, "range"])
 
-    return rows.mapInArrow(run, "doc_id bigint, size bigint, text_crc32 bigint, key bigint, range int")
+    return rows.mapInArrow(run, "doc_id bigint, size bigint, text_crc32 bigint, key bigint, n bigint, range int")
 
 
 def _sample(rows: DataFrame, wanted: float, total: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys drawn with probability proportional to size, with the bytes that each stands for."""
     rate = wanted / max(1, total)
     draw = F.pmod(F.xxhash64("doc_id", "key", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.where(draw < F.col("size") * rate).select("key", F.greatest(F.col("size").cast("double"), F.lit(1 / rate)).alias("stands"))
-    got = drawn.groupBy("key").agg(F.sum("stands").alias("stands")).toPandas().sort_values("key")
-    return got["key"].to_numpy(np.int64), got["stands"].to_numpy(float)
+    size = F.col("size") * F.col("n")
+    drawn = rows.where(draw < size * rate).select("key", F.greatest(size.cast("double"), F.lit(1 / rate)).alias("stands"))
+    got = drawn.groupBy("key").agg(F.sum("stands").alias("stands")).orderBy("key").collect()
+    return np.array([r["key"] for r in got], np.int64), np.array([r["stands"] for r in got], float)
 
 
 def _quantiles(keys: np.ndarray, stands: np.ndarray, n: int) -> np.ndarray:
@@ -75,30 +78,32 @@ def _quantiles(keys: np.ndarray, stands: np.ndarray, n: int) -> np.ndarray:
 
 
 def splitters_for(rows: DataFrame, total: int, n_ranges: int) -> tuple[np.ndarray, dict[int, int]]:
-    """Boundaries of the ranges, and the bytes of each range by exact count."""
-    splitters = _quantiles(*_sample(rows, n_ranges * SAMPLES, total, 0), n_ranges)
-    for salt in range(1, ROUNDS + 1):
-        size = {r["range"]: r["b"] for r in _dealt(rows, splitters).groupBy("range").agg(F.sum("size").alias("b")).collect()}
-        limit = OVERFULL * total / n_ranges
-        over = sorted(k for k, b in size.items() if b > limit)
-        if not over or salt == ROUNDS:
+    """Boundaries of the ranges, and the bytes of each range by exact count.
+
+    Overfull ranges are cut until none is left that holds more than one key.
+    """
+    splitters, salt = _quantiles(*_sample(rows, n_ranges * SAMPLES, total, 0), n_ranges), 0
+    limit = OVERFULL * total / n_ranges
+    while True:
+        counted = _dealt(rows, splitters).groupBy("range").agg(F.sum(F.col("size") * F.col("n")).alias("b"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()
+        size = {r["range"]: r["b"] for r in counted}
+        over = {r["range"]: (r["lo"], r["hi"]) for r in counted if r["b"] > limit and r["lo"] < r["hi"]}
+        if not over:
             return splitters, size
-        inside = _dealt(rows, splitters).where(F.col("range").isin(over)).drop("range")
-        keys, stands = _sample(inside, SAMPLES * 4.0 * len(over) + sum(size[k] for k in over) / total * n_ranges * SAMPLES, sum(size[k] for k in over), salt)
+        salt += 1
+        inside = _dealt(rows, splitters).where(F.col("range").isin(sorted(over))).drop("range")
+        heavy_bytes = sum(size[k] for k in over)
+        keys, stands = _sample(inside, SAMPLES * 4.0 * len(over) + heavy_bytes / total * n_ranges * SAMPLES, heavy_bytes, salt)
         home = _ranges_of(keys, splitters)
         more = []
-        for k in over:
+        for k, (lo, hi) in sorted(over.items()):
             own = np.flatnonzero(home == k)
             if len(own) > 1:
                 more.append(_quantiles(keys[own], stands[own], int(np.ceil(2 * size[k] / limit)) + 1))
-                # a key that alone outweighs a range gets a range of its own
-                heavy = own[stands[own] > limit / 4]
-                more.append(np.concatenate([keys[heavy], keys[heavy] + 1]))
-        fresh = np.unique(np.concatenate([splitters, *more]))
-        if len(fresh) == len(splitters):
-            return splitters, size
-        splitters = fresh
-    return splitters, size
+            # a key that alone outweighs a range gets a range of its own; the least key always does, so every round cuts
+            heavy = np.append(keys[own][stands[own] > limit / 4], lo)
+            more.append(np.concatenate([heavy, heavy + 1]))
+        splitters = np.unique(np.concatenate([splitters, *more]))
 
 
 def deal_ranges(size: dict[int, int], n_shards: int) -> dict[int, int]:
@@ -123,8 +128,9 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     an id.  Extra columns are ignored; an empty table gives an empty table.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key")), "slim")
-    whole = rows.agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key"))
+    rows = stage(slim.groupBy("doc_id", "size", "text_crc32", "key").agg(F.count(F.lit(1)).alias("n")), "slim")
+    whole = rows.agg(F.sum(F.col("size") * F.col("n")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     total, n_rows = whole["b"] or 0, whole["n"]
     n_ranges = max(n_shards * RANGES_PER_SHARD, -(-total // RANGE_BYTES))
     splitters, size = splitters_for(rows, total, n_ranges)
@@ -135,17 +141,23 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     many = {r["range"]: max(1, -(-r["n"] // piece_rows)) for r in dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark = docs.sparkSession
     # one row for each range: bounded by MAX_PIECES and the ranges
-    ranges = spark.createDataFrame([(k, home[k], many[k]) for k in sorted(many)], "range int, shard int, pieces int")
-    placed = dealt.join(F.broadcast(ranges), "range").withColumn("piece", F.pmod(F.xxhash64("doc_id", "key"), F.col("pieces").cast("long")).cast("int"))
-    counts = placed.groupBy("shard", "range", "piece").agg(F.count(F.lit(1)).alias("n")).orderBy("shard", "range", "piece").collect()
+    ranges = small(spark.createDataFrame([(k, home[k], many[k]) for k in sorted(many)], "range int, shard int, pieces int"))
+    placed = dealt.join(ranges, "range").withColumn("piece", F.pmod(F.xxhash64("doc_id", "key"), F.col("pieces").cast("long")).cast("int"))
+    counts = placed.groupBy("shard", "range", "piece").agg(F.sum("n").alias("n")).orderBy("shard", "range", "piece").collect()
     offset, at = [], dict.fromkeys(range(n_shards), 0)
     for r in counts:
         offset.append((r["range"], r["piece"], at[r["shard"]]))
         at[r["shard"]] += r["n"]
-    offsets = spark.createDataFrame(offset, "range int, piece int, before bigint")
-    within = Window.partitionBy("range", "piece").orderBy("key", "doc_id")
-    numbered = placed.withColumn("rank", F.row_number().over(within)).join(F.broadcast(offsets), ["range", "piece"])
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    offsets = small(spark.createDataFrame(offset, "range int, piece int, before bigint"))
+    within = Window.partitionBy("range", "piece").orderBy("key", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = placed.withColumn("upto", F.sum("n").over(within)).join(offsets, ["range", "piece"])
+    stop = F.col("before") + F.col("upto")
+    numbered = stage(numbered.select("doc_id", "size", "text_crc32", "shard", "n", (stop - F.col("n")).alias("first"), stop.alias("stop")), "numbered")
+    # a row that repeats very often is written out by many tasks, a stretch of slots each
+    often = numbered.where(F.col("n") > STRETCH).withColumn("first", F.explode(F.sequence("first", F.col("stop") - 1, F.lit(STRETCH).cast("long"))))
+    often = often.withColumn("stop", F.least(F.col("first") + STRETCH, "stop")).repartition("doc_id", "text_crc32", "first")
+    each = numbered.where(F.col("n") <= STRETCH).unionByName(often).withColumn("slot", F.explode(F.sequence("first", F.col("stop") - 1)))
+    return each.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
