@@ -164,14 +164,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """Fits a machine to the labelled rows of ``docs`` that are not held out.
 
     Labels that are null or not 0 or 1 count as no label; an id labelled twice
-    counts once, as toxic if any of its labels says so.  Without rows of both
-    kinds the machine has no terms and scores the prior.
+    counts once, as toxic if any of its labels says so; of the texts of a
+    repeated id the least is learned from.  Without rows of both kinds the
+    machine has no terms and scores the prior.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # rows come by the hash of their id, which has nothing to do with label or text
     chosen = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    # an id that names several rows gives one of its texts, the least, so there are TRAIN_ROWS rows at most
+    joined = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
     rows = stage(joined.mapInArrow(_terms, "toxic int, sketch bigint, terms array<int>"), "terms")
     votes = rows.groupBy("sketch", "toxic").agg(F.count(F.lit(1)).alias("n"))
     rows = stage(rows.join(votes, ["sketch", "toxic"]).select("toxic", (1 / F.col("n")).alias("vote"), "terms"), "votes")
