@@ -4,8 +4,9 @@ Besides the patterns, candidate strings (runs of CANDIDATE characters) are
 searched with a sliding window of WINDOW characters.  Characters fall into four
 classes (lower case, upper case, digits, other); the counts of each character
 and each class move with the window, and so does the sum of c log c, from which
-the Shannon entropy follows without recounting.  Windows that carry enough
-entropy in each class that they use join to spans.  Keys over a small alphabet
+the Shannon entropy of the window and of each class follows without recounting.
+Windows that carry enough entropy as a whole and within every class that they
+use join to spans: n characters of a class must reach CLASS_SHARE of log2 n bits.  Keys over a small alphabet
 (hex, base32) and keys of letters alone cannot reach that bar and have rules of
 their own (alphabet_windows).  Shapes of public identifiers are cut out of a run
 before it is searched; an allow-list suppresses the spans found that are known
@@ -44,11 +45,10 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 #: What may follow a key in base64; elsewhere "=" parts a name from its value.
 PADDING = re.compile(r"={1,2}(?![A-Za-z0-9+/_=-])")
 WINDOW = 20
-#: Bits that the characters of a window must carry, in all and within letters and digits.
-MIN_BITS = 3.4
+#: Bits that the characters of a window must carry, and the share of the most that those of each class can carry.
+MIN_BITS, CLASS_SHARE = 3.4, 0.6
 #: Bits for each alphabet: hex digits of one case, base32, and letters alone.
 HEX_BITS, BASE32_BITS, LETTER_KEY_BITS = 2.9, 3.2, 3.4
-MIN_LETTER_BITS, MIN_DIGIT_BITS = 2.0, 0.8
 MIN_LETTERS, MIN_DIGITS = 4, 2
 _SAMPLE = r"(?i:example|sample|placeholder|changeme|xxxx)"
 #: Public identifiers and names of sample folders, which part what stands before and after them.
@@ -57,6 +57,7 @@ PUBLIC = re.compile(rf"(?<![0-9A-Za-z])[0-9a-fA-F]{{8}}(?:-[0-9a-fA-F]{{4}}){{3}
 ALLOW = tuple(re.compile(p) for p in (rf".*{_SAMPLE}.*", r"[0-9_/=+-]+", r"(?:(?:[A-Za-z]+[0-9]{0,3}|[0-9]{1,4})[_/=-]+)+[A-Za-z]*[0-9]{0,4}"))
 
 _LOG = np.concatenate([[0.0], np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1))])
+_CLASS_BITS = [CLASS_SHARE * math.log2(max(1, n)) - 1e-9 for n in range(WINDOW + 1)]
 _CLASS = {c: k for k, chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_=-")) for c in chars}
 
 
@@ -83,7 +84,7 @@ def entropy_windows(text: str) -> list[tuple[int, int]]:
         total[k] += 1
         sums[k] += _LOG[c + 1] - _LOG[c]
         whole += _LOG[c + 1] - _LOG[c]
-        if i >= WINDOW - 1 and total[2] >= MIN_DIGITS and total[0] + total[1] >= MIN_LETTERS and bits(WINDOW, whole) >= MIN_BITS and bits(total[0] + total[1], sums[0] + sums[1]) >= MIN_LETTER_BITS and bits(total[2], sums[2]) >= MIN_DIGIT_BITS:
+        if i >= WINDOW - 1 and total[2] >= MIN_DIGITS and total[0] + total[1] >= MIN_LETTERS and bits(WINDOW, whole) >= MIN_BITS and all(bits(n, s) >= _CLASS_BITS[n] for n, s in zip(total, sums, strict=True)):
             a, b = i - WINDOW + 1, i + 1
             if spans and a <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], b)
