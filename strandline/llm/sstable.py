@@ -26,20 +26,25 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import stores
 from . import textkit as tk
 from .staging import new_path, table
 
 MAGIC = b"STRNDSS1"
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
+#: Bytes of text that a shard holds at most, about; what text comes to for each byte in its files.
+SHARD_BYTES, UNPACKED = 256 << 20, 4
+#: Documents that a reader hands on together.
+READ_ROWS = 20_000
 _FOOTER = struct.Struct("<QQQQQQHI8s")
 _ENTRY = struct.Struct("<QQQQQ")
 _MISSING = b"\x00"
@@ -177,6 +182,8 @@ class WordTable:
 
     #: Words of a generation.  A full young table becomes the old one, and words that are met again return from it.
     LIMIT = 250_000
+    #: What parts the words that the library is given together, and how many these are.
+    SEPARATOR, LINE = "|", 64
     _BLANK = re.compile(r"[^ \n\r\t]+")
     # letters of Latin blocks that are their own composed form; no other white space than blanks
     PLAIN = re.compile(r"[\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*")
@@ -192,12 +199,43 @@ class WordTable:
         self.end = end.to_bytes(self.width, "little")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        alone = self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids
+        #: The id of SEPARATOR, if it is one and stands between words as it stands alone.
+        self.separator = alone[0] if len(alone) == 1 and self.tokenizer.encode(f"a {self.SEPARATOR} b", add_special_tokens=False).ids[1:-1] == alone else None
 
     def words(self, text: str) -> list[str]:
         if self.PLAIN.fullmatch(text) and "<|" not in text:
             return self._WORD.findall(text.lower())
         return self._BLANK.findall(text)
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, f"<u{self.width}").tobytes()
+
+    def learned(self, fresh: list[str]) -> dict[str, bytes]:
+        """The ids of words by the library.
+
+        Words of letters or digits go to it in lines, parted by SEPARATOR, whose
+        one id then parts the ids; a line that does not come apart into as many
+        words is encoded word by word, and so are all other words.
+        """
+        out: dict[str, bytes] = {}
+        if self.separator is not None:
+            plain = [w for w in fresh if w.isalnum()]
+            lines = [plain[i : i + self.LINE] for i in range(0, len(plain), self.LINE)]
+            coded = self.tokenizer.encode_batch_fast([f" {self.SEPARATOR} ".join(line) for line in lines], add_special_tokens=False)
+            for line, e in zip(lines, coded, strict=True):
+                ids = np.array(e.ids, f"<u{self.width}")
+                cuts = np.flatnonzero(ids == self.separator)
+                if len(cuts) != len(line) - 1:
+                    continue
+                raw, edges = ids.tobytes(), (cuts * self.width).tolist()
+                begins = [0, *(c + self.width for c in edges)]
+                out.update(zip(line, (raw[a:b] for a, b in zip(begins, [*edges, len(raw)], strict=True)), strict=True))
+        rest = [w for w in fresh if w not in out]
+        if rest:
+            out.update((w, self._bytes(e.ids)) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        return out
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes, the end id last."""
         cut = [self.words(t) for t in texts]
@@ -207,10 +245,7 @@ class WordTable:
         new = set().union(*cut).difference(known)
         back = {w: self.old[w] for w in new.intersection(self.old)}
         known.update(back)
-        fresh = list(new.difference(back))
-        if fresh:
-            coded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-            known.update((w, np.array(e.ids, f"<u{self.width}").tobytes()) for w, e in zip(fresh, coded, strict=True))
+        known.update(self.learned(list(new.difference(back))))
         return [b"".join(map(known.__getitem__, words)) + self.end for words in cut]
 
 
@@ -224,59 +259,71 @@ def word_table(file: str, end: int) -> WordTable:
     return _tables[file, end]
 
 
-def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+def _shards_for(docs: DataFrame) -> int:
+    """As many shards as the session has shuffle partitions, or more, so that none holds more than about SHARD_BYTES of text."""
+    spark = docs.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = int(str(docs.select("doc_id", "text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known > 1 << 58:  # the plan cannot tell
+        known = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        return max(least, -(-known // SHARD_BYTES))
+    return max(least, -(-known * UNPACKED // SHARD_BYTES))
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, end: int) -> list[tuple[str, int, int]]:
     """Writes all documents in ascending order of id; (file, documents, ids) of each shard in that order.
 
-    A shard is a range of ids (sampled splitters) and a task.  It is written
-    under a name of the attempt and renamed when whole, so a lost or repeated
-    task leaves the same file.  The driver gets one row for each shard.
+    A shard is a range of ids (sampled splitters; rows that share an id are told
+    apart by a hash of their text) and a task.  It is written under a hidden name
+    of the attempt and renamed when whole, so a lost or repeated task leaves the
+    same file and a failed one nothing.  The driver gets one row for each shard.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_table(tokenizer_file, end)
         context = TaskContext.get()
-        fs, root = _filesystem(folder)
-        fs.create_dir(root, recursive=True)
         name = f"shard-{context.partitionId():06d}.sst"
-        attempt = f"{root}/.{name}.{context.taskAttemptId()}"
         n = (0, 0)
-        with fs.open_output_stream(attempt) as out:
+
+        def fill(out) -> None:
+            nonlocal n
             writer = Writer(out, words.width)
-            for batch in tk.sub_batches(batches, "text", 2 << 20):
+            for batch in chain([first], parts):
                 for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode_batch(tk.clean(batch.column(1)).to_pylist()), strict=True):
                     writer.add(doc_id, ids)
             n = writer.close()
-        if n[0]:
-            fs.move(attempt, f"{root}/{name}")
+
+        parts = tk.sub_batches(batches, "text", 2 << 20)
+        first = next(parts, None)
+        if first is not None:
+            stores.write(f"{folder}/{name}", context.taskAttemptId(), fill)
             yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()], pa.int32()), pa.array([name]), pa.array([n[0]], pa.int64()), pa.array([n[1]], pa.int64())], names=["part", "name", "n", "ids"])
-        else:
-            fs.delete_file(attempt)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranges = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    order = (F.col("doc_id"), F.xxhash64("text"))
+    ranges = rows.repartitionByRange(_shards_for(docs), *order).sortWithinPartitions(*order, "text")
     done = ranges.mapInArrow(run, "part int, name string, n bigint, ids bigint").collect()
     return [(f"{folder}/{r['name']}", r["n"], r["ids"]) for r in sorted(done, key=lambda r: r["part"])]
 
 
 def read_shards(spark: SparkSession, shards: list[tuple[str, int, int]]) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files alone."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files alone, READ_ROWS at a time."""
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fs, name = _filesystem(path)
-                rows: list[tuple[int | None, int, int, int]] = []
-                with fs.open_input_file(name) as file:
-                    at = start
+                columns: tuple[list, ...] = ([], [], [], [])
+                at = start
+                with stores.reader(path) as file:
                     for doc_id, ids in Reader(file).scan():
-                        rows.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
+                        for column, value in zip(columns, (doc_id, at, len(ids), zlib.crc32(ids.tobytes())), strict=True):
+                            column.append(value)
                         at += len(ids)
-                columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        if len(columns[0]) == READ_ROWS:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+                            columns = ([], [], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     if not shards:
@@ -290,8 +337,9 @@ def token_table(docs: DataFrame, tokenizer_file: str, end: int) -> DataFrame:
     """Writes ``docs`` as shards in the shared folder and reads them back.
 
     Null text counts as empty and has the end id alone.  Rows that repeat an id
-    are written each, ordered by text; rows without an id come first.  Extra
-    columns are ignored; an empty table gives an empty table.
+    are written each, ordered by a hash of their text and the text; rows without
+    an id come first.  Extra columns are ignored; an empty table gives an empty
+    table.
     """
     spark = docs.sparkSession
     return read_shards(spark, write_shards(docs, new_path(spark, "sst"), tokenizer_file, end))
