@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
@@ -108,13 +109,18 @@ def templates_of(texts: dict[str, str]) -> list[Template]:
 def anchors_for(templates: list[Template]) -> list[str]:
     """Words of which a text must have one to hold THRESHOLD of any template's shingles."""
     chosen: list[str] = []
+    vocabulary = {w for t in templates for w in t.words}
+    covered: set[str] = set()  # words that have an anchor in them
     for t in templates:
-        left = [s for s in t.shingles if not any(a in w for w in s for a in chosen)]
+        shingles = t.shingles
+        left = [s for s in shingles if covered.isdisjoint(s)]
         # the shingles without an anchor must be too few to match alone
-        while len(left) >= THRESHOLD * len(t.shingles):
-            best = max({w for s in left for w in s}, key=lambda w: (min(len(w), 7), sum(w in s for s in left), w))
+        while len(left) >= THRESHOLD * len(shingles):
+            within = Counter(w for s in left for w in set(s))
+            best = max(within, key=lambda w: (min(len(w), 7), within[w], w))
             chosen.append(best)
-            left = [s for s in left if not any(best in w for w in s)]
+            covered.update(w for w in vocabulary if best in w)
+            left = [s for s in left if covered.isdisjoint(s)]
     return chosen
 
 
@@ -123,6 +129,14 @@ def _constants(scale: int) -> list[int]:
     return [rng.getrandbits(63) for _ in range(BANDS)]
 
 
+def _any(conditions: list[Column]) -> Column:
+    """Whether any condition holds, as a tree of little depth."""
+    if len(conditions) < 2:
+        return conditions[0] if conditions else F.lit(False)
+    half = len(conditions) // 2
+    return _any(conditions[:half]) | _any(conditions[half:])
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body or a function in it uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -187,20 +201,23 @@ def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None) -> DataF
     longs = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
     known = [sorted({b for _, s, bands in signed for b in bands if (len(s) > SHORT) == bool(k)}) for k in range(2)]
 
+    nothing = F.array().cast("array<string>")
+    # the catalogue is one literal of the plan, so the expression does not grow with it
+    catalogue = F.array(*(F.struct(F.lit(name).alias("name"), longs(own).alias("shingles"), longs(bands).alias("bands"), F.lit(THRESHOLD * len(own) - 1e-9).alias("least")) for name, own, bands in signed))
+
     def found(own: Column) -> Column:
         hits = F.concat(*(F.array_intersect(_bands(own, k), longs(known[k])) for k in range(2)))
-        return _let(hits, lambda h: F.array_compact(F.array(*(verified(h, own, *t) for t in signed))))
+        return _let(hits, lambda h: F.when(F.size(h) > 0, verified(h, own)).otherwise(nothing))
 
-    def verified(hits: Column, own: Column, name: str, shingles: list[int], bands: list[int]) -> Column:
-        # the hits are asked first: only retrieved templates are verified
-        enough = F.size(F.array_intersect(longs(shingles), own)) >= F.lit(THRESHOLD * len(shingles) - 1e-9)
-        return F.when(F.arrays_overlap(hits, longs(bands)), F.when(enough, F.lit(name)))
+    def verified(hits: Column, own: Column) -> Column:
+        # only retrieved templates are verified
+        retrieved = F.filter(catalogue, lambda t: F.arrays_overlap(hits, t["bands"]))
+        held = F.filter(retrieved, lambda t: F.size(F.array_intersect(t["shingles"], own)) >= t["least"])
+        return F.transform(held, lambda t: t["name"])
 
-    nothing = F.array().cast("array<string>")
     text = F.coalesce(F.col("text"), F.lit(""))
-    lowered, possible = F.lower(text), F.lit(False)
-    for a in anchors_for(templates):
-        possible = possible | lowered.contains(a)
+    lowered = F.lower(text)
+    possible = _any([lowered.contains(a) for a in anchors_for(templates)])
     names = F.when(possible, _let(_shingles(_words(text)), lambda own: F.when(F.size(own) > 0, found(own)).otherwise(nothing))).otherwise(nothing)
     if texts is None:
         tags = F.transform(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1)), lambda t: F.concat(F.lit("spdx-"), F.lower(t)))
