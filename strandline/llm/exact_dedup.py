@@ -128,8 +128,11 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.sha2(normalise(text) if normalise else text, 256).alias("text_sha256"))
-    groups = duplicate_groups(docs, id_col=id_col, text_col=text_col, keep=keep, normalise=normalise)
-    return rows.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    # a text without copies keeps itself, so only the groups with copies are looked up: by broadcast while they are few, else by a join whose skewed side can be split
+    groups = stage(duplicate_groups(docs, id_col=id_col, text_col=text_col, keep=keep, normalise=normalise).where("group_size > 1"), "copies")
+    looked = rows.join(small(groups.select("text_sha256", F.col("keep_id").alias("best"), F.col("group_size").alias("n")), MULTIPLE), "text_sha256", "left")
+    keep_id = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("best"))
+    return looked.select("doc_id", keep_id.alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
