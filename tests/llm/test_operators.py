@@ -639,6 +639,24 @@ def test_licenses_against_brute_force(spark, docs, empty):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_licenses_of_a_large_catalogue(spark):
+    rng = random.Random(17)
+    texts = {f"license-{i:03d}": prose(rng, 20 if i % 3 else 260) for i in range(240)}
+    rows, want = [], {}
+    for i in range(40):
+        name = f"license-{rng.randrange(240):03d}"
+        words = texts[name].split()
+        if i % 2:
+            words[len(words) // 2] = "edit"  # a few shingles go
+        rows.append((i, f"{prose(rng, 30)} {' '.join(words)} {prose(rng, 30)}", "n"))
+        want[i] = name if len(words) > 100 or not i % 2 else ""
+    frame = spark.createDataFrame([*rows, rows[0], (50, None, ""), (51, "", "")], "doc_id bigint, text string, licenses string")
+    got = licenses.scan_licenses(frame, texts).collect()
+    assert len(got) == 43 and all(r["licenses"] == want.get(r["doc_id"], "") for r in got)
+    one = licenses.scan_licenses(frame, texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert one.count("arrays_overlap") == 1  # the expression does not grow with the catalogue
+
+
 def test_licenses_in_usual_wordings_and_full(spark):
     rng = random.Random(12)
     every = licenses.all_templates()
@@ -680,6 +698,9 @@ def test_sstable(spark, docs, empty, tmp_path):
         at += len(ids)
     assert [tuple(r) for r in got] == want
     assert sstable.token_table(empty, path, 2).count() == 0
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith(".")]
+    words = list({w for t in odd for w in tool.words(t)} | {prose(rng, 1) + rng.choice(["", "é", "7", "ß", "中"]) for _ in range(500)})
+    assert tool.learned(words) == {w: np.array(library.encode(w, add_special_tokens=False).ids, "<u2").tobytes() for w in words}
     file = io.BytesIO()
     writer = sstable.Writer(file, 2)
     for i in range(-3000, 3000, 3):
@@ -692,6 +713,24 @@ def test_sstable(spark, docs, empty, tmp_path):
         sstable.Reader(io.BytesIO(b"x" * 200))
 
 
+def test_sstable_shards_are_bounded_and_split_an_id(spark, monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(41)
+    rows = [(None, prose(rng, 60), 0) for _ in range(150)] + [(7, prose(rng, 60), 0) for _ in range(150)] + [(i, prose(rng, 20), 0) for i in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, start int").repartition(3)
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 4000)
+    assert sstable._shards_for(frame) > 10
+    found = sstable.write_shards(frame, staging.new_path(spark, "sst"), path, 2)
+    assert len(found) > 10 and max(n for _, n, _ in found) < 120
+    got = sstable.read_shards(spark, found).orderBy("start").collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(d for d, _, _ in rows)
+    ids = [r["doc_id"] for r in got]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d or 0))
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
+
+
 # --- secrets
 
 
