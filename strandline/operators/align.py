@@ -21,8 +21,8 @@ def asof_clamped(anchors: DataFrame, samples: DataFrame, *, by: list[str], on: s
     both = left.unionByName(right)
     order = Window.partitionBy(*by).orderBy(on, "__side", *tie)
     last = F.last("__v", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # rows ascend, so the first sample of a key is the first value from the current row on, where none came before
-    first = F.first("__v", True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)) if tolerance_first else F.lit(None)
+    # an anchor with no sample before it takes the key's first one: that of the whole partition, found once
+    first = F.first("__v", True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) if tolerance_first else F.lit(None)
     return both.select(*by, on, "__side", *extra, F.coalesce(last, first).alias(value)).where("__side = 1").drop("__side")
 
 

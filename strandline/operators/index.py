@@ -1,15 +1,15 @@
 """Generated columns and renumbering: offsets, row numbers, dictionaries, splits.
 
-Running sums over episodes are windows over one small row for each episode.
-With more than BLOCKS_FROM rows they are computed in blocks: sums of blocks of
-the order key first, then a window within each block, so no task sees all
-episodes.
+Running sums over episodes are windows over one small row for each episode, in
+blocks: sums of blocks of the order key first, then a window within each block,
+so no task sees all episodes.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Consecutive order keys that share a block.
@@ -17,7 +17,7 @@ BLOCK = 10_000
 
 
 def _block(key: Column) -> Column:
-    return F.expr("1") if key is None else F.floor(key / F.lit(BLOCK)).cast("bigint")
+    return F.floor(key / F.lit(BLOCK)).cast("bigint")
 
 
 def running_offsets(episodes: DataFrame, key: str, size: str, *, start: str = "dataset_from_index", stop: str = "dataset_to_index") -> DataFrame:
@@ -55,11 +55,17 @@ def generated_columns(frames: DataFrame, episodes: DataFrame, *, episode: str, o
 def task_dictionary(rows: DataFrame, task: str, order: list[str]) -> DataFrame:
     """(task, task_index): distinct texts numbered by first appearance.
 
-    The window runs over distinct texts only, which partial aggregation has
-    reduced to one row each.
+    Partial aggregation has reduced the texts to one row each.  If the first
+    order column is a whole number they are numbered in blocks of it.
     """
     first = rows.groupBy(task).agg(F.min(F.struct(*order)).alias("__first"))
-    return first.select(task, (F.row_number().over(Window.orderBy("__first")) - 1).cast("bigint").alias("task_index"))
+    if not isinstance(rows.schema[order[0]].dataType, T.IntegralType):
+        return first.select(task, (F.row_number().over(Window.orderBy("__first")) - 1).cast("bigint").alias("task_index"))
+    blocked = first.withColumn("__block", _block(F.col("__first")[order[0]]))
+    sums = blocked.groupBy("__block").agg(F.count(F.lit(1)).alias("__sum"))
+    before = sums.select("__block", F.coalesce(F.sum("__sum").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__block").orderBy("__first")) - 1
+    return blocked.withColumn("__at", within).join(before, "__block").select(task, (F.col("__before") + F.col("__at")).cast("bigint").alias("task_index"))
 
 
 def merged_task_dictionary(tasks: DataFrame) -> DataFrame:
@@ -101,14 +107,21 @@ def islands(keys: DataFrame, key: str) -> DataFrame:
     """Maximal runs of consecutive integers as half-open (start, stop).
 
     A run begins where the key before is missing and ends where the key after
-    is; numbered in order, the n-th begin and the n-th end belong together.
+    is.  Neighbours are found in blocks of keys, whose last and first keys tell
+    the blocks beside them; only rows where runs begin or end are numbered.
     """
-    distinct = keys.select(F.col(key).cast("bigint").alias("k")).distinct()
-    begins = distinct.join(distinct.select((F.col("k") + 1).alias("k")), "k", "left_anti")
-    ends = distinct.join(distinct.select((F.col("k") - 1).alias("k")), "k", "left_anti").select((F.col("k") + 1).alias("k"))
-    a = dense_rank_of(begins, "k", "n").withColumnRenamed("k", "start")
-    b = dense_rank_of(ends, "k", "n").withColumnRenamed("k", "stop")
-    return a.join(b, "n").select("start", "stop")
+    blocked = keys.select(F.col(key).cast("bigint").alias("k")).distinct().withColumn("__block", _block(F.col("k")))
+    edges = blocked.groupBy("__block").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    # a run goes on into the next block only if that begins where this one ends
+    along = Window.orderBy("__block")
+    edges = edges.select("__block", F.lag("hi").over(along).alias("__before"), F.lead("lo").over(along).alias("__after"))
+    within = Window.partitionBy("__block").orderBy("k")
+    flagged = blocked.withColumn("__p", F.lag("k").over(within)).withColumn("__q", F.lead("k").over(within)).join(edges, "__block")
+    begins = F.coalesce(F.coalesce("__p", "__before") < F.col("k") - 1, F.lit(True))
+    ends = F.coalesce(F.coalesce("__q", "__after") > F.col("k") + 1, F.lit(True))
+    marks = flagged.select("k", begins.cast("int").alias("b"), ends.alias("e")).where((F.col("b") == 1) | F.col("e"))
+    numbered = running_offsets(marks, "k", "b", start="__s", stop="n")
+    return numbered.groupBy("n").agg(F.min("k").alias("start"), (F.max("k") + 1).alias("stop")).select("start", "stop")
 
 
 def contiguity(frames: DataFrame, episode: str, frame: str) -> DataFrame:

@@ -67,8 +67,9 @@ def fix_nan(frames: DataFrame, *, by: list[str], order: list[str], value: str) -
     good = F.when(F.isnan(q(value)) | (F.abs(q(value)) == F.lit(float("inf"))), None).otherwise(q(value))
     ordered = Window.partitionBy(*by).orderBy(*order)
     before = F.last(good, True).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first(good, True).over(ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return frames.withColumn(value, F.coalesce(before, after))
+    # where nothing good came before, the first good value after is the first of all
+    first = F.first(good, True).over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return frames.withColumn(value, F.coalesce(before, first))
 
 
 def episode_lengths(frames: DataFrame, by: list[str], *, short: int = 10) -> DataFrame:
