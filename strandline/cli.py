@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import json
 import sys
 from typing import Any
@@ -14,9 +15,11 @@ from pyspark.sql import SparkSession
 
 from .operators.edit import episode_selection
 from .plans import datasets as D
-from .plans.doctor import doctor
+from .plans.doctor import doctor, gate, portability
+from .plans.planner import plan_and_convert, plan_conversion
+from .plans.record import JobStore
 from .plans.sizing import environment_report
-from .sources import default_registry
+from .sources import default_registry, presets
 from .sources.layouts import open_dataset
 
 
@@ -29,8 +32,28 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--to", required=True)
     c.add_argument("--source-format", default="auto")
     c.add_argument("--options", default="{}", help="JSON options of the source format")
+    c.add_argument("--preset", help="a saved mapping of an HDF5 source")
     c.add_argument("--data-mb", type=float, default=100)
+    c.add_argument("--video-mb", type=float, default=200)
     c.add_argument("--overwrite", action="store_true")
+    c.add_argument("--deep", action="store_true", help="check the frames and videos of the result too")
+    c.add_argument("--dry-run", action="store_true", help="open the source and say what would be written")
+    p = sub.add_parser("plan", help="file sizes and partitions for a conversion, and with --run the conversion")
+    p.add_argument("source")
+    p.add_argument("--to", required=True)
+    p.add_argument("--run", metavar="DESTINATION")
+    p.add_argument("--overwrite", action="store_true")
+    x = sub.add_parser("merge-check", help="whether datasets can be merged")
+    x.add_argument("sources", nargs="+")
+    g = sub.add_parser("gate", help="whether a policy can be trained on a dataset")
+    g.add_argument("source")
+    g.add_argument("--policy", required=True)
+    g.add_argument("--chunk-size", type=int)
+    o = sub.add_parser("portability", help="what hinders moving a dataset")
+    o.add_argument("source")
+    z = sub.add_parser("status", help="the state of a conversion in parts")
+    z.add_argument("folder")
+    sub.add_parser("presets", help="saved mappings of HDF5 sources")
     m = sub.add_parser("merge", help="the ordered union of datasets")
     m.add_argument("sources", nargs="+")
     m.add_argument("--destination", required=True)
@@ -49,6 +72,7 @@ def _parser() -> argparse.ArgumentParser:
     k.add_argument("left")
     k.add_argument("right")
     k.add_argument("--no-data", action="store_true")
+    k.add_argument("--videos", action="store_true", help="compare the videos' packets too")
     i = sub.add_parser("inspect", help="the first episodes of a dataset")
     i.add_argument("source")
     i.add_argument("--limit", type=int, default=10)
@@ -65,10 +89,30 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[dict[str, Any],
     registry.discover()
     if args.command == "convert":
         source: Any = args.source
-        if args.source_format not in ("auto", "lerobot"):
+        if args.preset:
+            source = registry.get("hdf5").open(spark, args.source, presets.load(args.preset).mapping)
+        elif args.source_format not in ("auto", "lerobot"):
             provider = registry.get(args.source_format)
             source = provider.open(spark, args.source, provider.config_from_dict(json.loads(args.options)))
-        return D.convert(spark, source, args.destination, args.to, data_mb=args.data_mb, overwrite=args.overwrite), True
+        return D.convert(spark, source, args.destination, args.to, data_mb=args.data_mb, video_mb=args.video_mb, overwrite=args.overwrite, deep=args.deep, dry_run=args.dry_run), True
+    if args.command == "plan":
+        if args.run:
+            return plan_and_convert(spark, args.source, args.run, args.to, overwrite=args.overwrite), True
+        plan, found = plan_conversion(spark, args.source, args.to)
+        return {"plan": plan.to_json(), "profile": dataclasses.asdict(found)}, True
+    if args.command == "merge-check":
+        report = D.merge_check(spark, args.sources)
+        return report.to_json(), report.ok
+    if args.command == "gate":
+        report = gate(open_dataset(spark, args.source), args.policy, chunk_size=args.chunk_size)
+        return report.to_json(), report.ok
+    if args.command == "portability":
+        report = portability(spark, args.source)
+        return report.to_json(), report.ok
+    if args.command == "status":
+        return JobStore(spark, args.folder).status(), True
+    if args.command == "presets":
+        return {"presets": [{"name": p.name, "description": p.description} for p in presets.listed()]}, True
     if args.command == "merge":
         return D.merge_datasets(spark, args.sources, args.destination, overwrite=args.overwrite), True
     if args.command == "edit":
@@ -78,7 +122,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[dict[str, Any],
         report = D.validate(spark, args.source, deep=args.deep)
         return report.to_json(), report.ok
     if args.command == "compare":
-        report = D.compare(open_dataset(spark, args.left), open_dataset(spark, args.right), check_data=not args.no_data)
+        report = D.compare(open_dataset(spark, args.left), open_dataset(spark, args.right), check_data=not args.no_data, check_videos=args.videos)
         return report.to_json(), report.ok
     if args.command == "inspect":
         rows = open_dataset(spark, args.source).episodes.select("episode_index", "length", "tasks").orderBy("episode_index").limit(args.limit).collect()

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from dataclasses import replace
 from typing import BinaryIO
 
 import pandas as pd
@@ -22,6 +23,7 @@ from ..functions.scalars import formatted
 from ..model import V21_VIDEO, V30_VIDEO, VIDEO_SLICES, Dataset, video_slice
 from ..operators.index import location
 from ..operators.pack import greedy_pack_within
+from ..schema import Feature
 from ..sources import stores
 from . import mp4
 
@@ -189,6 +191,76 @@ def _write(slices: list, base: str, attempt: int) -> tuple[str, int, int]:
     return target, written, expected
 
 
+def picture_batches(path: str, key: str | None, start: int, stop: int, size: int = 256) -> Iterator[list[bytes]]:
+    """Encoded pictures start to stop - 1 of an array within a file, through one handle; without a key the file is the picture."""
+    if key is None:
+        with stores.reader(path) as file:
+            yield [file.read()]
+        return
+    import h5py
+    import numpy as np
+
+    with stores.reader(path) as raw, h5py.File(raw, "r") as file:
+        for at in range(start, stop, size):
+            yield [np.asarray(x, np.uint8).tobytes().rstrip(b"\0") if not isinstance(x, bytes) else x for x in file[key][at : min(stop, at + size)]]
+
+
+def mux_pictures(data: Dataset, folder: str) -> Dataset:
+    """Makes a video of each episode's pictures by each camera below ``folder`` and notes the streams' settings."""
+    spark, fps = data.frames.sparkSession, data.info.fps
+    base = files_root(spark, folder)
+
+    def made(held: list, attempt: int) -> tuple[int, str, str, int]:
+        episode, camera = held[0].episode_index, held[0].camera
+        target = f"{base}/{camera}/episode_{episode:06d}.mp4"
+
+        def frames() -> Iterator[bytes]:
+            at = 0
+            while at < len(held):  # pictures that lie together in one array are read together
+                end = at + 1
+                while end < len(held) and held[at].key is not None and (held[end].path, held[end].key) == (held[at].path, held[at].key):
+                    end += 1
+                for batch in picture_batches(held[at].path, held[at].key, held[at].frame_index, held[end - 1].frame_index + 1):
+                    yield from batch
+                at = end
+
+        sizes = [len(f) for f in frames()]
+        stores.write(target, attempt, lambda out: mp4.mux_jpegs(frames(), fps, out, sizes))
+        return episode, camera, target, len(sizes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        attempt, held, names = TaskContext.get().taskAttemptId(), [], ["episode_index", "camera", "path", "n"]
+        for batch in batches:
+            done = []
+            for row in batch.astype(object).where(batch.notna(), None).itertuples():
+                if held and (held[0].episode_index, held[0].camera) != (row.episode_index, row.camera):
+                    done.append(made(held, attempt))
+                    held = []
+                held.append(row)
+            yield pd.DataFrame(done, columns=names)
+        if held:
+            yield pd.DataFrame([made(held, attempt)], columns=names)
+
+    rows = data.pictures.select("episode_index", "camera", "frame_index", "path", "key")
+    placed = rows.repartition(_tasks(rows), "episode_index", "camera").sortWithinPartitions("episode_index", "camera", "frame_index")
+    done = placed.mapInPandas(run, "episode_index bigint, camera string, path string, n bigint").persist(StorageLevel.MEMORY_AND_DISK)
+    one = {r["camera"]: r["path"] for r in done.groupBy("camera").agg(F.min("path").alias("path")).collect()}
+    features = dict(data.info.features)
+    for camera, path in one.items():
+        with stores.reader(path) as file:
+            features[camera] = _with_settings(features[camera], mp4.probe(file))
+    entry = F.struct("camera", "path", F.lit(0.0).alias("from_timestamp"), (F.col("n") / F.lit(float(fps))).alias("to_timestamp"))
+    listed = done.groupBy("episode_index").agg(F.to_json(F.sort_array(F.collect_list(entry))).alias("videos_json"))
+    episodes = data.episodes.drop("videos_json").join(listed, "episode_index", "left").withColumn("videos_json", F.coalesce("videos_json", F.lit("[]")))
+    return data.with_(info=replace(data.info, features=features), episodes=episodes, pictures=None)
+
+
+def _with_settings(feature: Feature, probe: dict) -> Feature:
+    """A camera's feature with the settings of its real stream."""
+    told = {"video.codec": probe["codec"], "video.height": probe["height"], "video.width": probe["width"], "video.fps": probe["fps"], "has_audio": probe["audio"]}
+    return replace(feature, shape=(probe["height"], probe["width"], 3), extra=feature.extra | {"info": told})
+
+
 def video_digests(data: Dataset) -> DataFrame:
     """(episode_index, camera, digest) over the packets of every slice."""
 

@@ -289,6 +289,19 @@ def jpeg_size(data: bytes) -> tuple[int, int]:
     raise ValueError("not a JPEG with a frame header")
 
 
+def jpeg_passthrough(frames: Iterable[bytes]) -> bool:
+    """Whether frames may become a motion-JPEG file as they are: all of them JPEG, and of one size."""
+    sizes = set()
+    for f in frames:
+        try:
+            sizes.add(jpeg_size(f) if f[:2] == b"\xff\xd8" else None)
+        except (ValueError, struct.error):
+            return False
+        if None in sizes or len(sizes) > 1:
+            return False
+    return len(sizes) == 1
+
+
 def mux_jpegs(frames: Iterable[bytes], fps: int, out: BinaryIO, sizes: list[int] | None = None) -> Track:
     """A motion-JPEG file with the frames as they are; with their ``sizes`` no more than one is held."""
     if sizes is None:

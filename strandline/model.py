@@ -45,7 +45,8 @@ class Dataset:
 
     videos_json lists the episode's slices (VIDEO_SLICES).  A slice names its
     file by a whole path, so an episode keeps its videos whatever number it gets
-    and whichever dataset it goes to.
+    and whichever dataset it goes to.  ``root`` is where the dataset lies as it
+    is; one that was changed lies nowhere yet.
     """
 
     info: Info
@@ -53,10 +54,19 @@ class Dataset:
     episodes: DataFrame
     tasks: DataFrame
     root: str | None = None
+    #: Pictures that are no video yet: (episode_index, camera, frame_index, path, key), where key names an array within the file or is null.
+    pictures: DataFrame | None = None
 
     def with_(self, **changes: Any) -> Dataset:
         return replace(self, **changes)
 
+    def episodes_of(self, numbers: list[int]) -> DataFrame:
+        """The frames of several episodes in one scan; few numbers reach it as a filter, many as a join."""
+        if len(numbers) <= 1000:
+            return self.frames.where(self.frames["episode_index"].isin(numbers))
+        wanted = self.frames.sparkSession.createDataFrame([(n,) for n in set(numbers)], "episode_index bigint")
+        return self.frames.join(wanted, "episode_index", "left_semi")
+
     def episode(self, number: int) -> DataFrame:
         """The frames of one episode; the filter reaches the Parquet scan."""
         return self.frames.where(self.frames["episode_index"] == number)

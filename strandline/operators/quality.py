@@ -107,3 +107,24 @@ def kinematic_violations(frames: DataFrame, limits: DataFrame, *, by: list[str],
     speed = (F.col("position") - F.lag("position").over(ordered)) / (F.col("__t") - F.lag("__t").over(ordered))
     judged = parts.withColumn("speed", speed)
     return judged.where((F.col("position") < F.col("low")) | (F.col("position") > F.col("high")) | (F.abs("speed") > F.col("max_speed"))).select(*by, *order, "component", "position", "speed")
+
+
+def outliers(rows: DataFrame, *, by: list[str], value: str, sigmas: float = 6.0) -> DataFrame:
+    """For each group: values, how many lie more than ``sigmas`` standard deviations from the mean, and whether all are equal."""
+    told = rows.groupBy(*by).agg(F.avg(q(value)).alias("__m"), F.stddev_pop(q(value)).alias("__s"))
+    far = (F.abs(q(value) - F.col("__m")) > F.lit(sigmas) * F.col("__s")) & (F.col("__s") > 0)
+    counted = rows.join(told, by).groupBy(*by).agg(F.count(q(value)).alias("n"), F.sum(F.coalesce(far, F.lit(False)).cast("bigint")).alias("outliers"), (F.coalesce(F.max("__s"), F.lit(0.0)) == 0).alias("constant"))
+    return counted
+
+
+def imbalance(lengths: DataFrame, *, by: str, length: str = "length", ratio: float = 10.0) -> DataFrame:
+    """For each task: episodes, frames, its share of all frames, and whether the largest task has ``ratio`` times as many."""
+    tasks = lengths.groupBy(by).agg(F.count(F.lit(1)).alias("episodes"), F.sum(length).alias("frames"))
+    whole = tasks.agg(F.sum("frames").alias("__all"), F.max("frames").alias("__most"))
+    joined = tasks.join(F.broadcast(whole), F.lit(True))  # one row
+    return joined.select(by, "episodes", "frames", (F.col("frames") / F.col("__all")).alias("share"), (F.col("__most") > F.lit(ratio) * F.col("frames")).alias("rare"))
+
+
+def too_short(lengths: DataFrame, *, length: str = "length", window: int) -> DataFrame:
+    """Episodes that do not fill a policy's window of frames."""
+    return lengths.where(F.col(length) < window)

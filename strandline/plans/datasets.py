@@ -10,6 +10,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import formatted, q
 from ..model import V21_DATA, V30_DATA, Dataset, full_split, normalize_version, parse_split
@@ -17,7 +18,7 @@ from ..operators import compare as cmp
 from ..operators import edit as ed
 from ..operators.index import merged_task_dictionary, remap_splits, running_offsets, task_dictionary
 from ..operators.merge import merged_episodes
-from ..schema import leaf_of, normalized
+from ..schema import leaf_of, nested_shape, normalized, repaired_shape
 from ..sinks.layouts import write_v21, write_v30
 from ..sinks.publish import check_paths, publish
 from ..sources import files, stores
@@ -123,7 +124,7 @@ def compare(left: Dataset, right: Dataset, *, check_data: bool = True, check_vid
     errors = []
     if left.info.fps != right.info.fps:
         errors.append(f"fps: {left.info.fps} and {right.info.fps}")
-    a, b = normalized(left.info.features), normalized(right.info.features)
+    a, b = normalized(repaired(left).info.features), normalized(repaired(right).info.features)
     errors += [f"feature {k} differs" for k in sorted(a.keys() | b.keys()) if a.get(k) != b.get(k)]
     kinds = [{f.name: f.dataType.simpleString() for f in x.frames.schema.fields} for x in (left, right)]
     errors += [f"column {k}: {kinds[0].get(k)} and {kinds[1].get(k)}" for k in sorted(kinds[0].keys() | kinds[1].keys()) if kinds[0].get(k) != kinds[1].get(k)]
@@ -181,10 +182,16 @@ class Output:
 
 
 def _write(data: Dataset, root: str, version: str, output: Output) -> None:
+    data = repaired(data)
+    spark = data.frames.sparkSession
     if data.info.cameras:
-        from ..media.jobs import copy_media
+        from ..media.jobs import copy_media, mux_pictures
 
+        muxed = f"{root}/.muxed"
+        if data.pictures is not None:
+            data = mux_pictures(data, muxed)
         data = copy_media(data, root, version, video_mb=output.video_mb)
+        files.delete(spark, muxed)
     if version == "v2.1":
         write_v21(data, root)
     else:
@@ -206,7 +213,7 @@ def convert(spark: SparkSession, source: str | Dataset, destination: str, target
     data = open_dataset(spark, source) if isinstance(source, str) else source
     version = normalize_version(target_version)
     if isinstance(source, str):
-        check_paths(destination, [source])
+        check_paths(spark, destination, [source])
         if data.info.version == version:
             raise ValueError(f"the source is {version} already")
     n = data.episodes.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("f")).first()
@@ -215,24 +222,60 @@ def convert(spark: SparkSession, source: str | Dataset, destination: str, target
     return {"destination": destination, "version": version, "episodes": n["n"], "frames": n["f"], "written": not dry_run}
 
 
+def merge_check(spark: SparkSession, sources: list[str]) -> Report:
+    """Whether datasets can be merged: two at least, all different, each whole, and alike in version, rate, robot, features and split."""
+    if len(sources) < 2 or len({files.qualified(spark, s) for s in sources}) != len(sources):
+        return Report(["a merge needs two different datasets at least"])
+    errors, parts = [], []
+    for s in sources:
+        checked = validate(spark, s)
+        errors += [f"{s}: {e}" for e in checked.errors]
+        if checked.ok:
+            parts.append((s, open_dataset(spark, s)))
+    if errors:
+        return Report(errors)
+    first, splits = parts[0][1], {}
+    for s, p in parts:
+        for what in ("version", "fps", "robot_type"):
+            if getattr(p.info, what) != getattr(first.info, what):
+                errors.append(f"{s}: {what} differs from the first source")
+        if normalized(repaired(p).info.features) != normalized(repaired(first).info.features):
+            errors.append(f"{s}: features differ from the first source")
+        try:
+            splits[full_split(p.info, p.episodes.count())] = s
+        except ValueError as e:
+            errors.append(f"{s}: {e}")
+    if len(splits) > 1:
+        errors.append("the sources' splits have different names")
+    return Report(errors)
+
+
+def check_deletion(left: Dataset, right: Dataset, deleted: list[int], limit: int = 50) -> Report:
+    """Whether ``right`` is ``left`` without the deleted episodes: survivors in order, and every column but the renumbered ones equal."""
+    spark = left.frames.sparkSession
+    gone = spark.createDataFrame([(k,) for k in deleted], "episode_index bigint")
+    kept = ed.surviving_episodes(left.episodes.select("episode_index", "length"), gone)
+    wanted = ed.delete_episodes(left.frames, kept)
+    names = sorted(left.frames.columns)
+    if names != sorted(right.frames.columns):
+        return Report(["columns differ"])
+    diff = cmp.compare_frames(wanted.select(*(q(c) for c in names)), right.frames.select(*(q(c) for c in names)), ["episode_index", "frame_index"], tolerant=False, nan_equal=True)
+    found = diff.where("status <> 'same'").groupBy("episode_index").agg(F.count(F.lit(1)).alias("n")).orderBy("episode_index").limit(limit).collect()
+    return Report([f"episode {r['episode_index']}: {r['n']} frames differ" for r in found])
+
+
 def merge_datasets(spark: SparkSession, sources: list[str], destination: str, *, overwrite: bool = False, data_mb: float = 100, video_mb: float = 200) -> dict[str, Any]:
     """The ordered union of datasets of one version with remapped episodes, frames and tasks.
 
     Statistics are carried over, those of the rewritten columns (episode_index,
     index, task_index) are computed anew.
     """
-    if len(sources) < 2 or len({s.rstrip("/") for s in sources}) != len(sources):
-        raise ValueError("a merge needs two different datasets at least")
-    check_paths(destination, sources)
+    check_paths(spark, destination, sources)
+    report = merge_check(spark, sources)
+    if not report.ok:
+        raise ValueError("; ".join(report.errors[:5]))
     parts = [open_dataset(spark, s) for s in sources]
     first = parts[0].info
-    for p, s in zip(parts, sources, strict=True):
-        for what in ("version", "fps", "robot_type"):
-            if getattr(p.info, what) != getattr(first, what):
-                raise ValueError(f"{s}: {what} differs from the first source")
-        if normalized(p.info.features) != normalized(first.features):
-            raise ValueError(f"{s}: features differ from the first source")
-        full_split(p.info, p.episodes.count())
     names = {full_split(p.info, p.episodes.count()) for p in parts}
     if len(names) != 1:
         raise ValueError("the sources' splits have different names")
@@ -252,7 +295,7 @@ def merge_datasets(spark: SparkSession, sources: list[str], destination: str, *,
     new_episodes = _restated(joined)
     total = new_episodes.count()
     info = replace(first, splits={names.pop(): f"0:{total}"}, raw={k: v for k, v in first.raw.items()})
-    data = Dataset(info, frames.select(*(q(c) for c in columns)), new_episodes, mapped.select("task_index", "task").distinct(), sources[0])
+    data = Dataset(info, frames.select(*(q(c) for c in columns)), new_episodes, mapped.select("task_index", "task").distinct())
     _publish(spark, data, destination, first.version, Output(data_mb, video_mb, overwrite, True))
     return {"destination": destination, "episodes": total, "sources": len(sources)}
 
@@ -291,7 +334,7 @@ class EditConfig:
 
 def edit_dataset(spark: SparkSession, source: str, destination: str, config: EditConfig, *, overwrite: bool = False, data_mb: float = 100, video_mb: float = 200) -> dict[str, Any]:
     """Deletes episodes, drops features and relabels tasks in one plan; splits follow the survivors."""
-    check_paths(destination, [source])
+    check_paths(spark, destination, [source])
     data = open_dataset(spark, source)
     ed.drop_features(data.frames, [n for n in config.remove_features if n not in data.info.cameras])
     ids = {r[0] for r in data.episodes.select("episode_index").where(F.col("episode_index").isin([*config.delete_episodes, *config.task_by_episode])).collect()} if config.delete_episodes or config.task_by_episode else set()
@@ -318,7 +361,7 @@ def edit_dataset(spark: SparkSession, source: str, destination: str, config: Edi
     if config.remove_features:
         episodes = episodes.withColumn("stats_json", _without(config.remove_features)("stats_json"))
     info = replace(data.info, features={k: f for k, f in data.info.features.items() if k not in config.remove_features}, splits=_new_splits(spark, data, survivors), raw=dict(data.info.raw))
-    _publish(spark, Dataset(info, frames, episodes, tasks, source), destination, data.info.version, Output(data_mb, video_mb, overwrite, False))
+    _publish(spark, Dataset(info, frames, episodes, tasks), destination, data.info.version, Output(data_mb, video_mb, overwrite, False))
     return {"destination": destination, "episodes": episodes.count(), "deleted": len(config.delete_episodes)}
 
 
@@ -346,7 +389,30 @@ def subset(data: Dataset, start: int, stop: int) -> Dataset:
 
     episodes = data.episodes.where((F.col("episode_index") >= start) & (F.col("episode_index") < stop)).withColumn("episode_index", F.col("episode_index") - start).drop("dataset_from_index")
     placed = running_offsets(episodes, "episode_index", "length").drop("dataset_to_index")
-    return data.with_(frames=cut(data.frames, start, stop), episodes=placed, info=replace(data.info, splits={"train": f"0:{stop - start}"}))
+    return data.with_(frames=cut(data.frames, start, stop), episodes=placed, info=replace(data.info, splits={"train": f"0:{stop - start}"}), root=None)
+
+
+def without_videos(data: Dataset) -> Dataset:
+    """The dataset without its cameras."""
+    features = {k: f for k, f in data.info.features.items() if not f.is_media}
+    return data.with_(info=replace(data.info, features=features), episodes=data.episodes.withColumn("videos_json", F.lit("[]")))
+
+
+def repaired(data: Dataset) -> Dataset:
+    """Declared shapes that differ from the values by leading ones take the values' shape; others that differ are errors.
+
+    One frame decides for each feature: the first that has a value.
+    """
+    shapes = {}
+    for f in data.frames.schema.fields:
+        declared = data.info.features.get(f.name)
+        if declared is None or not isinstance(f.dataType, T.ArrayType):
+            continue
+        row = data.frames.select(q(f.name).alias("v")).where("v is not null").limit(1).collect()
+        if row:
+            shapes[f.name] = repaired_shape(declared.shape, nested_shape(row[0]["v"]))
+    features = {k: replace(f, shape=shapes.get(k, f.shape)) for k, f in data.info.features.items()}
+    return data.with_(info=replace(data.info, features=features))
 
 
 def from_frames(frames: DataFrame, info, *, tasks: DataFrame | None = None) -> Dataset:

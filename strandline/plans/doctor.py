@@ -20,6 +20,7 @@ from ..model import Dataset
 from ..operators import quality
 from ..operators.index import running_offsets
 from ..schema import SYSTEM_FEATURES
+from ..sources import files
 from ..sources.layouts import open_dataset
 from .datasets import Report, validate
 
@@ -96,6 +97,41 @@ def scores(data: Dataset, limits: Limits | None = None) -> DataFrame:
     return rated.select("episode_index", score.alias("score"), (score >= limits.drop_score).alias("keep"), "reasons")
 
 
+#: For each policy: frames of its action window, and whether it needs a camera. Ours, and parameters of ``gate``.
+POLICIES: dict[str, tuple[int, bool]] = {"act": (100, True), "diffusion": (16, True), "smolvla": (50, True), "pi0": (50, True)}
+
+
+def gate(data: Dataset, policy: str, *, chunk_size: int | None = None, state: str = "observation.state", action: str = "action") -> Report:
+    """Whether a policy can be trained: features and cameras there, statistics usable, episodes as long as its window."""
+    if policy not in POLICIES:
+        raise ValueError(f"unknown policy {policy!r}; known are {', '.join(sorted(POLICIES))}")
+    window, needs_camera = POLICIES[policy]
+    window = chunk_size or window
+    errors, warnings = [], []
+    errors += [f"there is no feature {k}" for k in (state, action) if k not in data.info.features]
+    if needs_camera and not data.info.cameras:
+        errors.append("there is no camera")
+    whole = data.episodes.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("length") < window).cast("int")).alias("short"), F.sum(F.col("stats_json").isNull().cast("int")).alias("bare")).first()
+    if whole["n"] and whole["short"] == whole["n"]:
+        errors.append(f"no episode has {window} frames")
+    elif whole["short"]:
+        warnings.append(f"{whole['short']} of {whole['n']} episodes have fewer than {window} frames")
+    if whole["bare"]:
+        errors.append(f"{whole['bare']} episodes have no statistics to normalise by")
+    return Report(errors, warnings)
+
+
+def portability(spark: SparkSession, root: str, *, large: int = 5 << 30) -> Report:
+    """What hinders moving a dataset: links, whole paths in its metadata, very large files, and files that the layout does not know."""
+    errors = [f"a link: {p}" for p in files.links(spark, root)]
+    raw = files.read_json(spark, f"{root}/meta/info.json")
+    errors += [f"{k} is a whole path: {raw[k]}" for k in ("data_path", "video_path") if str(raw.get(k) or "").startswith(("/", "file:")) or "://" in str(raw.get(k) or "")]
+    there = files.listing(spark, root)
+    warnings = [f"{name} has {size} bytes" for name, size in there if size > large]
+    warnings += [f"{name} is no file of the layout" for name, _ in there if not name.startswith(("data/", "meta/", "videos/")) and name not in ("README.md", ".gitattributes")][:50]
+    return Report(errors, warnings)
+
+
 def doctor(spark: SparkSession, root: str, limits: Limits | None = None) -> dict[str, Any]:
     """Validation, findings by kind with how many episodes each has, and whether training may start."""
     report: Report = validate(spark, root, deep=True)
@@ -108,7 +144,8 @@ def doctor(spark: SparkSession, root: str, limits: Limits | None = None) -> dict
     vectors = [f.name for f in data.frames.schema.fields if isinstance(f.dataType, T.ArrayType)]
     sizes = quality.consistency(data.frames, vectors).first().asDict() if vectors else {}
     ragged = sorted(k for k, n in sizes.items() if n > 1)
-    return {"ok": True, "errors": [], "findings": dict(sorted(found.items())), "ragged": ragged, "episodes": whole["n"], "below": whole["bad"] or 0, "score": whole["score"], "ready": not ragged and not whole["bad"]}
+    videos = portability(spark, root)
+    return {"ok": True, "errors": [], "findings": dict(sorted(found.items())), "ragged": ragged, "episodes": whole["n"], "below": whole["bad"] or 0, "score": whole["score"], "warnings": [*report.warnings, *videos.errors, *videos.warnings], "ready": not ragged and not whole["bad"]}
 
 
 def fixed(data: Dataset, *, timestamps: bool = True, values: tuple[str, ...] = ()) -> Dataset:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 from typing import Any
 
@@ -18,6 +19,7 @@ from ..operators.index import location, running_offsets
 from ..operators.pack import greedy_pack
 from ..operators.stats import merge_moments
 from ..sources import files
+from ..sources.footers import data_profile
 from ..sources.layouts import stats_of
 from .shards import write_files
 
@@ -67,13 +69,24 @@ def write_v21(data: Dataset, root: str) -> None:
     files.write_json(spark, f"{root}/meta/info.json", _info(data, "v2.1", totals | {"total_videos": totals["total_episodes"] * len(data.info.cameras), "total_chunks": -(-totals["total_episodes"] // size)}, data_path=V21_DATA, video_path=V21_VIDEO if data.info.cameras else None))
 
 
+#: Bytes of each leaf type, before compression.
+_BYTES = {"bool": 1, "int8": 1, "uint8": 1, "int16": 2, "uint16": 2, "float16": 2, "int32": 4, "uint32": 4, "float32": 4}
+
+
+def row_bytes(data: Dataset) -> int:
+    """Bytes of one frame by its declared features."""
+    return max(1, sum(_BYTES.get(f.dtype, 8) * math.prod(f.shape or (1,)) for f in data.info.features.values() if not f.is_media))
+
+
 def episode_sizes(data: Dataset) -> DataFrame:
-    """(episode_index, length, bytes): stored bytes of each episode, shared by rows within a file."""
-    spark = data.frames.sparkSession
-    total = sum(size for name, size in files.listing(spark, f"{data.root}/data") if name.endswith(".parquet")) if data.root else 0
-    rows = data.episodes.agg(F.sum("length").alias("f")).first()["f"] or 1
-    share = F.greatest(F.lit(1), F.bround(F.lit(total) * F.col("length") / F.lit(rows), 0).cast("bigint"))
-    return data.episodes.select("episode_index", "length", share.alias("bytes"))
+    """(episode_index, length, bytes): stored bytes of each episode, its file's shared by rows.
+
+    A dataset that lies nowhere as it is (an edit, a merge, computed frames) is
+    sized by its lengths and its features.
+    """
+    if data.root is None:
+        return data.episodes.select("episode_index", "length", (F.greatest(F.lit(1), F.col("length") * F.lit(row_bytes(data)))).cast("bigint").alias("bytes"))
+    return data_profile(data.frames.sparkSession, data).select("episode_index", "length", F.col("share").alias("bytes"))
 
 
 def aggregate_stats(episodes: DataFrame) -> dict[str, dict[str, Any]]:

@@ -10,13 +10,20 @@ from pyspark.sql import SparkSession
 from ..sources import files
 
 
-def check_paths(destination: str, sources: list[str]) -> None:
-    """A destination may neither hold a source nor lie inside one."""
-    d = destination.rstrip("/") + "/"
+def check_paths(spark: SparkSession, destination: str, sources: list[str], *, need_bytes: int | None = None) -> None:
+    """A destination may neither hold a source nor lie inside one, by whole paths without links; and the space must do.
+
+    Free space is asked of the store; one that has no bound, or does not tell, passes.
+    """
+    d = files.resolved(spark, destination) + "/"
     for s in sources:
-        other = s.rstrip("/") + "/"
+        other = files.resolved(spark, s) + "/"
         if d.startswith(other) or other.startswith(d):
             raise ValueError(f"{destination} and the source {s} overlap")
+    if need_bytes is not None:
+        free = files.free_bytes(spark, destination)
+        if free is not None and free < need_bytes:
+            raise ValueError(f"{need_bytes} bytes are needed at {destination}, {free} are free")
 
 
 def publish(spark: SparkSession, destination: str, build: Callable[[str], None], *, overwrite: bool = False) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from typing import Any
 
@@ -20,6 +21,22 @@ def qualified(spark: SparkSession, path: str) -> str:
     return fs.makeQualified(target).toString().rstrip("/")
 
 
+def resolved(spark: SparkSession, path: str) -> str:
+    """``qualified``, and for a local path with links followed and dots taken out."""
+    whole = qualified(spark, path)
+    scheme, colon, rest = whole.partition(":")
+    return f"{scheme}:{os.path.realpath('/' + rest.lstrip('/'))}" if colon and scheme == "file" else whole
+
+
+def free_bytes(spark: SparkSession, path: str) -> int | None:
+    """What the store says is free where the path lies or will lie; None if it does not tell."""
+    fs, target = _path(spark, path)
+    while target is not None and not fs.exists(target):
+        target = target.getParent()
+    free = int(fs.getStatus(target).getRemaining()) if target is not None else 0
+    return free if 0 < free < 1 << 62 else None
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, target = _path(spark, path)
     return fs.exists(target)
@@ -85,3 +102,30 @@ _RUN = re.compile(r"(\d+)")
 def natural_sort_key(name: str) -> list[tuple[int, int, str]]:
     """Digit runs compare as numbers, the rest in lower case."""
     return [(0, int(p), "") if p.isdigit() else (1, 0, p.lower()) for p in _RUN.split(name) if p]
+
+
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a file that must not be there yet; False if it is."""
+    fs, target = _path(spark, path)
+    try:
+        stream = fs.create(target, False)
+    except Exception as e:  # noqa: BLE001  stores name the error differently
+        if fs.exists(target):
+            return False
+        raise OSError(str(e)) from e
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    return True
+
+
+def links(spark: SparkSession, root: str) -> list[str]:
+    """Symbolic links below a local folder; other stores have none."""
+    where = resolved(spark, root)
+    if not where.startswith("file:"):
+        return []
+    found = []
+    for folder, names, others in os.walk(where.removeprefix("file:")):
+        found += [os.path.join(folder, n) for n in (*names, *others) if os.path.islink(os.path.join(folder, n))]
+    return sorted(found)

@@ -23,6 +23,7 @@ from ..schema import SYSTEM_FEATURES, Feature
 from .registry import SourceProvider
 
 JOINTS = 7
+CAMERA = "observation.images."
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,8 @@ class TimestampedConfig:
     cameras: tuple[str, ...] = ("left", "front", "right")
     state: tuple[str, str] = ("puppetLeft", "puppetRight")
     action: tuple[str, str] = ("masterLeft", "masterRight")
+    #: Whether the cameras become features, with a video of each episode where the dataset is written.
+    videos: bool = True
 
 
 def _listed(spark: SparkSession, root: str, pattern: str, payload: bool) -> DataFrame:
@@ -64,14 +67,21 @@ def read_timestamped(spark: SparkSession, root: str, config: TimestampedConfig |
         samples = joints.where(F.col("stream") == side).select("folder", "t", F.col("position").alias(side))
         anchors = asof_clamped(anchors, samples, by=["folder"], on="t", value=side, tie=[])
     within = Window.partitionBy("episode_index").orderBy("t")
-    both = anchors.join(F.broadcast(ranked), "folder").withColumn("frame_index", (F.row_number().over(within) - 1).cast("bigint"))
+    both = anchors.join(ranked, "folder").withColumn("frame_index", (F.row_number().over(within) - 1).cast("bigint"))
     vector = lambda pair: F.concat(*(F.col(p) for p in pair)).cast("array<float>")
     frames = both.select("episode_index", "frame_index", F.lit(config.instruction).alias("task"), vector(config.state).alias("observation.state"), vector(config.action).alias("action"))
     features = {"observation.state": Feature("float32", (2 * JOINTS,)), "action": Feature("float32", (2 * JOINTS,))} | {k: Feature(d) for k, d in SYSTEM_FEATURES.items()}
     total = ranked.count()
     if not total:
         raise FileNotFoundError(f"no episodes below {root}")
-    return from_frames(frames, Info("v3.0", config.fps, features, config.robot_type, {"train": f"0:{total}"}))
+    if not config.videos:
+        return from_frames(frames, Info("v3.0", config.fps, features, config.robot_type, {"train": f"0:{total}"}))
+    # the pictures that the clock counts, in the order of the frames
+    last = numbered.join(paired.select("folder", "rank"), ["folder", "rank"]).join(ranked, "folder")
+    count = F.max("rank").over(Window.partitionBy("folder"))
+    pictures = last.select("episode_index", F.concat(F.lit(CAMERA), "stream").alias("camera"), (count - F.col("rank")).cast("bigint").alias("frame_index"), "path", F.lit(None).cast("string").alias("key"))
+    features |= {CAMERA + k: Feature("video", (1, 1, 3)) for k in config.cameras}
+    return from_frames(frames, Info("v3.0", config.fps, features, config.robot_type, {"train": f"0:{total}"})).with_(pictures=pictures)
 
 
 def image_index(spark: SparkSession, root: str, config: TimestampedConfig | None = None) -> DataFrame:
