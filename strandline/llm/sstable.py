@@ -181,7 +181,7 @@ class WordTable:
     """
 
     #: Words of a generation.  A full young table becomes the old one, and words that are met again return from it.
-    LIMIT = 250_000
+    LIMIT = 400_000
     #: What parts the words that the library is given together, and how many these are.
     SEPARATOR, LINE = "|", 64
     _BLANK = re.compile(r"[^ \n\r\t]+")
@@ -190,18 +190,26 @@ class WordTable:
     # fixed value: the tokenizer's own cuts, for those characters in lower case
     _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^ \n\r\ta-z0-9\u00df-\u00f6\u00f8-\u024f]+")
 
+    # letters that are their own lower-case and composed form, if they are in lower case
+    _LATIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+
     def __init__(self, file: str, end: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(file)
         self.width = 2 if self.tokenizer.get_vocab_size() < 1 << 16 and end < 1 << 16 else 4
         self.end = end.to_bytes(self.width, "little")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        # the same merges without the work that words of lower-case letters do not need
+        lean, latin = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+        lean.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.lean = [(lambda w: w.isascii() and w.isalpha() and w.islower(), lean), (lambda w: not w.isascii() and self._LATIN.fullmatch(w) and w == w.lower(), latin)]
         alone = self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids
-        #: The id of SEPARATOR, if it is one and stands between words as it stands alone.
-        self.separator = alone[0] if len(alone) == 1 and self.tokenizer.encode(f"a {self.SEPARATOR} b", add_special_tokens=False).ids[1:-1] == alone else None
+        #: The id of SEPARATOR, if it is one, and stands between words as it stands alone.
+        self.separator = alone[0] if len(alone) == 1 and all(t.encode(f"a {self.SEPARATOR} b", add_special_tokens=False).ids[1:-1] == alone for t in (lean, latin)) else None
 
     def words(self, text: str) -> list[str]:
         if self.PLAIN.fullmatch(text) and "<|" not in text:
@@ -214,23 +222,21 @@ class WordTable:
     def learned(self, fresh: list[str]) -> dict[str, bytes]:
         """The ids of words by the library.
 
-        Words of letters or digits go to it in lines, parted by SEPARATOR, whose
+        Words of lower-case letters go to it in lines, parted by SEPARATOR, whose
         one id then parts the ids; a line that does not come apart into as many
         words is encoded word by word, and so are all other words.
         """
         out: dict[str, bytes] = {}
-        if self.separator is not None:
-            plain = [w for w in fresh if w.isalnum()]
-            lines = [plain[i : i + self.LINE] for i in range(0, len(plain), self.LINE)]
-            coded = self.tokenizer.encode_batch_fast([f" {self.SEPARATOR} ".join(line) for line in lines], add_special_tokens=False)
+        for fits, tool in self.lean if self.separator is not None else ():
+            own = [w for w in fresh if fits(w)]
+            lines = [own[i : i + self.LINE] for i in range(0, len(own), self.LINE)]
+            coded = tool.encode_batch_fast([f" {self.SEPARATOR} ".join(line) for line in lines], add_special_tokens=False)
             for line, e in zip(lines, coded, strict=True):
                 ids = np.array(e.ids, f"<u{self.width}")
-                cuts = np.flatnonzero(ids == self.separator)
-                if len(cuts) != len(line) - 1:
-                    continue
-                raw, edges = ids.tobytes(), (cuts * self.width).tolist()
-                begins = [0, *(c + self.width for c in edges)]
-                out.update(zip(line, (raw[a:b] for a, b in zip(begins, [*edges, len(raw)], strict=True)), strict=True))
+                edges = (np.flatnonzero(ids == self.separator) * self.width).tolist()
+                if len(edges) == len(line) - 1:
+                    raw, begins = ids.tobytes(), [0, *(c + self.width for c in edges)]
+                    out.update(zip(line, (raw[a:b] for a, b in zip(begins, [*edges, len(raw)], strict=True)), strict=True))
         rest = [w for w in fresh if w not in out]
         if rest:
             out.update((w, self._bytes(e.ids)) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
