@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -24,6 +26,7 @@ def ship(spark: SparkSession) -> None:
         return
     package = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp()) / "strandline.zip"
+    atexit.register(shutil.rmtree, archive.parent, ignore_errors=True)
     with zipfile.ZipFile(archive, "w") as out:
         for source in sorted(package.rglob("*.py")):
             out.write(source, source.relative_to(package.parent))

@@ -3,8 +3,11 @@
 import duckdb
 import pytest
 
+from strandline import dataset_queries
 from strandline.queries import ORACLE_SQL, QUERIES
 
+assert dataset_queries  # registers its queries
+
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
