@@ -3,28 +3,18 @@
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: dict[str, list[str]] = {}
-
+from ..scratch import new_folder, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; set to a local folder only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = os.path.join(tempfile.gettempdir(), f"strandline-{uuid.uuid4().hex[:8]}")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+_made: dict[str, list[str]] = {}
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path nobody else uses below the shared folder; it goes when the driver ends."""
-    path = f"{shared_folder(spark)}/strandline/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     if not _made:
         atexit.register(_sweep)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
@@ -68,6 +58,9 @@ def _sweep() -> None:
             return
 
 
+__all__ = ["BROADCAST_IDS", "drop", "new_path", "quoted", "shared_folder", "small", "stage", "table", "unused"]
+
+
 def quoted(name: str) -> Column:
     """A column by its exact name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")
