@@ -840,6 +840,31 @@ def test_pipeline_against_plain_python(spark, tmp_path, docs):
     assert sorted(got) == want
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path, docs, empty):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(i, 0, int(i % 5 == 0)) for i in range(40)] + [(None, 1, 1), (3, 0, None)], "doc_id bigint, quality int, toxic int")
+    bench = spark.createDataFrame([(1, None), (None, "some words of an item"), (2, "")], "item_id bigint, text string")
+    for name, frame, marks, items in (("odd", docs, labels, bench), ("empty", empty, labels.limit(0), bench.limit(0))):
+        folder = str(tmp_path / name)
+        for table, rows in (("documents", frame.withColumnRenamed("score.x", "keep_id")), ("labels", marks), ("benchmark", items)):
+            rows.write.parquet(f"{folder}/{table}.parquet")
+        here = spark.read.parquet(f"{folder}/documents.parquet")
+        kept = here
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, kept, folder)
+            assert out.columns == here.columns, stage_name
+            kept = staging.stage(out, "odd")
+        last = corpus_pipeline.STAGES[-1][1](spark, kept, folder)
+        texts = [r["text"] or "" for r in kept.collect()]
+        assert len(set(texts)) == len(texts) and last.count() == len(texts)
+        assert sorted(r["doc_id"] or -1 for r in last.collect()) == sorted(r["doc_id"] or -1 for r in corpus_pipeline.run(spark, folder).collect())
+        if name == "empty":
+            assert not texts
+        else:
+            assert {"", "no id at all"} <= set(texts)
+
+
 def test_components(spark):
     from strandline.llm.components import components
 
