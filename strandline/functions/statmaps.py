@@ -15,18 +15,10 @@ _QUANTILE = re.compile(r"q\d+$")
 
 
 def shift_stats(stats: dict[str, Column], delta: Column) -> dict[str, Column]:
-    """Adds ``delta`` to min, max, mean and quantiles; std and count stay.
-
-    Values are arrays or numbers; which of the two is told by ``F.transform``
-    being asked for an array, so callers pass arrays wrapped by ``array_stat``.
-    """
+    """Adds ``delta`` to min, max, mean and quantiles, which are numbers; std and count stay."""
     return {k: (v + delta if k in _MOVING or _QUANTILE.match(k) else v) for k, v in stats.items()}
 
 
-def shift_array(values: Column, delta: Column) -> Column:
-    return F.transform(values, lambda x: x + delta)
-
-
 def constant_stats(value: Column, length: Column, template: tuple[str, ...]) -> dict[str, Column]:
     """The statistics of a column that holds ``value`` in ``length`` rows, for the template's keys alone."""
     known = {"std": F.lit(0.0), "count": length.cast("bigint")}

@@ -76,12 +76,6 @@ def drop_features(frames: DataFrame, names: list[str]) -> DataFrame:
     return frames.select(*(F.col(f"`{c}`") for c in frames.columns if c not in names))
 
 
-def replace_column(df: DataFrame, name: str, value) -> DataFrame:
-    """Replaces a column in its place and with its type."""
-    kind = df.schema[name].dataType
-    return df.select(*(value.cast(kind).alias(c) if c == name else F.col(f"`{c}`") for c in df.columns))
-
-
 def canonical(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Casts the declared columns to their types; the others pass."""
     return df.select(*(F.col(f"`{c}`").cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in df.columns))

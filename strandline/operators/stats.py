@@ -86,8 +86,8 @@ def quantile_envelope(stats: DataFrame, key: str, quantile: str, value: str, own
     quantiles, not a quantile of the union.
     """
     owners = stats.groupBy(key).agg(F.count_distinct(F.col(owner)).alias("__owners"))
-    level = F.regexp_extract(quantile, r"^q(\d+)$", 1).cast("int")
-    merged = stats.groupBy(key, quantile).agg(F.count_distinct(F.col(owner)).alias("__n"), F.when(F.first(level) <= 50, F.min(value)).otherwise(F.max(value)).alias(value))
+    level = F.regexp_extract(quantile, r"^q(\d+)$", 1).try_cast("int")
+    merged = stats.groupBy(key, quantile).agg(F.count_distinct(F.col(owner)).alias("__n"), F.when(F.max(level) <= 50, F.min(value)).otherwise(F.max(value)).alias(value))
     return merged.join(owners, key).where(F.col("__n") == F.col("__owners")).select(key, quantile, value)
 
 

@@ -89,7 +89,7 @@ def validate(spark: SparkSession, root: str, *, deep: bool = False, limit: int =
     """Metadata against itself and the files, and with ``deep`` the frames and videos too; deep only where the rest is sound."""
     try:
         data = open_dataset(spark, root)
-        whole = data.episodes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("f"), F.min("episode_index").alias("a"), F.max("episode_index").alias("b"), F.count_distinct(F.col("episode_index")).alias("d")).first()
+        whole = data.episodes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("f"), F.min("episode_index").alias("a"), F.max("episode_index").alias("b"), F.count_distinct(F.col("episode_index")).alias("d"), F.count("stats_json").alias("s")).first()
     except Exception as e:  # noqa: BLE001  an unreadable dataset is a finding
         return Report([f"cannot be read: {e}"])
     raw, errors = data.info.raw, []
@@ -99,6 +99,8 @@ def validate(spark: SparkSession, root: str, *, deep: bool = False, limit: int =
         errors.append("episode indices are not 0 to n - 1")
     if raw.get("total_frames") not in (None, whole["f"]):
         errors.append(f"total_frames is {raw['total_frames']}, lengths sum to {whole['f']}")
+    if 0 < whole["s"] < whole["n"]:
+        errors.append(f"{whole['n'] - whole['s']} of {whole['n']} episodes have no statistics")
     errors += [r["message"] for r in file_faults(spark, root, data).orderBy("code", "message").limit(limit).collect()]
     if data.info.cameras:
         from ..media.jobs import video_faults

@@ -379,10 +379,12 @@ def vector_consistency(spark: SparkSession, d: str) -> DataFrame:
     return quality.consistency(_t(spark, d, "embeddings"), ["embedding"])
 
 
-@query("""with c as (select user_id, avg(value) as mean, stddev_pop(value) as std from events group by user_id) select user_id, 'differs' as status from c where user_id % 10 = 3""")
+@query("""with c as (select user_id, avg(value) as mean, stddev_pop(value) as std from events group by user_id), s as (select user_id, mean + case when user_id % 10 = 3 then 0.5 when user_id % 10 = 4 then 1e-9 else 0.0 end as mean, std from c),
+j as (select coalesce(s.user_id, c.user_id) as user_id, s.mean as a, c.mean as b, s.std as x, c.std as y from s full outer join c using (user_id))
+select user_id, 'differs' as status from j where abs(a - b) > 1e-7 + 1e-6 * abs(b) or abs(x - y) > 1e-7 + 1e-6 * abs(y)""")
 def statistics_drift(spark: SparkSession, d: str) -> DataFrame:
     computed = stats.scalar_stats(_t(spark, d, "events"), ["user_id"], "value")
-    stored = computed.withColumn("mean", F.col("mean") + F.when(F.col("user_id") % 10 == 3, 0.5).otherwise(0.0))
+    stored = computed.withColumn("mean", F.col("mean") + F.when(F.col("user_id") % 10 == 3, 0.5).when(F.col("user_id") % 10 == 4, 1e-9).otherwise(0.0))
     return quality.statistics_drift(stored, computed, ["user_id"])
 
 
@@ -445,14 +447,22 @@ def tolerant_equality(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").where("value is not null").select("event_id", nested_close(v, v + 1e-8).alias("close"), nested_close(v, v * 1.01).alias("far"))
 
 
-@query(f"""with {_EP}, e as (select conv_id as episode_index, case when conv_id % 11 = 4 then length + 1 else length end as length from ep)
-select 'row_count' as code, e.episode_index, 'metadata says ' || e.length || ', there are ' || p.length as message from e join ep p on p.conv_id = e.episode_index where e.length <> p.length
-union all select 'total_frames', null, 'metadata says 7, lengths sum to ' || (select sum(length) from e)""")
+@query(f"""with {_EP}, e as (select conv_id as episode_index, case when conv_id % 11 = 4 then length + 1 else length end as length from ep where conv_id <> 2),
+f as (select conv_id as episode_index, turn + case when conv_id % 13 = 5 then 1 else 0 end as frame_index from conversations where conv_id % 17 <> 6),
+c as (select episode_index, count(*) as n, min(frame_index) as lo, max(frame_index) as hi, count(distinct frame_index) as d from f group by episode_index),
+w as (select count(*) as n, sum(length) as f, min(episode_index) as a, max(episode_index) as b, count(distinct episode_index) as d from e)
+select 'row_count' as code, coalesce(e.episode_index, c.episode_index) as episode_index, 'metadata says ' || coalesce(cast(e.length as varchar), 'nothing') || ', there are ' || coalesce(c.n, 0) as message
+from e full outer join c on c.episode_index = e.episode_index where coalesce(e.length, -1) <> coalesce(c.n, 0)
+union all select 'frame_index', episode_index, 'frames are not numbered from 0 without gaps' from c where lo <> 0 or hi <> n - 1 or d <> n
+union all select 'episode_indices', null, 'episodes are not numbered from 0 without gaps' from w where a <> 0 or b <> n - 1 or d <> n
+union all select 'total_episodes', null, 'metadata says 5, there are ' || n from w where n <> 5
+union all select 'total_frames', null, 'metadata says 7, lengths sum to ' || f from w where f <> 7""")
 def validation(spark: SparkSession, d: str) -> DataFrame:
-    frames = _t(spark, d, "conversations").select(F.col("conv_id").alias("episode_index"), F.col("turn").alias("frame_index"))
+    moved = (F.col("turn") + F.when(F.col("conv_id") % 13 == 5, 1).otherwise(0)).alias("frame_index")
+    frames = _t(spark, d, "conversations").where("conv_id % 17 <> 6").select(F.col("conv_id").alias("episode_index"), moved)
     length = F.col("length") + F.when(F.col("conv_id") % 11 == 4, 1).otherwise(0)
-    episodes = _episodes(spark, d).select(F.col("conv_id").alias("episode_index"), length.alias("length"))
-    return compare.validation_errors(frames, episodes, total_frames=7)
+    episodes = _episodes(spark, d).where("conv_id <> 2").select(F.col("conv_id").alias("episode_index"), length.alias("length"))
+    return compare.validation_errors(frames, episodes, total_episodes=5, total_frames=7)
 
 
 @query(f"with {_EP} select conv_id, length from ep order by conv_id limit 10")

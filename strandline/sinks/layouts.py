@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Callable
 from typing import Any
 
@@ -17,12 +18,13 @@ from ..functions.scalars import formatted
 from ..model import V21_DATA, V21_VIDEO, V30_DATA, V30_VIDEO, VIDEO_SLICES, Dataset
 from ..operators.index import location, running_offsets
 from ..operators.pack import greedy_pack
-from ..operators.stats import merge_moments
+from ..operators.stats import merge_moments, quantile_envelope
 from ..sources import files
 from ..sources.footers import data_profile
 from ..sources.layouts import stats_of
 from .shards import write_files
 
+_QUANTILE = re.compile(r"q\d+")
 #: Defaults of a conversion.
 DATA_MB = 100
 
@@ -89,32 +91,48 @@ def episode_sizes(data: Dataset) -> DataFrame:
     return data_profile(data.frames.sparkSession, data).select("episode_index", "length", F.col("share").alias("bytes"))
 
 
+_MOMENTS = ("min", "max", "mean", "std")
+
+
 def aggregate_stats(episodes: DataFrame) -> dict[str, dict[str, Any]]:
-    """Dataset-wide statistics from the episodes' own: moments are merged in Spark, a row for each component comes back."""
+    """Dataset-wide statistics from the episodes' own: merged in Spark, a row for each component comes back.
+
+    Moments are those of the union.  Quantiles (q05 and the like) that every
+    episode has become an envelope: the least up to the median, the greatest above.
+    """
 
     def rows(batches):
         for batch in batches:
             out = []
-            for text in batch["stats_json"]:
+            for episode, text in zip(batch["episode_index"], batch["stats_json"], strict=True):
                 for feature, s in stats_of(text).items():
-                    if not all(k in s for k in ("min", "max", "mean", "std", "count")):
+                    if not all(k in s for k in (*_MOMENTS, "count")):
                         continue
-                    flat = {k: _flat(s[k]) for k in ("min", "max", "mean", "std")}
-                    count = _flat(s["count"])[0]
-                    shape = json.dumps(_shape(s["mean"]))
-                    out += [(feature, shape, i, float(a), float(b), float(m), float(d), int(count)) for i, (a, b, m, d) in enumerate(zip(flat["min"], flat["max"], flat["mean"], flat["std"], strict=True))]
-            yield pd.DataFrame(out, columns=["feature", "shape", "component", "min", "max", "mean", "std", "count"])
+                    shape, count = json.dumps(_shape(s["mean"])), int(_flat(s["count"])[0])
+                    quantiles = sorted(k for k in s if _QUANTILE.fullmatch(k))
+                    columns = [_flat(s[k]) for k in (*_MOMENTS, *quantiles)]
+                    out += [(int(episode), feature, shape, i, *map(float, v[:4]), count, dict(zip(quantiles, map(float, v[4:]), strict=True))) for i, v in enumerate(zip(*columns, strict=True))]
+            yield pd.DataFrame(out, columns=["episode_index", "feature", "shape", "component", *_MOMENTS, "count", "quantiles"])
 
-    long = episodes.select("stats_json").where("stats_json is not null").mapInPandas(rows, "feature string, shape string, component int, min double, max double, mean double, std double, count bigint")
+    long = episodes.select("episode_index", "stats_json").where("stats_json is not null").mapInPandas(rows, "episode_index bigint, feature string, shape string, component int, min double, max double, mean double, std double, count bigint, quantiles map<string,double>")
     merged = merge_moments(long, ["feature", "shape", "component"]).orderBy("feature", "component").collect()
+    key = F.concat_ws("|", "feature", "component")
+    every = long.select("episode_index", key.alias("key"), F.explode("quantiles").alias("quantile", "value"))
+    whole = long.select("episode_index", key.alias("key"), F.lit("").alias("quantile"), F.lit(0.0).alias("value"))  # episodes without quantiles count as owners too
+    found = quantile_envelope(every.unionByName(whole), "key", "quantile", "value", "episode_index").where("quantile <> ''").collect()
+    envelope = {(r["key"], r["quantile"]): r["value"] for r in found}
+    quantiles = sorted({k for _, k in envelope})
     out: dict[str, dict[str, Any]] = {}
     for r in merged:
-        entry = out.setdefault(r["feature"], {"min": [], "max": [], "mean": [], "std": [], "count": [r["count"]], "__shape": json.loads(r["shape"])})
-        for k in ("min", "max", "mean", "std"):
+        entry = out.setdefault(r["feature"], {k: [] for k in _MOMENTS} | {"count": [r["count"]], "__shape": json.loads(r["shape"])})
+        for k in _MOMENTS:
             entry[k].append(r[k])
+        for k in quantiles:
+            if (value := envelope.get((f"{r['feature']}|{r['component']}", k))) is not None:
+                entry.setdefault(k, []).append(value)
     for entry in out.values():
         shape = entry.pop("__shape")
-        for k in ("min", "max", "mean", "std"):
+        for k in entry.keys() - {"count"}:
             entry[k] = _nested(entry[k], shape)
     return out
 

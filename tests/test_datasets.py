@@ -32,6 +32,22 @@ def test_both_layouts_say_the_same(spark, tmp_path):
     assert len(wide["stats/gripper.pose/mean"][1].as_py()) == 3
 
 
+def test_quantiles_become_an_envelope(spark, tmp_path):
+    root = make_dataset(tmp_path / "a")
+    lines = [json.loads(x) for x in (root / "meta/episodes_stats.jsonl").read_text().splitlines()]
+    for x in lines:
+        e = x["episode_index"]
+        x["stats"]["force"] |= {"q10": [1.0 + e], "q50": [5.0 - e], "q90": [9.0 + e]} | ({"q99": [9.5]} if e else {})
+    (root / "meta/episodes_stats.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines))
+    D.convert(spark, str(root), str(tmp_path / "b"), "3.0")
+    force = json.loads((tmp_path / "b/meta/stats.json").read_text())["force"]
+    assert (force["q10"], force["q50"], force["q90"]) == ([1.0], [3.0], [11.0]) and "q99" not in force
+    back = open_dataset(spark, str(tmp_path / "b")).episodes.where("episode_index = 1").first()["stats_json"]
+    assert json.loads(back)["force"]["q99"] == [9.5]
+    (root / "meta/episodes_stats.jsonl").write_text(json.dumps(lines[0]) + "\n")
+    assert D.validate(spark, str(root)).errors == ["2 of 3 episodes have no statistics"]
+
+
 def test_small_shards(spark, tmp_path):
     D.convert(spark, str(make_dataset(tmp_path / "a")), str(tmp_path / "b"), "3.0", data_mb=0.000001)
     assert len(list((tmp_path / "b/data/chunk-000").glob("*.parquet"))) == 3
