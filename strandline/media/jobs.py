@@ -50,7 +50,7 @@ class _Files:
 
 def _tasks(df: DataFrame) -> int:
     # rows are tiny beside the files they name, so their size must not decide how many tasks share them
-    return 4 * df.sparkSession.sparkContext.defaultParallelism
+    return 2 * df.sparkSession.sparkContext.defaultParallelism
 
 
 def slice_paths(data: Dataset) -> DataFrame:

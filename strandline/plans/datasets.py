@@ -8,6 +8,7 @@ from functools import reduce
 from typing import Any
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,7 +70,7 @@ def file_faults(spark: SparkSession, root: str, data: Dataset) -> DataFrame:
                     out.append(("file_rows", f"{name} has {there} rows, {rows} are expected"))
             yield pd.DataFrame(out, columns=["code", "message"])
 
-    return _data_files(spark, root, data).repartition(4 * spark.sparkContext.defaultParallelism, "path").mapInPandas(run, "code string, message string")
+    return _data_files(spark, root, data).repartition(2 * spark.sparkContext.defaultParallelism, "path").mapInPandas(run, "code string, message string")
 
 
 def depth_warnings(data: Dataset) -> list[str]:
@@ -202,7 +203,13 @@ def _write(data: Dataset, root: str, version: str, output: Output) -> None:
 
 def _publish(spark: SparkSession, data: Dataset, destination: str, version: str, output: Output) -> None:
     def build(staging: str) -> None:
-        _write(data, staging, version, output)
+        # the episode table is asked several times: a row for each episode is kept, and made again where it is lost
+        episodes, tasks = data.episodes.persist(StorageLevel.MEMORY_AND_DISK), data.tasks.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            _write(data.with_(episodes=episodes, tasks=tasks), staging, version, output)
+        finally:
+            episodes.unpersist()
+            tasks.unpersist()
         report = validate(spark, staging, deep=output.deep)
         if not report.ok:
             raise ValueError("the result is not valid: " + "; ".join(report.errors[:5]))

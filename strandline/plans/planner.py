@@ -36,7 +36,7 @@ def media_resources(data: Dataset) -> DataFrame:
 
     spark = data.frames.sparkSession
     files = slice_paths(data).groupBy("path").agg(F.count(F.lit(1)).alias("episodes"))
-    return files.repartition(4 * spark.sparkContext.defaultParallelism, "path").mapInPandas(run, "path string, episodes bigint, bytes bigint")
+    return files.repartition(2 * spark.sparkContext.defaultParallelism, "path").mapInPandas(run, "path string, episodes bigint, bytes bigint")
 
 
 def distribution(values: DataFrame, column: str) -> dict[str, Any]:

@@ -11,6 +11,7 @@ from typing import Any
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,13 +158,15 @@ def write_v30(data: Dataset, root: str, *, data_mb: float = DATA_MB, video_mb: f
     spark = data.frames.sparkSession
     per_chunk = data.info.chunks_size
     packed = greedy_pack(episode_sizes(data), key="episode_index", size="bytes", limit=int(data_mb * (1 << 20)))
-    placed = running_offsets(packed.select("episode_index", "length", "file_index"), "episode_index", "length")
+    # footers are read once: where each episode goes is kept while shards and metadata are written
+    placed = running_offsets(packed.select("episode_index", "length", "file_index"), "episode_index", "length").persist(StorageLevel.MEMORY_AND_DISK)
     chunk, file = location(F.col("file_index"), per_chunk)
     named = data.frames.drop("index").join(placed.select("episode_index", "file_index", "dataset_from_index"), "episode_index").withColumn("index", F.col("dataset_from_index") + F.col("frame_index"))
     named = named.withColumn("__path", formatted(V30_DATA, chunk_index=chunk, file_index=file)).select(*(F.col(f"`{c}`") for c in data.frames.columns), "__path")
     write_files(named, path=root, order=["index"], features=data.info.features).agg(F.sum("rows")).first()
     rows = data.episodes.select("episode_index", "tasks", "stats_json", "videos_json").join(placed, "episode_index").select("*", chunk.alias("chunk"), file.alias("file"))
     write_files(episode_table(rows, data.info.cameras), path=root, order=["episode_index"], features={}).agg(F.sum("rows")).first()
+    placed.unpersist()
     listed = data.tasks.orderBy("task_index").collect()
     tasks = pd.DataFrame({"task_index": [r["task_index"] for r in listed]}, index=pd.Index([r["task"] for r in listed], name="task"))
     _put_table(spark, f"{root}/meta/tasks.parquet", pa.Table.from_pandas(tasks))

@@ -31,7 +31,7 @@ def file_footers(paths: DataFrame, path: str = "path") -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "rows", "stored", "logical"]).astype({"rows": "Int64", "stored": "Int64", "logical": "Int64"})
 
     spark = paths.sparkSession
-    named = paths.select(q(path).alias("path")).distinct().repartition(4 * spark.sparkContext.defaultParallelism, "path")
+    named = paths.select(q(path).alias("path")).distinct().repartition(2 * spark.sparkContext.defaultParallelism, "path")
     return named.mapInPandas(run, "path string, rows bigint, stored bigint, logical bigint")
 
 
