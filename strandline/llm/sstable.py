@@ -187,8 +187,8 @@ class WordTable:
     _BLANK = re.compile(r"[^ \n\r\t]+")
     # letters of Latin blocks that are their own composed form; no other white space than blanks
     PLAIN = re.compile(r"[\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*")
-    # fixed value: the tokenizer's own cuts, for those characters in lower case
-    _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^ \n\r\ta-z0-9\u00df-\u00f6\u00f8-\u024f]+")
+    # fixed value: the tokenizer's own cuts, for those characters in lower case; no two of them begin alike but the last
+    _WORD = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \n\r\ta-z0-9\u00df-\u00f6\u00f8-\u024f]+")
 
     # letters that are their own lower-case and composed form, if they are in lower case
     _LATIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f]+")
