@@ -47,6 +47,11 @@ class _Files:
             self.path, self.track = path, mp4.read_track(self.file)
         return self.file, self.track
 
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+        self.path = self.file = self.track = None
+
 
 def _tasks(df: DataFrame) -> int:
     # rows are tiny beside the files they name, so their size must not decide how many tasks share them
@@ -61,11 +66,11 @@ def slice_paths(data: Dataset) -> DataFrame:
 
 
 def measured_slices(slices: DataFrame) -> DataFrame:
-    """Adds packets, bytes and seconds of each slice, packets of its file, whether it begins with a key frame, and the stream that it can be joined with.
+    """Adds packets, bytes, ticks (at the stream's timescale) and seconds of each slice, packets of its file, whether it begins with a key frame, and the stream that it can be joined with.
 
     Sample tables are read, packets are not.
     """
-    columns = slices.columns
+    columns, more = slices.columns, ["packets", "bytes", "ticks", "timescale", "seconds", "file_packets", "safe", "stream"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files = _Files()
@@ -75,23 +80,25 @@ def measured_slices(slices: DataFrame) -> DataFrame:
                 _, track = files.get(job.path)
                 chosen = mp4.within(track, job.start, job.stop)
                 stream = hashlib.sha256(track.description + str(track.timescale).encode()).hexdigest()
-                found.append((len(chosen), sum(s.size for s in chosen), sum(s.duration for s in chosen) / track.timescale, len(track.samples), bool(chosen) and chosen[0].key, stream))
-            yield pd.concat([batch, pd.DataFrame(found, columns=["packets", "bytes", "seconds", "file_packets", "safe", "stream"], index=batch.index)], axis=1)[[*columns, "packets", "bytes", "seconds", "file_packets", "safe", "stream"]]
+                ticks = sum(s.duration for s in chosen)
+                found.append((len(chosen), sum(s.size for s in chosen), ticks, track.timescale, ticks / track.timescale, len(track.samples), bool(chosen) and chosen[0].key, stream))
+            yield pd.concat([batch, pd.DataFrame(found, columns=more, index=batch.index)], axis=1)[[*columns, *more]]
 
     placed = slices.repartition(_tasks(slices), "path").sortWithinPartitions("path", "start")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slices.schema.fields)
-    return placed.mapInPandas(run, schema + ", packets bigint, bytes bigint, seconds double, file_packets bigint, safe boolean, stream string")
+    return placed.mapInPandas(run, schema + ", packets bigint, bytes bigint, ticks bigint, timescale bigint, seconds double, file_packets bigint, safe boolean, stream string")
 
 
-def planned(data: Dataset, version: str, *, video_mb: float = VIDEO_MB) -> DataFrame:
+def planned(data: Dataset, version: str, *, video_mb: float = VIDEO_MB, slices: DataFrame | None = None) -> DataFrame:
     """Slices with their place in the target layout: target, file, mode, from_timestamp, to_timestamp.
 
     v2.1 has a file for each episode and camera.  v3.0 packs a camera's episodes
     in order up to ``video_mb`` MiB and opens a new file where streams cannot be
     joined; a source that is packed already keeps its files, so one that keeps
     all its slices is copied as it is.  ``mode`` is reuse, remux or transcode.
+    ``slices`` are the measured slices, where the caller keeps them.
     """
-    slices = measured_slices(slice_paths(data))
+    slices = measured_slices(slice_paths(data)) if slices is None else slices
     size = data.info.chunks_size
     if version == "v2.1":
         own = slices.withColumn("file", F.col("episode_index"))
@@ -110,8 +117,9 @@ def planned(data: Dataset, version: str, *, video_mb: float = VIDEO_MB) -> DataF
         name = F.when(F.col("camera") == k, target(k, chunk, file)).otherwise(name)
     named = own.withColumn("target", name)
     upto = Window.partitionBy("target").orderBy("episode_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stop = F.sum("seconds").over(upto)
-    timed = named.withColumn("to_timestamp", stop).withColumn("from_timestamp", stop - F.col("seconds"))
+    # a file has one timescale, and ticks are whole: a sum of seconds drifts over many slices
+    stop = F.sum("ticks").over(upto)
+    timed = named.withColumn("to_timestamp", stop / F.col("timescale")).withColumn("from_timestamp", (stop - F.col("ticks")) / F.col("timescale"))
     whole = timed.groupBy("target").agg(F.count_distinct("path").alias("paths"), F.sum("packets").alias("kept"), F.max("file_packets").alias("there"), F.min(F.col("safe").cast("int")).alias("safe"))
     # one source and all of its packets: the file is reused as it is; else its slices are cut out, where that needs no codec
     mode = F.when((F.col("paths") == 1) & (F.col("kept") == F.col("there")), "reuse").when(F.col("safe") == 1, "remux").otherwise("transcode")
@@ -126,7 +134,9 @@ def copy_media(data: Dataset, root: str, version: str, *, video_mb: float = VIDE
     """
     if not data.info.cameras:
         return data
-    jobs = planned(data, version, video_mb=video_mb).persist(StorageLevel.MEMORY_AND_DISK)
+    # the sources' sample tables are read once: a row for each slice is kept
+    slices = measured_slices(slice_paths(data)).persist(StorageLevel.MEMORY_AND_DISK)
+    jobs = planned(data, version, video_mb=video_mb, slices=slices).persist(StorageLevel.MEMORY_AND_DISK)
     spark = data.frames.sparkSession
     base = files_root(spark, root)
 
@@ -146,7 +156,8 @@ def copy_media(data: Dataset, root: str, version: str, *, video_mb: float = VIDE
 
     heavy = Window.partitionBy("target")
     placed = jobs.withColumn("cost", F.sum("bytes").over(heavy)).repartition(_tasks(jobs), "target").sortWithinPartitions(F.desc("cost"), "target", "episode_index")
-    placed.select("target", "path", "start", "stop", "mode", "packets", "episode_index").mapInPandas(run, "target string, bytes bigint, packets bigint").agg(F.sum("bytes")).first()
+    placed.select("target", "path", "start", "stop", "mode", "packets", "bytes", "episode_index").mapInPandas(run, "target string, bytes bigint, packets bigint").agg(F.sum("bytes")).first()
+    slices.unpersist()
     there = F.concat(F.lit(base + "/"), F.col("target"))
     entries = None
     for k in data.info.cameras:
@@ -167,25 +178,24 @@ def _write(slices: list, base: str, attempt: int) -> tuple[str, int, int]:
     target, expected = slices[0].target, sum(s.packets for s in slices)
     if slices[0].mode == "transcode":
         raise ValueError(f"{target}: a slice does not begin with a key frame, and to cut there needs a codec")
-    files, made = {}, []
-    try:
+    files, made = _Files(), []
+
+    def opened() -> Iterator[tuple[BinaryIO, mp4.Track, float, float]]:
         for s in slices:
-            if s.path not in files:
-                file = stores.reader(s.path)
-                files[s.path] = (file, mp4.read_track(file))
-
-        def fill(out: BinaryIO) -> None:
-            if slices[0].mode == "reuse":
-                file, track = files[slices[0].path]
-                stores.copy(file, out)
-                made.append(len(track.samples))
-            else:
-                made.append(len(mp4.join_slices([(*files[s.path], s.start, s.stop) for s in slices], out).samples))
+            yield *files.get(s.path), s.start, s.stop
 
+    def fill(out: BinaryIO) -> None:
+        if slices[0].mode == "reuse":
+            file, track = files.get(slices[0].path)
+            stores.copy(file, out)
+            made.append(len(track.samples))
+        else:  # a packed file may have more sources than a task can hold open
+            made.append(len(mp4.join_slices(opened(), out, sum(s.bytes for s in slices)).samples))
+
+    try:
         written = stores.write(f"{base}/{target}", attempt, fill)
     finally:
-        for file, _ in files.values():
-            file.close()
+        files.close()
     if made != [expected]:
         raise ValueError(f"{target}: {made[0]} packets written, {expected} expected")
     return target, written, expected

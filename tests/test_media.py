@@ -1,12 +1,15 @@
 import io
 import json
+import random
 import struct
+from types import SimpleNamespace
 
 import pytest
 
-from strandline.media import mp4
+from strandline.media import jobs, mp4
 from strandline.media.jobs import planned, video_digests, video_faults
 from strandline.plans import datasets as D
+from strandline.sources import stores
 from strandline.sources.layouts import open_dataset
 from tests.fixtures import FPS, LENGTHS, jpeg, make_dataset, movie
 
@@ -133,3 +136,56 @@ def test_video_faults(spark, tmp_path):
 def test_bad_h264_metadata_is_an_error(tmp_path):
     assert json.dumps(mp4.probe(h264([5, 1])))
     assert mp4._nal_types(b"\0\0\0\x09\x05", 4) == set()
+
+
+def test_a_packed_file_of_many_sources_holds_few_open(tmp_path, monkeypatch):
+    films = []
+    for i in range(40):
+        path = tmp_path / f"{i}.mp4"
+        path.write_bytes(movie([jpeg(2 * i), jpeg(2 * i + 1)]).getvalue())
+        films.append(SimpleNamespace(target="whole.mp4", path=str(path), start=0.0, stop=2 / FPS, mode="remux", packets=2, bytes=len(jpeg(2 * i)) + len(jpeg(2 * i + 1))))
+    held, most, reader = [], [0], stores.reader
+
+    def watched(path):
+        held.append(reader(path))
+        most[0] = max(most[0], sum(not f.closed for f in held))
+        return held[-1]
+
+    monkeypatch.setattr(stores, "reader", watched)
+    assert jobs._write(films, str(tmp_path), 0)[::2] == ("whole.mp4", 80)
+    assert most[0] <= 2 and all(f.closed for f in held)
+    with open(tmp_path / "whole.mp4", "rb") as file:
+        assert mp4.packet_digest(file) == mp4.packet_digest(movie([jpeg(i) for i in range(80)]))
+    films[3].bytes += 1
+    with pytest.raises(ValueError):
+        jobs._write(films, str(tmp_path / "again"), 0)
+
+
+def test_slices_are_found_in_order_whatever_the_presentation():
+    rng = random.Random(3)
+    for shuffled in (False, True):
+        samples = [mp4.Sample(i, 1, i, rng.randrange(4) if shuffled else 0, 1, True) for i in range(200)]
+        track, first = mp4.Track(10, "avc1", 8, 8, b"", samples), min(s.dts + s.cts for s in samples)
+        for _ in range(50):
+            a, b = sorted(rng.randrange(220) / 10 for _ in range(2))
+            assert mp4.within(track, a, b) == [s for s in samples if a - mp4.EPSILON <= (s.dts + s.cts - first) / 10 < b - mp4.EPSILON]
+    assert mp4.within(mp4.Track(10, "avc1", 8, 8, b""), 0.0, 1.0) == []
+
+
+def test_a_cut_in_a_large_file_does_not_read_its_whole_table():
+    samples = [mp4.Sample(i, 1, i, 0, 1, True) for i in range(1000)]
+    track = mp4.Track(10, "jpeg", 8, 8, b"", samples)
+    mp4.within(track, 0.0, 0.1)
+
+    class Counted(list):
+        def __iter__(self):
+            raise AssertionError("every sample is visited for each slice")
+
+    track.samples = Counted(samples)
+    assert mp4.within(track, 50.0, 50.2) == samples[500:502]
+
+
+def test_times_in_a_packed_file_do_not_drift(spark, tmp_path):
+    data = open_dataset(spark, str(make_dataset(tmp_path / "a", (1,) * 12, cameras=("wrist",))))
+    rows = planned(data, "v3.0").orderBy("episode_index").collect()
+    assert [(r["from_timestamp"], r["to_timestamp"]) for r in rows] == [(e / FPS, (e + 1) / FPS) for e in range(12)]
