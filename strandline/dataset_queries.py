@@ -220,11 +220,16 @@ def video_merge(spark: SparkSession, d: str) -> DataFrame:
 @query("""select 'missing_video' as code, count(*) as n from (select distinct conv_id from conversations where conv_id % 5 = 1)""")
 def video_faults(spark: SparkSession, d: str) -> DataFrame:
     """Videos taken away, found by validation."""
-    data = filmed(spark, d)
-    root = _written(spark, data, "2.1")
-    for e in range(1, data.episodes.count(), 5):
-        files.delete(spark, f"{root}/videos/chunk-000/screen/episode_{e:06d}.mp4")
-    return jobs.video_faults(open_dataset(spark, root), deep=True).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+    def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                stores.delete(path)
+            yield batch
+
+    data = open_dataset(spark, _written(spark, filmed(spark, d), "2.1"))
+    jobs.slice_paths(data).where("episode_index % 5 = 1").select("path").repartition(2 * spark.sparkContext.defaultParallelism).mapInPandas(taken, "path string").count()
+    return jobs.video_faults(data, deep=True).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""select cast(conv_id as bigint) as episode_index, 'differs' as status from (select distinct conv_id from conversations where conv_id % 7 = 3)""")

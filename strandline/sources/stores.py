@@ -35,6 +35,13 @@ def exists(path: str) -> bool:
     return fs.get_file_info(inner).type == pafs.FileType.File
 
 
+def delete(path: str) -> None:
+    """Takes a file away; one that is not there is no error, so that a task may be repeated."""
+    fs, inner = filesystem(path)
+    if fs.get_file_info(inner).type == pafs.FileType.File:
+        fs.delete_file(inner)
+
+
 def size(path: str) -> int | None:
     fs, inner = filesystem(path)
     info = fs.get_file_info(inner)

@@ -2,12 +2,15 @@ import io
 import json
 import random
 import struct
+from functools import partial
 from types import SimpleNamespace
 
 import pytest
 
+from strandline import dataset_queries
 from strandline.media import jobs, mp4
 from strandline.media.jobs import planned, video_digests, video_faults
+from strandline.model import Info
 from strandline.plans import datasets as D
 from strandline.sources import stores
 from strandline.sources.layouts import open_dataset
@@ -189,3 +192,10 @@ def test_times_in_a_packed_file_do_not_drift(spark, tmp_path):
     data = open_dataset(spark, str(make_dataset(tmp_path / "a", (1,) * 12, cameras=("wrist",))))
     rows = planned(data, "v3.0").orderBy("episode_index").collect()
     assert [(r["from_timestamp"], r["to_timestamp"]) for r in rows] == [(e / FPS, (e + 1) / FPS) for e in range(12)]
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001"])
+def test_videos_of_every_chunk_are_taken_away(spark, monkeypatch, folder):
+    monkeypatch.setattr(dataset_queries, "Info", partial(Info, chunks_size=6))
+    wanted = spark.read.parquet(f"{folder}/conversations.parquet").where("conv_id % 5 = 1").select("conv_id").distinct().count()
+    assert [tuple(r) for r in dataset_queries.video_faults(spark, folder).collect()] == [("missing_video", wanted)]
