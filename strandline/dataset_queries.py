@@ -246,7 +246,7 @@ def compare_plan(spark: SparkSession, d: str) -> DataFrame:
 @query("""select cast(conv_id as bigint) as episode_index, count(*) as rows, count(*) as length from conversations group by conv_id""")
 def footer_profile(spark: SparkSession, d: str) -> DataFrame:
     """Rows of each episode's file by its footer."""
-    data = open_dataset(spark, _written(spark, talks(spark, d), "2.1"))
+    data = open_dataset(spark, _written(spark, talks(spark, d), "2.1"), frames=False)
     return data_profile(spark, data).select("episode_index", "rows", "length")
 
 

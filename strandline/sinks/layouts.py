@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Callable
-from typing import Any
+from collections.abc import Callable, Iterator
+from typing import Any, BinaryIO
 
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,25 +20,31 @@ from ..model import V21_DATA, V21_VIDEO, V30_DATA, V30_VIDEO, VIDEO_SLICES, Data
 from ..operators.index import location, running_offsets
 from ..operators.pack import greedy_pack
 from ..operators.stats import merge_moments, quantile_envelope
-from ..sources import files
+from ..sources import files, stores
 from ..sources.footers import data_profile
 from ..sources.layouts import stats_of
-from .shards import write_files
+from .shards import many_tasks, write_files
 
 _QUANTILE = re.compile(r"q\d+")
 #: Defaults of a conversion.
 DATA_MB = 100
 
 
-def _stream_lines(spark: SparkSession, path: str, rows: DataFrame) -> None:
-    """One line for each row, in order, without holding them all."""
-    fs, target = files._path(spark, path)
-    out = fs.create(target, True)
-    try:
-        for row in rows.toLocalIterator(prefetchPartitions=True):
-            out.write(bytearray((row[0] + "\n").encode()))
-    finally:
-        out.close()
+def _stream_lines(spark: SparkSession, path: str, rows: DataFrame, key: str) -> None:
+    """One file with a row's ``line`` after the other, by ``key``: one task sorts and writes them as a stream, the driver sees none."""
+    target = files.qualified(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def fill(out: BinaryIO) -> None:
+            for batch in batches:
+                out.write("".join(line + "\n" for line in batch.column(0).to_pylist()).encode())
+
+        stores.write(target, TaskContext.get().taskAttemptId(), fill)
+        yield from ()
+
+    rows.repartition(1).sortWithinPartitions(key).select("line").mapInArrow(run, "line string").count()
+    if not files.exists(spark, path):  # no rows may mean no task
+        files.write_text(spark, path, "")
 
 
 def _info(data: Dataset, version: str, totals: dict[str, int], **more: Any) -> dict[str, Any]:
@@ -60,15 +66,15 @@ def write_v21(data: Dataset, root: str) -> None:
     size = data.info.chunks_size
     chunk = F.floor(F.col("episode_index") / size)
     named = data.frames.withColumn("__path", formatted(V21_DATA, episode_chunk=chunk, episode_index=F.col("episode_index")))
-    written = write_files(named, path=root, order=["frame_index"], features=data.info.features)
+    written = write_files(named, path=root, order=["frame_index"], features=data.info.features, tasks=many_tasks(spark))
     n_files = written.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     totals = _totals(data)
     if n_files != totals["total_episodes"]:
         raise ValueError(f"{totals['total_episodes']} episodes, but frames of {n_files}")
-    ordered = data.episodes.orderBy("episode_index")
-    _stream_lines(spark, f"{root}/meta/tasks.jsonl", data.tasks.orderBy("task_index").select(F.to_json(F.struct("task_index", "task"))))
-    _stream_lines(spark, f"{root}/meta/episodes.jsonl", ordered.select(F.to_json(F.struct("episode_index", "tasks", "length"))))
-    _stream_lines(spark, f"{root}/meta/episodes_stats.jsonl", ordered.where("stats_json is not null").select(F.concat(F.lit('{"episode_index": '), F.col("episode_index").cast("string"), F.lit(', "stats": '), "stats_json", F.lit("}"))))
+    stats = F.concat(F.lit('{"episode_index": '), F.col("episode_index").cast("string"), F.lit(', "stats": '), "stats_json", F.lit("}"))
+    _stream_lines(spark, f"{root}/meta/tasks.jsonl", data.tasks.select("task_index", F.to_json(F.struct("task_index", "task")).alias("line")), "task_index")
+    _stream_lines(spark, f"{root}/meta/episodes.jsonl", data.episodes.select("episode_index", F.to_json(F.struct("episode_index", "tasks", "length")).alias("line")), "episode_index")
+    _stream_lines(spark, f"{root}/meta/episodes_stats.jsonl", data.episodes.where("stats_json is not null").select("episode_index", stats.alias("line")), "episode_index")
     files.write_json(spark, f"{root}/meta/info.json", _info(data, "v2.1", totals | {"total_videos": totals["total_episodes"] * len(data.info.cameras), "total_chunks": -(-totals["total_episodes"] // size)}, data_path=V21_DATA, video_path=V21_VIDEO if data.info.cameras else None))
 
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import Feature
@@ -26,13 +26,19 @@ def arrow_schema(schema: pa.Schema, features: dict[str, Feature]) -> pa.Schema:
     return pa.schema([pa.field(f.name, _declared(f.type, _NARROW[features[f.name].dtype])) if f.name in features and features[f.name].dtype in _NARROW else f for f in schema])
 
 
-def write_files(frames: DataFrame, *, path: str, order: list[str], features: dict[str, Feature], drop: tuple[str, ...] = ("__path",)) -> DataFrame:
+def many_tasks(spark: SparkSession) -> int:
+    """Tasks for work that files take, not bytes: small files in their thousands would else be one task's."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def write_files(frames: DataFrame, *, path: str, order: list[str], features: dict[str, Feature], drop: tuple[str, ...] = ("__path",), tasks: int | None = None) -> DataFrame:
     """Writes the rows of each value of ``__path`` to that file below ``path``, in order.
 
     ``__path`` decides the partition, so a file is one task's; it is written
     under a hidden name of the attempt and renamed when whole.  A failed attempt
     takes its unfinished file with it, and what a lost executor leaves is hidden
-    from every reader.  Returns (path, rows, bytes), a row for each file.
+    from every reader.  Bytes decide how many tasks there are, unless ``tasks``
+    does.  Returns (path, rows, bytes), a row for each file.
     """
 
     # names with dots cannot be named to a task's function, so columns travel by number
@@ -84,5 +90,5 @@ def write_files(frames: DataFrame, *, path: str, order: list[str], features: dic
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "rows", "bytes"])
 
-    placed = frames.repartition(F.col("__path")).sortWithinPartitions("__path", *order)
+    placed = (frames.repartition(tasks, "__path") if tasks else frames.repartition(F.col("__path"))).sortWithinPartitions("__path", *order)
     return placed.toDF(*(f"c{i}" for i in range(len(columns)))).mapInArrow(run, "path string, rows bigint, bytes bigint")

@@ -96,6 +96,22 @@ def listing(spark: SparkSession, root: str) -> list[tuple[str, int]]:
     return sorted(found)
 
 
+def first_file(spark: SparkSession, root: str, suffix: str) -> str | None:
+    """The first file below a folder by path that ends so and is not hidden; folders after it are not listed."""
+    fs, target = _path(spark, root)
+    if not fs.exists(target):
+        return None
+    below = [(s.getPath().getName() + ("/" if s.isDirectory() else ""), s) for s in fs.listStatus(target)]
+    for name, s in sorted((x for x in below if x[0][:1] not in "._"), key=lambda x: x[0]):
+        path = s.getPath().toString()
+        if s.isDirectory():
+            if found := first_file(spark, path, suffix):
+                return found
+        elif name.endswith(suffix):
+            return path
+    return None
+
+
 _RUN = re.compile(r"(\d+)")
 
 

@@ -38,16 +38,17 @@ def _widest(kind: T.DataType) -> T.DataType:
     return T.LongType() if isinstance(kind, T.ByteType | T.ShortType | T.IntegerType | T.LongType) else kind
 
 
-def _frames(spark: SparkSession, root: str, info: Info) -> DataFrame:
-    """Frames cast to the declared types, whatever width each file stores.
+def _frames(spark: SparkSession, root: str, info: Info, listed: bool) -> DataFrame:
+    """Frames cast to the declared types, whatever width each file stores; no rows, but their columns, if they are not ``listed``.
 
     One scan of all files: numbers are read at their widest and cast, which the
     Parquet reader does by column; columns and filters still reach the scan.
+    One file tells the columns, so the files are listed once, by the scan.
     """
-    folder = spark.read.option("recursiveFileLookup", "true")
-    target = canonical_types(folder.option("mergeSchema", "false").parquet(f"{root}/data").schema, info.features)
+    one = files.first_file(spark, f"{root}/data", ".parquet")
+    target = canonical_types(spark.read.parquet(one or f"{root}/data").schema, info.features)
     wide = T.StructType([T.StructField(f.name, _widest(f.dataType)) for f in target.fields])
-    rows = folder.schema(wide).parquet(f"{root}/data")
+    rows = spark.read.option("recursiveFileLookup", "true").schema(wide).parquet(f"{root}/data") if listed else spark.createDataFrame([], wide)
     return rows.select(*(q(f.name).cast(f.dataType).alias(f.name) for f in target.fields))
 
 
@@ -55,7 +56,7 @@ def _jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_v21(spark: SparkSession, root: str) -> Dataset:
+def read_v21(spark: SparkSession, root: str, *, frames: bool = True) -> Dataset:
     info = read_info(spark, root)
     tasks = _jsonl(spark, f"{root}/meta/tasks.jsonl", "task_index bigint, task string")
     lines = spark.read.text(f"{root}/meta/episodes.jsonl")
@@ -72,10 +73,10 @@ def read_v21(spark: SparkSession, root: str) -> Dataset:
     path = lambda k: formatted(f"{base}/{(info.video_path or V21_VIDEO)}", video_key=k, episode_chunk=chunk, episode_index=F.col("episode_index"))
     videos = F.array(*(video_slice(k, path(k), F.lit(0.0), F.col("length") / F.lit(float(info.fps))) for k in info.cameras))
     listed = F.to_json(videos) if info.cameras else F.lit("[]")
-    return Dataset(info, _frames(spark, root, info), placed.withColumn("videos_json", listed), tasks, root)
+    return Dataset(info, _frames(spark, root, info, frames), placed.withColumn("videos_json", listed), tasks, root)
 
 
-def read_v30(spark: SparkSession, root: str) -> Dataset:
+def read_v30(spark: SparkSession, root: str, *, frames: bool = True) -> Dataset:
     info = read_info(spark, root)
     tasks = spark.read.parquet(f"{root}/meta/tasks.parquet").select("task_index", "task")
     wide = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/meta/episodes")
@@ -90,13 +91,17 @@ def read_v30(spark: SparkSession, root: str) -> Dataset:
     known = {"episode_index", "length", "tasks", "dataset_from_index", "dataset_to_index"}
     extra = [q(c) for c in wide.columns if c not in known and "/" not in c]
     episodes = wide.select("episode_index", "length", "tasks", "dataset_from_index", stats.alias("stats_json"), videos.alias("videos_json"), (F.to_json(F.struct(*extra)) if extra else F.lit(None).cast("string")).alias("extra_json"))
-    return Dataset(info, _frames(spark, root, info), episodes, tasks, root)
+    return Dataset(info, _frames(spark, root, info, frames), episodes, tasks, root)
 
 
-def open_dataset(spark: SparkSession, root: str) -> Dataset:
-    """Reads a dataset of either layout, as its metadata says."""
+def open_dataset(spark: SparkSession, root: str, *, frames: bool = True) -> Dataset:
+    """Reads a dataset of either layout, as its metadata says.
+
+    Who asks for metadata only says so: without ``frames`` there are their
+    columns but no rows, and the driver does not list the data files.
+    """
     version = normalize_version(files.read_json(spark, f"{root}/meta/info.json")["codebase_version"])
-    return read_v21(spark, root) if version == "v2.1" else read_v30(spark, root)
+    return (read_v21 if version == "v2.1" else read_v30)(spark, root, frames=frames)
 
 
 class LayoutProvider(SourceProvider):

@@ -135,3 +135,27 @@ def test_episode_selection():
     for bad in ("", "a", "3:3", "5:2", "0:10000001", "-1"):
         with pytest.raises(ValueError):
             episode_selection(bad)
+
+
+def test_metadata_of_many_episodes_does_not_pass_the_driver(spark, tmp_path, monkeypatch):
+    first, second = str(make_dataset(tmp_path / "a", (1, 2) * 6)), str(tmp_path / "c")
+    D.convert(spark, first, str(tmp_path / "b"), "3.0")
+
+    def refused(*_, **__):
+        raise AssertionError("rows are sent to the driver")
+
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", refused)
+    D.convert(spark, str(tmp_path / "b"), second, "2.1")
+    for name in ("tasks", "episodes", "episodes_stats"):
+        key = "task_index" if name == "tasks" else "episode_index"
+        lines = [[json.loads(x)[key] for x in (tmp_path / folder / f"meta/{name}.jsonl").read_text().splitlines()] for folder in "ac"]
+        assert lines[0] == lines[1] == sorted(lines[0])
+
+
+def test_metadata_alone_lists_no_data_files(spark, tmp_path):
+    root = str(make_dataset(tmp_path / "a"))
+    D.convert(spark, root, str(tmp_path / "b"), "3.0")
+    for at in (root, str(tmp_path / "b")):
+        whole, light = open_dataset(spark, at), open_dataset(spark, at, frames=False)
+        assert light.frames.schema == whole.frames.schema and light.episodes.count() == whole.episodes.count() == 3
+        assert whole.frames.count() == TOTAL and len(whole.frames.inputFiles()) > 0 and light.frames.count() == len(light.frames.inputFiles()) == 0
