@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .media import jobs, mp4
-from .model import Dataset, Info, video_slice
+from .model import Dataset, Info, parse_split, video_slice
 from .operators import planning, quality
 from .plans import datasets as D
 from .plans.planner import data_resources
@@ -64,7 +64,7 @@ def filmed(spark: SparkSession, d: str) -> Dataset:
             yield pd.DataFrame([made()], columns=["episode_index", "path", "seconds"])
 
     rows = _t(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
-    films = rows.repartition(8, "conv_id").sortWithinPartitions("conv_id", "turn").mapInPandas(film, "episode_index bigint, path string, seconds double").persist()
+    films = rows.repartition(2 * spark.sparkContext.defaultParallelism, "conv_id").sortWithinPartitions("conv_id", "turn").mapInPandas(film, "episode_index bigint, path string, seconds double").persist()
     data = talks(spark, d)
     listed = films.select("episode_index", F.to_json(F.array(video_slice("screen", F.col("path"), F.lit(0.0), F.col("seconds")))).alias("videos_json"))
     features = data.info.features | {"screen": Feature("video", (8, 8, 3))}
@@ -200,7 +200,7 @@ def video_chain(spark: SparkSession, d: str) -> DataFrame:
 def video_edit(spark: SparkSession, d: str) -> DataFrame:
     """Digests of the survivors' packets after episodes are deleted from packed videos."""
     data = filmed(spark, d)
-    n = data.episodes.count()
+    _, n = parse_split(data.info.splits["train"])
     out = new_folder(spark, "edited")
     D.edit_dataset(spark, _written(spark, data, "3.0", video_mb=0.05), out, D.EditConfig(tuple(range(2, n, 4))))
     return jobs.video_digests(open_dataset(spark, out))

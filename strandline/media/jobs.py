@@ -289,11 +289,9 @@ def video_digests(data: Dataset) -> DataFrame:
 
 def video_faults(data: Dataset, *, deep: bool = False) -> DataFrame:
     """(episode_index, code, message): missing references and files, and with ``deep`` files shorter than their slices need."""
-    spark = data.frames.sparkSession
     slices = slice_paths(data)
-    cameras = spark.createDataFrame([(k,) for k in data.info.cameras], "camera string")
     wanted = data.episodes.select("episode_index", F.explode(F.array(*map(F.lit, data.info.cameras))).alias("camera")) if data.info.cameras else data.episodes.select("episode_index").limit(0).withColumn("camera", F.lit(""))
-    without = wanted.join(slices.select("episode_index", "camera"), ["episode_index", "camera"], "left_anti").join(F.broadcast(cameras), "camera")
+    without = wanted.join(slices.select("episode_index", "camera"), ["episode_index", "camera"], "left_anti")
     none = without.select("episode_index", F.lit("video_reference").alias("code"), F.format_string("no %s video", "camera").alias("message"))
     fps = float(data.info.fps)
 

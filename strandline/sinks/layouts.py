@@ -101,11 +101,21 @@ def episode_sizes(data: Dataset) -> DataFrame:
 _MOMENTS = ("min", "max", "mean", "std")
 
 
+def _envelope(long: DataFrame) -> dict[tuple[str, str], float]:
+    """Value of each (feature|component, quantile) that every owner has."""
+    key = F.concat_ws("|", "feature", "component")
+    every = long.select("episode_index", key.alias("key"), F.explode("quantiles").alias("quantile", "value"))
+    whole = long.select("episode_index", key.alias("key"), F.lit("").alias("quantile"), F.lit(0.0).alias("value"))  # episodes without quantiles count as owners too
+    found = quantile_envelope(every.unionByName(whole), "key", "quantile", "value", "episode_index").where("quantile <> ''").collect()
+    return {(r["key"], r["quantile"]): r["value"] for r in found}
+
+
 def aggregate_stats(episodes: DataFrame) -> dict[str, dict[str, Any]]:
     """Dataset-wide statistics from the episodes' own: merged in Spark, a row for each component comes back.
 
     Moments are those of the union.  Quantiles (q05 and the like) that every
     episode has become an envelope: the least up to the median, the greatest above.
+    The texts are parsed once: their components are kept while both are made.
     """
 
     def rows(batches):
@@ -121,13 +131,10 @@ def aggregate_stats(episodes: DataFrame) -> dict[str, dict[str, Any]]:
                     out += [(int(episode), feature, shape, i, *map(float, v[:4]), count, dict(zip(quantiles, map(float, v[4:]), strict=True))) for i, v in enumerate(zip(*columns, strict=True))]
             yield pd.DataFrame(out, columns=["episode_index", "feature", "shape", "component", *_MOMENTS, "count", "quantiles"])
 
-    long = episodes.select("episode_index", "stats_json").where("stats_json is not null").mapInPandas(rows, "episode_index bigint, feature string, shape string, component int, min double, max double, mean double, std double, count bigint, quantiles map<string,double>")
+    long = episodes.select("episode_index", "stats_json").where("stats_json is not null").mapInPandas(rows, "episode_index bigint, feature string, shape string, component int, min double, max double, mean double, std double, count bigint, quantiles map<string,double>").persist(StorageLevel.MEMORY_AND_DISK)
     merged = merge_moments(long, ["feature", "shape", "component"]).orderBy("feature", "component").collect()
-    key = F.concat_ws("|", "feature", "component")
-    every = long.select("episode_index", key.alias("key"), F.explode("quantiles").alias("quantile", "value"))
-    whole = long.select("episode_index", key.alias("key"), F.lit("").alias("quantile"), F.lit(0.0).alias("value"))  # episodes without quantiles count as owners too
-    found = quantile_envelope(every.unionByName(whole), "key", "quantile", "value", "episode_index").where("quantile <> ''").collect()
-    envelope = {(r["key"], r["quantile"]): r["value"] for r in found}
+    envelope = _envelope(long) if long.where(F.size("quantiles") > 0).limit(1).count() else {}
+    long.unpersist()
     quantiles = sorted({k for _, k in envelope})
     out: dict[str, dict[str, Any]] = {}
     for r in merged:

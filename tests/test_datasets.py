@@ -2,9 +2,11 @@ import json
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.operators.edit import episode_selection
 from strandline.plans import datasets as D
+from strandline.sinks import layouts
 from strandline.sources.layouts import open_dataset
 from tests.fixtures import make_dataset
 
@@ -159,3 +161,19 @@ def test_metadata_alone_lists_no_data_files(spark, tmp_path):
         whole, light = open_dataset(spark, at), open_dataset(spark, at, frames=False)
         assert light.frames.schema == whole.frames.schema and light.episodes.count() == whole.episodes.count() == 3
         assert whole.frames.count() == TOTAL and len(whole.frames.inputFiles()) > 0 and light.frames.count() == len(light.frames.inputFiles()) == 0
+
+
+def test_an_edit_of_many_episodes_is_no_list_of_literals(spark, tmp_path, monkeypatch):
+    root = str(make_dataset(tmp_path / "a", (1,) * 9))
+    D.convert(spark, root, str(tmp_path / "b"), "3.0")
+
+    def refused(*_, **__):
+        raise AssertionError("work for what is not there, or a literal for each episode")
+
+    monkeypatch.setattr(type(F.lit(1)), "isin", refused)
+    monkeypatch.setattr(layouts, "quantile_envelope", refused)  # the fixture's statistics have no quantiles
+    made = D.edit_dataset(spark, str(tmp_path / "b"), str(tmp_path / "e"), D.EditConfig((0, 3, 4, 8)))
+    assert (made["episodes"], made["deleted"]) == (5, 4)
+    assert [r[0] for r in open_dataset(spark, str(tmp_path / "e")).episodes.orderBy("episode_index").select("length").collect()] == [1] * 5
+    with pytest.raises(ValueError, match=r"unknown episodes: \[9, 77\]"):
+        D.edit_dataset(spark, root, str(tmp_path / "f"), D.EditConfig((1, 77, 9)))
